@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("clean_queries", "identity_queries")
+MODULES = ("clean_queries", "identity_queries", "history_queries", "universe_queries")
 
 
 def load():

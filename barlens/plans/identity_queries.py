@@ -334,15 +334,15 @@ def method_completeness(spark, d):
     return ledger(spark, d).groupBy("date", "instrument_id").agg(F.count_distinct("method").alias("methods")).where("methods < 3")
 
 
-@query("except_sets", """SELECT side, id FROM (SELECT 'unordered' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
- UNION ALL SELECT 'unknown', id FROM (SELECT l_orderkey AS id FROM lineitem EXCEPT SELECT o_orderkey FROM orders))""")
+@query("except_sets", """SELECT 'no_shipment' AS side, CAST(d AS VARCHAR) AS id FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders EXCEPT SELECT CAST(l_shipdate AS DATE) FROM lineitem)
+ UNION ALL SELECT 'no_order', CAST(d AS VARCHAR) FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) x WHERE NOT EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = x.d)""")
 def except_sets(spark, d):
-    c = market.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    o = market.table(spark, d, "orders")
-    li = market.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
-    a = c.join(o.select(F.col("o_custkey").alias("id")), "id", "left_anti").withColumn("side", F.lit("unordered"))
-    b = li.subtract(o.select(F.col("o_orderkey").alias("id"))).withColumn("side", F.lit("unknown"))
-    return a.unionByName(b).select("side", "id")
+    """Dates of one table that the other lacks, as EXCEPT and as anti join."""
+    o = market.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    li = market.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    a = o.subtract(li).withColumn("side", F.lit("no_shipment"))
+    b = li.distinct().join(o, "day", "left_anti").withColumn("side", F.lit("no_order"))
+    return a.unionByName(b).select("side", F.col("day").cast("string").alias("id"))
 
 
 @query("candidate_comparison", """WITH q AS (SELECT instrument_id, avg(CAST(token_valid_full_session AS DOUBLE)) AS token_completeness, avg(CAST(minute_exact_full_session AS DOUBLE)) AS minute_completeness,
