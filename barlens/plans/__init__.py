@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("clean_queries", "identity_queries", "history_queries", "universe_queries")
+MODULES = (
+    "clean_queries", "identity_queries", "history_queries", "universe_queries", "forecast_queries", "execution_queries",
+)
 
 
 def load():

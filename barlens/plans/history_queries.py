@@ -256,7 +256,7 @@ def array_functions(spark, d):
     e = market.embeddings(spark, d).withColumn("head", F.slice("embedding", 1, F.col("label")))
     slots = F.arrays_zip(S.right_align(F.col("head"), 8).alias("v"), S.right_align_mask(F.col("head"), 8).alias("m"))
     return e.select("vec_id", F.posexplode(slots).alias("slot", "z")).select(
-        "vec_id", "slot", F.col("z")["1"].alias("mask"), rnd(F.col("z")["0"]).alias("value")
+        "vec_id", "slot", F.col("z.m").alias("mask"), rnd(F.col("z.v")).alias("value")
     )
 
 
