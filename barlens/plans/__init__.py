@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "clean_queries", "identity_queries", "history_queries", "universe_queries", "forecast_queries", "execution_queries",
+    "clean_queries", "identity_queries", "history_queries", "universe_queries", "forecast_queries", "execution_queries", "dataset_queries",
 )
 
 
