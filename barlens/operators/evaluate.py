@@ -4,13 +4,293 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.operators.ranking import with_positions
+from barlens.functions.scalar import hash_index
+from barlens.operators.ranking import exact_quantiles, unpivot, with_positions
 
 
 def empirical_cdf(df: DataFrame, strata: Sequence[str], value: str, *, ties: Sequence[str], name: str) -> DataFrame:
     """Mid-rank CDF position inside each stratum, ties in the order of ``ties``."""
     placed = with_positions(df, strata, [value, *ties])
     return placed.withColumn(name, (F.col("_before") + 0.5) / F.col("_n")).drop("_before", "_n")
+
+
+def regression_metrics(rows: DataFrame, by: Sequence[str], actual: str, predicted: str) -> DataFrame:
+    """Mean absolute and root mean squared error per group."""
+    e = F.col(predicted) - F.col(actual)
+    return rows.groupBy(*by).agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(e).alias("rows")
+    )
+
+
+def shape_metrics(rows: DataFrame, case: Sequence[str], at: str, actual: str, predicted: str, *, eps: float = 1e-12) -> DataFrame:
+    """Share errors of each case, both curves normalised first.
+
+    The summed CDF gap is reported under its two customary names.
+    """
+    whole = Window.partitionBy(*case)
+    run = whole.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    norm = lambda c: F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(eps))
+    r = rows.withColumns({"_a": norm(actual), "_p": norm(predicted)})
+    r = r.withColumn("_gap", F.abs(F.sum("_a").over(run) - F.sum("_p").over(run)))
+    e = F.col("_p") - F.col("_a")
+    return r.groupBy(*case).agg(
+        F.avg(F.abs(e)).alias("share_mae"),
+        F.sqrt(F.avg(e * e)).alias("share_rmse"),
+        (-F.sum(F.col("_a") * F.ln(F.col("_p") + eps))).alias("cross_entropy"),
+        F.sum(F.col("_a") * F.ln((F.col("_a") + eps) / (F.col("_p") + eps))).alias("kl_divergence"),
+        F.sum("_gap").alias("cumulative_curve_error"),
+        F.sum("_gap").alias("wasserstein_bucket_distance"),
+    )
+
+
+def forecast_errors(rows: DataFrame, case: Sequence[str], at: str, actual: str, predicted: str) -> DataFrame:
+    """Per case: log remaining-volume error and the *mean* CDF gap of the two curves."""
+    whole = Window.partitionBy(*case)
+    run = whole.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    cdf = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(whole))
+    r = rows.withColumn("_gap", F.abs(cdf(predicted) - cdf(actual)))
+    return r.groupBy(*case).agg(
+        F.sum(actual).alias("actual_remaining"),
+        F.sum(predicted).alias("predicted_remaining"),
+        F.avg("_gap").alias("curve_error"),
+    ).withColumn("log_volume_error", F.abs(F.log1p("predicted_remaining") - F.log1p("actual_remaining")))
+
+
+def forecast_metrics(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Means of the per-case errors; a NULL seed stays its own group."""
+    return errors.groupBy(*by).agg(
+        F.avg("log_volume_error").alias("log_remaining_volume_mae"),
+        F.avg("curve_error").alias("conditional_curve_error"),
+        F.count(F.lit(1)).alias("cases"),
+    )
+
+
+def case_mean_by_date(rows: DataFrame, value: str, model: Sequence[str]) -> DataFrame:
+    """Mean per model and date, so that each date weighs the same afterwards."""
+    return rows.groupBy(*model, "date").agg(F.avg(value).alias(value))
+
+
+def strategy_summary(results: DataFrame, value: str, *, by: Sequence[str] = ("strategy",), extra: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, deviation and exact quantiles per strategy, however many rows it has."""
+    moments = results.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("run_count"),
+        F.avg(value).alias("mean"),
+        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
+        *(F.avg(c).alias(f"mean_{c}") for c in extra),
+    )
+    q = exact_quantiles(results, by, value, {"q10": 0.1, "median": 0.5, "q90": 0.9})
+    return moments.join(q, list(by), "left")
+
+
+def paired_differences(pairs: DataFrame, *, by: Sequence[str] = ("strategy",), value: str = "difference") -> DataFrame:
+    """Count, mean, median and win rate (difference below zero) of paired rows."""
+    m = pairs.groupBy(*by).agg(
+        F.count(value).alias("paired_count"),
+        F.avg(value).alias("mean_difference"),
+        F.avg((F.col(value) < 0).cast("double")).alias("win_rate"),
+    )
+    return m.join(exact_quantiles(pairs, by, value, {"median_difference": 0.5}), list(by), "left")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with a 0-based position ``_pos`` and group size ``_size``."""
+    return with_positions(df, by, order, before="_pos", total="_size")
+
+
+def bootstrap_mean(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, repetitions: int = 2000, confidence: float = 0.95, seed: int = 17
+) -> DataFrame:
+    """Percentile interval of the resampled mean per group.
+
+    Draw ``i`` of repetition ``r`` is the row at ``hash(group|seed|r|i) mod n``. The
+    draws are generated from the group sizes, counted per drawn position, and
+    meet the values in one equi join; repetitions (not groups) spread the work.
+    Intervals agree with other generators statistically, not digit by digit.
+    """
+    rows = numbered(df.where(F.col(value).isNotNull()), by, order).select(*by, "_pos", "_size", F.col(value).alias("_v"))
+    sizes = rows.groupBy(*by).agg(F.max("_size").alias("_size"))
+    reps = sizes.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    reps = reps.repartition(*by, "_rep").withColumn(
+        "_draw", F.explode(F.sequence(F.lit(0), (F.col("_size") - 1).cast("int")))
+    )
+    key = F.concat_ws("|", *(F.col(c).cast("string") for c in by), F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_draw").cast("string"))
+    drawn = reps.withColumn("_pos", hash_index(key, F.col("_size"))).groupBy(*by, "_rep", "_pos").agg(F.count(F.lit(1)).alias("_times"))
+    means = drawn.join(rows.drop("_size"), [*by, "_pos"]).groupBy(*by, "_rep").agg(
+        (F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("_mean")
+    )
+    return _interval(means, by, confidence).withColumnsRenamed({"_lower": "ci_lower", "_upper": "ci_upper"})
+
+
+def _interval(means: DataFrame, by: Sequence[str], confidence: float) -> DataFrame:
+    """Percentile interval over the repetitions (a fixed number of rows per group)."""
+    tail = (1 - confidence) / 2
+    return means.groupBy(*by).agg(
+        F.percentile("_mean", F.lit(tail)).alias("_lower"), F.percentile("_mean", F.lit(1 - tail)).alias("_upper")
+    )
+
+
+def block_bootstrap(
+    dates: DataFrame,
+    *,
+    by: Sequence[str] = (),
+    value: str = "difference",
+    fold: str = "fold_id",
+    blocks: Sequence[int] = (5,),
+    repetitions: int = 10_000,
+    confidence: float = 0.95,
+    seed: int = 13,
+) -> DataFrame:
+    """Moving-block bootstrap of date values; blocks never cross folds.
+
+    Input is one value per (by, fold, date). Block ``j`` of repetition ``r`` starts at
+    ``hash(by|fold|L|seed|r|j) mod (n - L + 1)``. A block's sum is a difference of
+    running sums, so one row per block is drawn instead of one per date, and
+    only the blocks meet the (calendar-sized) running sums.
+    """
+    series = [*by, fold]
+    order = Window.partitionBy(*series).orderBy("date")
+    v = dates.select(*series, "date", F.col(value).alias("_v")).withColumns(
+        {
+            "_pos": F.row_number().over(order) - 1,
+            "_before": F.coalesce(F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        }
+    )
+    total = v.groupBy(*series).agg(F.count(F.lit(1)).alias("_size"), F.sum("_v").alias("_sum"))
+    edges = v.select(*series, "_pos", "_before").unionByName(
+        total.select(*series, F.col("_size").cast("int").alias("_pos"), F.col("_sum").alias("_before"))
+    )
+    setup = total.withColumn("block_length", F.explode(F.array(*(F.lit(b) for b in blocks)))).withColumns(
+        {"_w": F.least(F.col("block_length"), F.col("_size"))}
+    )
+    reps = setup.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).repartition("_rep")
+    drawn = reps.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_size") / F.col("_w")) - 1).cast("int"))))
+    key = F.concat_ws(
+        "|", *(F.col(c).cast("string") for c in series), F.col("block_length").cast("string"), F.lit(str(seed)),
+        F.col("_rep").cast("string"), F.col("_j").cast("string"),
+    )
+    drawn = drawn.withColumn("_from", hash_index(key, F.col("_size") - F.col("_w") + 1).cast("int"))
+    take = F.least(F.col("_w"), F.col("_size") - F.col("_j") * F.col("_w"))
+    drawn = drawn.withColumns({"_take": take, "_to": (F.col("_from") + take).cast("int")})
+    lo = edges.select(*series, F.col("_pos").alias("_from"), F.col("_before").alias("_lo"))
+    hi = edges.select(*series, F.col("_pos").alias("_to"), F.col("_before").alias("_hi"))
+    group = [*by, "block_length"]
+    means = (
+        drawn.join(lo, [*series, "_from"])
+        .join(hi, [*series, "_to"])
+        .groupBy(*group, "_rep")
+        .agg((F.sum(F.col("_hi") - F.col("_lo")) / F.sum("_take")).alias("_mean"))
+    )
+    ci = _interval(means, group, confidence)
+    x = F.col(value)
+    base = dates.groupBy(*by).agg(
+        F.count(x).alias("paired_dates"),
+        F.avg(x).alias("mean_difference"),
+        # one value per date and fold: bounded by the calendar
+        F.median(x).alias("median_difference"),
+        F.avg((x < 0).cast("double")).alias("date_win_rate"),
+        F.coalesce(F.try_divide(F.avg(x), F.nullif(F.stddev_samp(x), F.lit(0.0))), F.lit(0.0)).alias("standardized_effect"),
+    )
+    ci = ci.withColumnsRenamed({"_lower": "ci_lower", "_upper": "ci_upper"})
+    return ci.join(base, list(by)) if by else _with_row(ci, base)
+
+
+def _with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Columns of a one-row table on every row."""
+    packed = one.select(F.struct(*one.columns).alias("r")).scalar()
+    return df.withColumn("_r", packed).select(*df.columns, "_r.*")
+
+
+def seed_claim(effects: DataFrame, by: Sequence[str]) -> DataFrame:
+    """True when all seeds point the same way and the averaged interval excludes zero."""
+    e = F.col("mean_difference")
+    return effects.groupBy(*by).agg(
+        ((F.bool_and(e < 0) | F.bool_and(e > 0)) & ((F.max("ci_upper") < 0) | (F.min("ci_lower") > 0))).alias("supported"),
+        F.count(F.lit(1)).alias("seeds"),
+    )
+
+
+def thresholds(train: DataFrame, columns: Sequence[str], q: float = 0.9) -> DataFrame:
+    """One row with the TRAIN quantile of each column, exact at any size."""
+    long = unpivot(train, [], columns, "what", "value")
+    fitted = exact_quantiles(long, ["what"], "value", {"t": q})
+    return fitted.agg(*(F.max(F.when(F.col("what") == c, F.col("t"))).alias(c) for c in columns))
+
+
+def _flags(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.withColumn("_t", fitted.select(F.struct(*columns).alias("t")).scalar())
+
+
+def label_regimes(rows: DataFrame, fitted: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Flag columns ``names[column]`` at or above the threshold; ordinary is none of them."""
+    out = _flags(rows, fitted, list(names)).withColumns(
+        {flag: F.col(c) >= F.col("_t")[c] for c, flag in names.items()}
+    )
+    any_flag = F.lit(False)
+    for flag in names.values():
+        any_flag = any_flag | F.col(flag)
+    return out.withColumn("ordinary", ~any_flag).drop("_t")
+
+
+def unusual_sessions(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Composite that needs to be strictly above any threshold."""
+    over = F.lit(False)
+    out = _flags(rows, fitted, columns)
+    for c in columns:
+        over = over | (F.col(c) > F.col("_t")[c])
+    return out.withColumn("unusual_session", over).withColumn(
+        "regime", F.when(F.col("unusual_session"), "unusual").otherwise("ordinary")
+    ).drop("_t")
+
+
+def difficulty_components(rows: DataFrame, case: Sequence[str], at: str, actual: str, baseline: str) -> DataFrame:
+    """Absolute log level error and mean CDF gap of a causal baseline per case."""
+    e = forecast_errors(rows, case, at, actual, baseline)
+    return e.withColumnsRenamed({"log_volume_error": "level_error", "curve_error": "shape_error"})
+
+
+def difficulty_table(errors: DataFrame, stratum: str, key: str) -> DataFrame:
+    """CDF ranks of both errors per stratum and weights of mean one."""
+    lv = empirical_cdf(errors.select(key, stratum, "level_error"), [stratum], "level_error", ties=[key], name="level_cdf_rank")
+    sh = empirical_cdf(errors.select(key, stratum, "shape_error"), [stratum], "shape_error", ties=[key], name="shape_cdf_rank")
+    both = errors.join(lv.select(key, "level_cdf_rank"), key).join(sh.select(key, "shape_cdf_rank"), key)
+    rank = (F.col("level_cdf_rank") + F.col("shape_cdf_rank")) * 0.5
+    # mid-ranks of a stratum average exactly one half, so the mean of 0.5 + rank is one
+    return both.withColumn("weight", F.lit(0.5) + rank)
+
+
+def volume_surprise(actual: str, expected: str):
+    return F.log1p(actual) - F.log1p(expected)
+
+
+def complete_horizon(as_of, *, tokens: int = 26, min_context: int = 4, longest: int = 8):
+    """Origins whose longest horizon is still inside the session."""
+    return (as_of >= min_context) & (as_of + longest - 1 < tokens)
+
+
+def execution_table(ledger: DataFrame, baselines: DataFrame, value: str, identity: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Each method's means next to its matched difference from its own baseline.
+
+    ``baselines`` maps method to baseline; the pairing is one join for all
+    methods.
+    """
+    means = ledger.groupBy("method").agg(F.count(F.lit(1)).alias("cases"), *(F.avg(m).alias(m) for m in measures))
+    cand = ledger.join(baselines, "method").select("method", "baseline", *identity, F.col(value).alias("_c"))
+    base = ledger.select(F.col("method").alias("baseline"), *identity, F.col(value).alias("_b"))
+    paired = cand.join(base, ["baseline", *identity]).groupBy("method", "baseline").agg(
+        F.count(F.lit(1)).alias("matched_cases"), F.avg(F.col("_c") - F.col("_b")).alias("mean_difference")
+    )
+    sizes = means.select(F.col("method").alias("baseline"), F.col("cases").alias("_base_cases"))
+    return (
+        means.join(paired, "method")
+        .join(sizes, "baseline")
+        .withColumns(
+            {
+                "dropped_candidate": F.col("cases") - F.col("matched_cases"),
+                "dropped_baseline": F.col("_base_cases") - F.col("matched_cases"),
+            }
+        )
+        .drop("_base_cases", "cases")
+    )

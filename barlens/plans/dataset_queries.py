@@ -224,13 +224,13 @@ def regime_frame(spark, d):
     return regimes(spark, d).select("sample_id", "as_of_token", *(rnd(c).alias(c) for c in ("volume_surprise", "realized_volatility", "curve_error")))
 
 
-NORM = ("rolling_adv", "previous_session_return", "previous_session_range")
+NORM = ("rolling_adv", "previous_session_total_volume", "previous_session_trade_count")
 
 
 def norm_sql() -> str:
     fits = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{n}" for c in NORM for n, p in D.QUANTILES.items())
     outs = ", ".join(
-        f"round(coalesce((greatest({c}_lo, least({c}_hi, {c})) - {c}_median) / greatest({c}_q3 - {c}_q1, 1e-6), 0) + 1e-9, 6) AS {c}" for c in NORM
+        f"round(CASE WHEN {c} IS NULL THEN 0 ELSE (greatest({c}_lo, least({c}_hi, {c})) - {c}_median) / greatest({c}_q3 - {c}_q1, 1e-6) END + 1e-9, 6) AS {c}" for c in NORM
     )
     return f"""WITH f AS (SELECT {fits} FROM c_hist_daily WHERE session_date < DATE '1998-01-01') SELECT h.symbol, h.session_date, {outs} FROM c_hist_daily h, f"""
 
