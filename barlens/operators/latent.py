@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlens.functions.scalar import reasons
 from barlens.operators.ranking import with_positions
@@ -351,7 +352,7 @@ def projection_matrix(rows: int, columns: int, seed: int) -> np.ndarray:
 
 def project(rows: DataFrame, vector: str, matrix: np.ndarray, name: str = "projected") -> DataFrame:
     """Matrix product of every row with a fixed matrix, batch by batch."""
-    schema = rows.schema.add(name, "array<double>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def product(batches):
         for pdf in batches:

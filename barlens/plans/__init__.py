@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "clean_queries", "identity_queries", "history_queries", "universe_queries", "forecast_queries", "execution_queries", "dataset_queries",
-    "evaluation_queries", "latent_queries",
+    "evaluation_queries", "latent_queries", "source_queries",
 )
 
 
