@@ -4,12 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.schema import SessionSpec, require_columns
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value for several order columns.
+
+    A struct cannot live in a hash aggregation buffer, so ordering by one makes
+    Spark sort every task's input first. A (timestamp, integer) pair packs into
+    a decimal, which can: the step between two microseconds is wider than the
+    range of a bigint.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    types = dict(df.dtypes)
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    instant = types[order[0]] == "timestamp" or (types[order[0]] == "timestamp_ntz" and zone in ("UTC", "Etc/UTC"))
+    if len(order) == 2 and instant and types[order[1]] in ("bigint", "int"):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(18,0)")
+        step = F.lit("20000000000000000000").cast("decimal(20,0)")
+        return (micros * step + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def ticks_to_bars(ticks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """OHLCV bars from trades. One shuffle; every aggregate combines map-side.
 
@@ -17,7 +37,7 @@ def ticks_to_bars(ticks: DataFrame, by: Sequence[str], order: Sequence[str]) ->
     of their own.
     """
     require_columns(ticks, [*by, *order, "price", "size"])
-    first = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    first = order_key(ticks, order)
     size = F.sum(F.col("size").cast("bigint"))
     return ticks.groupBy(*by).agg(
         F.min_by("price", first).alias("open"),

@@ -20,20 +20,26 @@ ORDER = ("order_id",)
 def prepare_window(orders: DataFrame, bars: DataFrame) -> DataFrame:
     """Order buckets: the valid bars of the order's session inside its window.
 
-    The session's totals are taken once per session, before bars meet orders;
-    a session traded by very many orders is split by the adaptive skew join.
+    The session's totals are a window over its bars (at most one session of
+    rows), partitioned as the join with the orders needs them; a session traded
+    by very many orders is split by the adaptive skew join.
     """
     usable = F.col("volume") >= 0
     for c in ("open", "high", "low", "close"):
         usable = usable & is_finite(c) & (F.col(c) > 0)
-    clean = bars.where(usable).select(
-        "instrument_id", "session_date", "minute", "volume", reference_price().alias("reference_price"), "open", "close"
-    )
-    totals = clean.groupBy("instrument_id", "session_date").agg(
-        F.try_divide(F.sum(F.col("reference_price") * F.col("volume")), F.sum("volume")).alias("session_vwap"),
-        F.sum("volume").alias("session_volume"),
+    session = Window.partitionBy("instrument_id", "session_date")
+    priced = (
+        bars.where(usable)
+        .select("instrument_id", "session_date", "minute", "volume", reference_price().alias("reference_price"), "open", "close")
+        .withColumns(
+            {
+                "session_vwap": F.try_divide(
+                    F.sum(F.col("reference_price") * F.col("volume")).over(session), F.sum("volume").over(session)
+                ),
+                "session_volume": F.sum("volume").over(session),
+            }
+        )
     )
-    priced = clean.join(totals, ["instrument_id", "session_date"])
     hit = orders.join(priced, ["instrument_id", "session_date"]).where(
         (F.col("minute") >= F.col("start_minute")) & (F.col("minute") < F.col("end_minute"))
     )

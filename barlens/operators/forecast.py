@@ -107,10 +107,7 @@ def profile_forecast(
     keys = list(SESSION)
     sessions = _complete_sessions(matrix, buckets, keys)
     order = Window.partitionBy("instrument_id").orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = sessions.select(
-        *keys, (F.coalesce(F.sum(F.col("_complete").cast("int")).over(order), F.lit(0)) + 1).alias("_key")
-    )
-    slots = sessions.join(numbered, keys).select(
+    slots = sessions.withColumn("_key", F.coalesce(F.sum(F.col("_complete").cast("int")).over(order), F.lit(0)) + 1).select(
         *keys, "_complete", "_total", "_key", F.posexplode("_v").alias("_i", "_volume"), F.lit(True).alias("_target")
     )
     usable = F.col("_complete") & (F.col("_total") > 0)

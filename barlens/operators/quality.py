@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions.scalar import reasons
 from barlens.operators.clean import SESSION, row_flags
-from barlens.schema import SessionSpec
+from barlens.schema import NUMERIC_COLUMNS, SessionSpec
 
 
 def token_grid(bars: DataFrame, spec: SessionSpec, keys: Sequence[str] = SESSION) -> DataFrame:
@@ -43,39 +43,60 @@ def session_quality(
     window: tuple[int, int] = (60, 360),
     keys: Sequence[str] = SESSION,
 ) -> DataFrame:
-    """Independent quality facts of every observed session in two hash aggregates.
+    """Independent quality facts of every observed session.
 
-    The first aggregate collapses each minute (so copies of a bar cannot pile
-    up behind one key), the second collapses minutes to tokens and the last
-    tokens to sessions; all three combine map-side, and only the first one
-    moves bar-sized data.
+    Bars are reduced map-side to runs of up to 60 minutes: which minutes were
+    seen is one bit mask per run, so distinct minutes need no row per minute
+    and copies of a bar cannot pile up behind one key. Runs merge to tokens and
+    tokens to sessions. Only the first aggregate reads bar-sized data, and all
+    its buffers are fixed-width.
     """
     flags = row_flags()
-    per_minute = bars.groupBy(*keys, "minute").agg(
+    lo, hi = window
+    run = max(g for g in range(1, 61) if spec.token_minutes % g == 0)
+    bars = bars.select(*keys, "minute", "symbol", *NUMERIC_COLUMNS)
+    if calendar is not None:
+        cal = calendar.select("session_date", F.col("minutes").alias("_minutes"), "early_close")
+        bars = bars.join(cal, "session_date", "left")
+    else:
+        bars = bars.withColumns({"_minutes": F.lit(spec.minutes), "early_close": F.lit(False)})
+    on_grid = F.coalesce(F.col("minute").between(0, F.col("_minutes") - 1), F.lit(False))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("minute", F.lit(run)).cast("int"))
+    masks = {
+        "seen": bit,
+        "on_grid": F.when(on_grid, bit),
+        "in_window": F.when(F.col("minute").between(lo, hi - 1), bit),
+    }
+    per_run = bars.groupBy(*keys, "symbol", F.floor(F.col("minute") / run).cast("int").alias("run")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("volume").alias("volume"),
+        F.sum(F.when(on_grid, 0).otherwise(1)).alias("off_grid"),
+        F.max("_minutes").alias("_minutes"),
+        F.max("early_close").alias("early_close"),
+        *(F.bit_or(m).alias(k) for k, m in masks.items()),
+        *(F.max(v).alias(k) for k, v in flags.items()),
+    )
+    # one row per run again, whatever the symbols say
+    whole = per_run.groupBy(*keys, "run").agg(
+        F.sum("n").alias("n"),
+        F.sum("volume").alias("volume"),
+        F.sum("off_grid").alias("off_grid"),
+        F.max("_minutes").alias("_minutes"),
+        F.max("early_close").alias("early_close"),
         F.min("symbol").alias("lo"),
         F.max("symbol").alias("hi"),
-        *(F.max(v).alias(k) for k, v in flags.items()),
+        *(F.bit_count(F.coalesce(F.bit_or(k), F.lit(0).cast("bigint"))).alias(k) for k in masks),
+        *(F.max(k).alias(k) for k in flags),
     )
-    cal = None
-    if calendar is not None:
-        cal = calendar.select("session_date", F.col("minutes").alias("_minutes"), "early_close")
-        per_minute = per_minute.join(cal, "session_date", "left")
-    else:
-        per_minute = per_minute.withColumns({"_minutes": F.lit(spec.minutes), "early_close": F.lit(False)})
-    on_grid = F.col("minute").between(0, F.col("_minutes") - 1)
-    in_spec = F.col("minute").between(0, spec.minutes - 1)
-    lo, hi = window
-    per_token = per_minute.groupBy(
-        *keys, F.when(in_spec, F.floor(F.col("minute") / spec.token_minutes).cast("int")).alias("token")
-    ).agg(
+    first = F.col("run") * run
+    in_spec = first.between(0, spec.minutes - 1)
+    per_token = whole.groupBy(*keys, F.when(in_spec, F.floor(first / spec.token_minutes).cast("int")).alias("token")).agg(
         F.sum("n").alias("n"),
         F.sum("volume").alias("volume"),
-        F.count(F.lit(1)).alias("distinct_minutes"),
-        F.sum(F.coalesce(on_grid.cast("int"), F.lit(0))).alias("on_grid"),
-        F.sum(F.when(~F.coalesce(on_grid, F.lit(False)), F.col("n")).otherwise(0)).alias("off_grid"),
-        F.sum(F.col("minute").between(lo, hi - 1).cast("int")).alias("in_window"),
+        F.sum("seen").alias("distinct_minutes"),
+        F.sum("on_grid").alias("on_grid"),
+        F.sum("off_grid").alias("off_grid"),
+        F.sum("in_window").alias("in_window"),
         F.max("_minutes").alias("_minutes"),
         F.max("early_close").alias("early_close"),
         F.min("lo").alias("lo"),
