@@ -17,42 +17,52 @@ from barlens.functions.scalar import is_finite, reference_price, side_sign, slip
 ORDER = ("order_id",)
 
 
-def prepare_window(orders: DataFrame, bars: DataFrame) -> DataFrame:
+def prepare_window(orders: DataFrame, bars: DataFrame, *, salts: int = 16) -> DataFrame:
     """Order buckets: the valid bars of the order's session inside its window.
 
-    The session's totals are a window over its bars (at most one session of
-    rows), partitioned as the join with the orders needs them; a session traded
-    by very many orders is split by the adaptive skew join.
+    A session's bars (unique per minute) are packed into one row of at most
+    ``spec.minutes`` entries, so an order meets one row instead of its bars,
+    and everything that depends on the window alone is computed inside the
+    row. Orders are salted and the packed sessions repeated per salt, so a
+    session that very many orders trade is spread over ``salts`` tasks. Where
+    the packed sessions are small Spark broadcasts them after checking their
+    size.
     """
     usable = F.col("volume") >= 0
     for c in ("open", "high", "low", "close"):
         usable = usable & is_finite(c) & (F.col(c) > 0)
-    session = Window.partitionBy("instrument_id", "session_date")
-    priced = (
+    bar = F.struct("minute", "volume", "reference_price", "open", "close")
+    sessions = (
         bars.where(usable)
-        .select("instrument_id", "session_date", "minute", "volume", reference_price().alias("reference_price"), "open", "close")
-        .withColumns(
-            {
-                "session_vwap": F.try_divide(
-                    F.sum(F.col("reference_price") * F.col("volume")).over(session), F.sum("volume").over(session)
-                ),
-                "session_volume": F.sum("volume").over(session),
-            }
+        .withColumn("reference_price", reference_price())
+        .groupBy("instrument_id", "session_date")
+        .agg(
+            F.sort_array(F.collect_list(bar)).alias("_bars"),
+            F.try_divide(F.sum(F.col("reference_price") * F.col("volume")), F.sum("volume")).alias("session_vwap"),
+            F.sum("volume").alias("session_volume"),
+            F.count_distinct("minute").alias("_minutes"),
         )
     )
-    hit = orders.join(priced, ["instrument_id", "session_date"]).where(
-        (F.col("minute") >= F.col("start_minute")) & (F.col("minute") < F.col("end_minute"))
+    twice = F.raise_error(F.lit("bars must be unique per session minute"))
+    sessions = sessions.withColumn(
+        "_bars", F.when(F.size("_bars") == F.col("_minutes"), F.col("_bars")).otherwise(twice.cast(sessions.schema["_bars"].dataType))
+    ).drop("_minutes")
+    salted = sessions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # narrow rows move to their order's partition here; every later window by order finds them there
+    keyed = orders.repartition("order_id").withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(salts)).cast("int"))
+    mine = F.filter(
+        "_bars", lambda x: (x["minute"] >= F.col("start_minute")) & (x["minute"] < F.col("end_minute"))
     )
-    by = Window.partitionBy(*ORDER).orderBy("minute")
-    whole = Window.partitionBy(*ORDER)
-    return hit.withColumns(
+    j = keyed.join(salted, ["instrument_id", "session_date", "_salt"]).withColumn("_bars", mine).where(F.size("_bars") > 0)
+    j = j.withColumns(
         {
-            "k": F.row_number().over(by) - 1,
-            "n": F.count(F.lit(1)).over(whole),
-            "arrival_price": F.first("reference_price").over(by),
-            "window_volume": F.sum("volume").over(whole),
+            "n": F.size("_bars"),
+            "arrival_price": F.col("_bars")[0]["reference_price"],
+            "window_volume": F.aggregate("_bars", F.lit(0).cast("bigint"), lambda a, x: a + x["volume"].cast("bigint")),
         }
     )
+    keep = [*orders.columns, "session_vwap", "session_volume", "n", "arrival_price", "window_volume"]
+    return j.select(*keep, F.posexplode("_bars").alias("k", "_b")).select(*keep, "k", "_b.*")
 
 
 def twap_schedule(buckets: DataFrame) -> DataFrame:
@@ -222,12 +232,12 @@ def execution_log(costed: DataFrame, forecast: str | None = None, keys: Sequence
 def tca_summary(log: DataFrame, keys: Sequence[str] = ORDER, carry: Sequence[str] = ("side", "quantity", "session_vwap", "arrival_price")) -> DataFrame:
     """One row per order; prices and shortfalls are NULL when nothing filled.
 
-    All columns come from one aggregation of the log.
+    All columns come from one aggregation of the log. The order's constants
+    are grouping columns, which keeps every buffer fixed-width.
     """
     sign = side_sign("side")
     filled = F.sum("executed")
-    g = log.groupBy(*keys).agg(
-        *(F.first(c).alias(c) for c in carry),
+    g = log.groupBy(*keys, *(c for c in carry if c not in keys)).agg(
         filled.alias("filled"),
         F.sum(F.col("executed") * F.col("execution_price")).alias("filled_notional"),
         F.sum(sign * F.col("executed") * (F.col("execution_price") - F.col("arrival_price"))).alias("_shortfall"),
