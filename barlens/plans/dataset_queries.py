@@ -260,11 +260,15 @@ def build_sequences(spark, d):
     return s.select("fold_id", "partition", "instrument_id", "session_date", "token", *(rnd_ratio(c, 5).alias(c) for c in H.FEATURES))
 
 
-@query("build_sequences_exclusions", """SELECT instrument_id, session_date, CASE WHEN instrument_id = 'view' THEN 'symbol_mismatch' WHEN instrument_id = 'error' THEN 'symbol_ambiguous' WHEN instrument_id = 'purchase' THEN 'symbol_none' END AS reasons
-FROM (SELECT DISTINCT instrument_id, session_date FROM c_min) WHERE instrument_id = 'view' OR (instrument_id = 'error' AND dayofmonth(session_date) BETWEEN 10 AND 12) OR (instrument_id = 'purchase' AND dayofmonth(session_date) < 5)
-UNION ALL SELECT DISTINCT instrument_id, session_date, 'benchmark_missing' FROM c_min WHERE dayofmonth(session_date) = 1 AND instrument_id IN ('click', 'error')""")
+@query("build_sequences_exclusions", """WITH st AS (SELECT s.instrument_id, s.session_date, CASE WHEN count(i.symbol) = 0 THEN 'none' WHEN count(i.symbol) > 1 THEN 'ambiguous' WHEN min(upper(i.symbol)) <> s.symbol THEN 'mismatch' ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT instrument_id, session_date, CASE WHEN instrument_id = 'click' AND session_date > DATE '2024-01-15' THEN 'CLK' ELSE symbol END AS symbol FROM c_min) s
+  LEFT JOIN c_intervals i ON i.instrument_id = s.instrument_id AND s.session_date BETWEEN i."start" AND i."end" GROUP BY s.instrument_id, s.session_date, s.symbol),
+ k AS (SELECT q.instrument_id, q.session_date, concat_ws(';', CASE WHEN status <> 'ok' THEN 'symbol_' || status END, CASE WHEN NOT token_valid_full_session THEN 'token_quality' END) AS reasons FROM c_quality4 q JOIN st USING (instrument_id, session_date)),
+ b AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS r FROM k WHERE instrument_id = 'signup' AND reasons = '')
+SELECT * FROM k WHERE reasons <> '' UNION ALL
+SELECT instrument_id, session_date, 'benchmark_missing' FROM k WHERE reasons = '' AND instrument_id <> 'signup' AND session_date NOT IN (SELECT session_date FROM b WHERE r > 1)""")
 def build_sequences_exclusions(spark, d):
-    """Every session left out at this scale fails on identity or on the benchmark's first day."""
+    """Sessions left out: identity, token quality, or no benchmark history at that date."""
     _, x = sequences(spark, d)
     return x.select("instrument_id", "session_date", F.array_join("reasons", ";").alias("reasons"))
 

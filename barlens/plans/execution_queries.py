@@ -58,19 +58,23 @@ def remainder_sql(src: str, value: str, cap: str, tol: str) -> str:
 
 
 cte("c_orders4", "SELECT * FROM c_orders")
-cte("c_bar4", """SELECT instrument_id, session_date, bucket * 240 AS minute, bucket, open, close, volume, dv / nullif(volume, 0) AS vwap FROM
+cte("c_bar4", """SELECT instrument_id, session_date, bucket * 240 AS minute, bucket, open, high, low, close, volume, dv / nullif(volume, 0) AS vwap FROM
  (SELECT instrument_id, session_date, CAST(minute // 240 AS INTEGER) AS bucket, arg_min(open, minute) AS open, arg_max(close, minute) AS close, max(high) AS high, min(low) AS low, CAST(sum(volume) AS BIGINT) AS volume, sum(vwap * volume) AS dv FROM c_min GROUP BY 1, 2, 3)""")
-cte("c_priced4", """SELECT *, vwap AS reference_price, sum(vwap * volume) OVER w / nullif(sum(volume) OVER w, 0) AS session_vwap, CAST(sum(volume) OVER w AS BIGINT) AS session_volume FROM c_bar4 WINDOW w AS (PARTITION BY instrument_id, session_date)""")
+cte("c_priced4", """SELECT *, coalesce(vwap, (open + high + low + close) / 4) AS reference_price, sum(vwap * volume) OVER w / nullif(sum(volume) OVER w, 0) AS session_vwap, CAST(sum(volume) OVER w AS BIGINT) AS session_volume FROM c_bar4 WINDOW w AS (PARTITION BY instrument_id, session_date)""")
 cte("c_ob4", OB.format(orders="c_orders", bars="c_priced4").replace("b.open,", "b.bucket, b.open,"))
-cte("c_ob4s", """SELECT o.*, f.share, f.expected_volume, o.quantity * f.share / sum(f.share) OVER (PARTITION BY order_id) AS want FROM c_ob4 o JOIN c_profile4 f USING (instrument_id, session_date, bucket)""")
+cte("c_ob4s", """SELECT *, quantity * share / sum(share) OVER (PARTITION BY order_id) AS want FROM (SELECT o.*, round_even(f.share * 1e6, 0) AS share, f.expected_volume FROM c_ob4 o JOIN c_profile4 f USING (instrument_id, session_date, bucket))""")
 cte("c_vwap4", remainder_sql("c_ob4s", "want", "quantity", "1e-7"))
 
 
 def order_buckets4(spark, d):
-    """Order buckets of four hours with the causal profile's shares."""
+    """Order buckets of four hours with the causal profile's shares in parts per million.
+
+    Whole weights make the remainders of both engines equal to the last bit.
+    """
     b = B.bucket_minutes(bars(spark, d), 240).withColumn("minute", F.col("bucket") * 240)
     o = X.prepare_window(market.parent_orders(spark, d), b).withColumn("bucket", (F.col("minute") / 240).cast("int"))
-    f = profile4(spark, d).select("instrument_id", "session_date", "bucket", "share", "expected_volume")
+    weight = F.bround(F.col("share") * 1e6, 0).alias("share")
+    f = profile4(spark, d).select("instrument_id", "session_date", "bucket", weight, "expected_volume")
     return o.join(f, ["instrument_id", "session_date", "bucket"])
 
 
@@ -96,7 +100,7 @@ def ac_sql(src: str, eta: str, sigma: str, lam: str) -> str:
 FROM (SELECT *, {ratio} AS ratio, acosh(1 + {ratio}) AS kappa FROM {src})"""
 
 
-cte("c_obac", ac_sql("c_ob", "1e-6", "0.01", "CASE side WHEN 'buy' THEN 0.001 ELSE 0.0 END"))
+cte("c_obac", ac_sql("c_ob", "1e-6", "0.01", "CASE side WHEN 'buy' THEN 0.00137 ELSE 0.0 END"))
 cte("c_ac", remainder_sql("c_obac", "want", "quantity", "1e-5"))
 
 
@@ -104,7 +108,7 @@ cte("c_ac", remainder_sql("c_obac", "want", "quantity", "1e-5"))
 def almgren_chriss_schedule(spark, d):
     """Risk-averse buys, risk-neutral sells (the equal-split limit)."""
     o = X.almgren_chriss_schedule(
-        order_buckets(spark, d), eta=F.lit(1e-6), volatility=F.lit(0.01), risk_aversion=F.when(F.col("side") == "buy", 0.001).otherwise(0.0)
+        order_buckets(spark, d), eta=F.lit(1e-6), volatility=F.lit(0.01), risk_aversion=F.when(F.col("side") == "buy", 0.00137).otherwise(0.0)
     )
     return o.select("order_id", "minute", "planned")
 
@@ -265,9 +269,9 @@ def tca_cases(spark, d):
 
 # --- experiment grid -------------------------------------------------------------------------
 
-GRID = dict(sides=("buy", "sell"), quantities=(50, 400), impacts=(0.1, 0.5), risks=(0.0, 0.001), start=480, end=1080)
+GRID = dict(sides=("buy", "sell"), quantities=(50, 400), impacts=(0.1, 0.5), risks=(0.0, 0.00137), start=480, end=1080)
 cte("c_gridorders", """SELECT instrument_id || '|' || session_date || '|' || side || '|' || quantity || '|' || impact || '|' || risk_aversion AS order_id, s.*, side, CAST(quantity AS BIGINT) AS quantity, impact, risk_aversion, 480 AS start_minute, 1080 AS end_minute
-FROM (SELECT DISTINCT instrument_id, session_date FROM c_hour) s, (VALUES ('buy'), ('sell')) a(side), (VALUES (50), (400)) b(quantity), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) c(impact), (VALUES (0.0::DOUBLE), (0.001::DOUBLE)) e(risk_aversion)""")
+FROM (SELECT DISTINCT instrument_id, session_date FROM c_hour) s, (VALUES ('buy'), ('sell')) a(side), (VALUES (50), (400)) b(quantity), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) c(impact), (VALUES (0.0::DOUBLE), (0.00137::DOUBLE)) e(risk_aversion)""")
 cte("c_gob", OB.format(orders="c_gridorders", bars="c_priced"))
 cte("c_g_twap", "SELECT *, 'twap' AS method, least(quantity // n + CASE WHEN k < quantity % n THEN 1 ELSE 0 END, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_gob")
 cte("c_g_acx", remainder_sql("(" + ac_sql("c_gob", "(impact / 100000)", "0.01", "risk_aversion") + ")", "want", "quantity", "1e-5"))

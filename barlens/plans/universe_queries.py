@@ -98,12 +98,12 @@ def candidates(spark, d):
 
 
 @query("daily_formation", """SELECT instrument_id, formation_symbol, security_type, observed AS observed_valid_daily_sessions, round(daily_completeness, 6) AS daily_completeness,
-  round(px, 6) AS median_daily_price, round(v, 6) AS median_daily_share_volume, round(dv, 2) AS median_daily_dollar_volume, first_valid_formation_date, last_valid_formation_date, exclusion_reasons FROM c_cand""")
+  round(px, 6) AS median_daily_price, round(v, 6) AS median_daily_share_volume, round(dv + 1e-6, 2) AS median_daily_dollar_volume, first_valid_formation_date, last_valid_formation_date, exclusion_reasons FROM c_cand""")
 def daily_formation(spark, d):
     return candidates(spark, d).select(
         "instrument_id", "formation_symbol", "security_type", "observed_valid_daily_sessions", rnd("daily_completeness").alias("daily_completeness"),
         rnd("median_daily_price").alias("median_daily_price"), rnd("median_daily_share_volume").alias("median_daily_share_volume"),
-        rnd("median_daily_dollar_volume", 2).alias("median_daily_dollar_volume"), "first_valid_formation_date", "last_valid_formation_date", "exclusion_reasons",
+        rnd(F.col("median_daily_dollar_volume") + 1e-6, 2).alias("median_daily_dollar_volume"), "first_valid_formation_date", "last_valid_formation_date", "exclusion_reasons",
     )
 
 
@@ -115,9 +115,9 @@ def universe(spark, d):
     return U.select_universe(candidates(spark, d), 10, min_completeness=0.3)
 
 
-@query("select_universe", "SELECT instrument_id, rank, CAST(least(5, (rank - 1) * 5 // 10 + 1) AS INTEGER) AS liquidity_group, round(dv, 2) AS median_daily_dollar_volume FROM c_universe")
+@query("select_universe", "SELECT instrument_id, rank, CAST(least(5, (rank - 1) * 5 // 10 + 1) AS INTEGER) AS liquidity_group, round(dv + 1e-6, 2) AS median_daily_dollar_volume FROM c_universe")
 def select_universe(spark, d):
-    return universe(spark, d).select("instrument_id", "rank", "liquidity_group", rnd("median_daily_dollar_volume", 2).alias("median_daily_dollar_volume"))
+    return universe(spark, d).select("instrument_id", "rank", "liquidity_group", rnd(F.col("median_daily_dollar_volume") + 1e-6, 2).alias("median_daily_dollar_volume"))
 
 
 cte("c_spaced", "SELECT u.* FROM c_universe u JOIN (SELECT CAST(round_even(range * 9 / 3, 0) AS INTEGER) + 1 AS rank FROM range(4)) USING (rank)")
