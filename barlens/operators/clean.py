@@ -19,6 +19,16 @@ from barlens.schema import (
 
 SESSION = ("instrument_id", "session_date")
 
+# The reasons a daily bar is rejected for, in the order they are checked.
+DAILY_REASONS = {
+    "date": "daily timestamp is not an expected XNYS session",
+    "finite": "daily values must be finite",
+    "price": "daily prices must be positive",
+    "activity": "daily volume and trade count must be positive",
+    "ohlc": "daily OHLC high/low invariants are violated",
+    "identity": "daily stable identity and symbol are required",
+}
+
 
 def regular_hours(bars: DataFrame, spec: SessionSpec) -> DataFrame:
     """Rows inside the half-open session."""
@@ -216,12 +226,12 @@ def validate_daily(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     return marked.withColumn(
         "reasons",
         reasons(
-            (F.col("_expected").isNull(), "daily timestamp is not an expected XNYS session"),
-            (f["nonfinite"], "daily values must be finite"),
-            (f["bad_price"], "daily prices must be positive"),
-            (inactive, "daily volume and trade count must be positive"),
-            (f["ohlc"], "daily OHLC high/low invariants are violated"),
-            (~f["nonfinite"] & blank, "daily stable identity and symbol are required"),
+            (F.col("_expected").isNull(), DAILY_REASONS["date"]),
+            (f["nonfinite"], DAILY_REASONS["finite"]),
+            (f["bad_price"], DAILY_REASONS["price"]),
+            (inactive, DAILY_REASONS["activity"]),
+            (f["ohlc"], DAILY_REASONS["ohlc"]),
+            (~f["nonfinite"] & blank, DAILY_REASONS["identity"]),
         ),
     ).drop("_expected")
 
