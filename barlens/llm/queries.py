@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import minhash
+from barlens.llm import minhash, packing, risk_rules
 from barlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,43 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_packing(spark, d):
+    return packing.pack(packing.pieces(table(spark, d, "documents")))
+
+
 @query
 def op3_minhash_near_dedup(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op9_quality_rules(spark, d):
+    out = risk_rules.judged(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select("doc_id", *risk_rules.BASE, "base_failed", "kept", "stratum", "level")
+
+
+_LADDER = ", ".join("[" + ", ".join(f"{c!r}" for c in cuts) + "]" for cuts in risk_rules.LADDER)
+ORACLES["op9_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM t),
+g AS (SELECT doc_id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1),
+cover AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) GROUP BY 1),
+c AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS echo FROM w LEFT JOIN cover USING (doc_id)),
+s AS (SELECT *, [CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN word_chars > 0 THEN caps / word_chars ELSE 0 END,
+  CASE WHEN n_words > 0 THEN bangs / n_words ELSE 0 END, CASE WHEN n_words > 0 THEN echo / n_words ELSE 0 END] AS v FROM c),
+ladder AS (SELECT unnest(range(1, {len(risk_rules.LADDER) + 1})) AS level, unnest([{_LADDER}]) AS cut),
+h AS (SELECT doc_id, stratum, level, v[1] > cut[1] OR v[2] > cut[2] OR v[3] > cut[3] OR v[4] > cut[4] OR v[5] > cut[5] AS hit FROM s, ladder),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+k AS (SELECT stratum, level, count(*) AS n, count(*) FILTER (hit) AS k FROM h JOIN good USING (doc_id) GROUP BY 1, 2),
+p AS (SELECT stratum, level, CASE WHEN k < n * 0.05 THEN (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(0.95))) FROM (SELECT unnest(range(0, k + 1)) AS j)) ELSE 1 END AS p, (SELECT count(DISTINCT stratum) FROM k) AS m FROM k),
+stop AS (SELECT stratum, coalesce(min(level) FILTER (p > 0.05 / m), {len(risk_rules.LADDER) + 1}) - 1 AS level FROM p GROUP BY 1)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(h.hit, false) AS kept, s.stratum, CAST(coalesce(stop.level, 0) AS INTEGER) AS level
+FROM s LEFT JOIN stop USING (stratum) LEFT JOIN h ON h.doc_id = s.doc_id AND h.level = stop.level
+"""
