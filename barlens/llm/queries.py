@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import minhash, packing, risk_rules
-from barlens.llm.common import table
+from barlens.llm import minhash, packing, range_join, risk_rules, zip_warc
+from barlens.llm.common import drop_path, scratch_path, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_embedding_near_dedup(spark, d):
+    return range_join.linked(table(spark, d, "embeddings"))
+
+
 @query
 def op2_packing(spark, d):
     return packing.pack(packing.pieces(table(spark, d, "documents")))
@@ -59,3 +64,29 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(h.hit, false) AS kept, s.stratum, CAST(coalesce(stop.level, 0) AS INTEGER) AS level
 FROM s LEFT JOIN stop USING (stratum) LEFT JOIN h ON h.doc_id = s.doc_id AND h.level = stop.level
 """
+
+
+@query
+def op10_warc(spark, d):
+    folder = scratch_path(spark, "warc")
+    out = settle(zip_warc.archived(table(spark, d, "pages"), folder))
+    drop_path(spark, folder)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, url, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to, url FROM r
+"""
+# A cosine over a label's pairs; components by the smallest label reached, as often as it still falls.
+ORACLES["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.y, reach.c FROM reach JOIN l ON l.x = reach.x),
+c AS (SELECT x, min(c) AS c FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
