@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import minhash, packing, range_join, risk_rules, zip_warc
+from barlens.llm import minhash, mixing, ordinal, packing, range_join, risk_rules, zip_warc
 from barlens.llm.common import drop_path, scratch_path, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,27 @@ def op3_minhash_near_dedup(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"))
 
 
+# The mixture of the registered query: invented domains, four of five documents wanted, two languages favoured, one source halved.
+DOMAIN = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(4)).cast("string"))
+MIX = {"domain": {"d0": 3.0, "d1": 2.0}, "lang": {"en": 4.0, "de": 2.0}, "source": {"src0": 0.5}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 2.0, 17
+
+
+@query
+def op6_mixing(spark, d):
+    docs = table(spark, d, "documents")
+    leaves = settle(mixing.plan(docs, domain=DOMAIN, weights=MIX, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED))
+    out = mixing.mixed(docs.select("doc_id", "lang", "source"), leaves, domain=DOMAIN, seed=MIX_SEED)
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "domain", "lang", "source", "repeats")
+
+
+@query
+def op8_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    model = ordinal.fit(docs, ordinal.ratings(table(spark, d, "labels")))
+    return ordinal.scored(docs, model)
+
+
 @query
 def op9_quality_rules(spark, d):
     out = risk_rules.judged(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -90,3 +111,36 @@ reach AS (SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.y, reach.c FROM
 c AS (SELECT x, min(c) AS c FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
 """
+
+
+def _fill(depth: int) -> str:
+    """SQL of one level of water-filling: a child is full if what the fuller ones leave gives it more than its room."""
+    names = list(mixing.LEVELS[: depth + 1])
+    at, up = ", ".join(names), ", ".join(names[:-1])
+    by = f"PARTITION BY {up}" if up else ""
+    budget = "(SELECT sum(tokens) FROM leaf) * %r" % MIX_SHARE if not depth else "p.budget"
+    source = f"FROM (SELECT {at}, sum(tokens) * {MIX_EPOCHS!r} AS room, any_value(w{depth}) AS weight FROM weighted GROUP BY {at}) x" + (f" JOIN f{depth - 1} p USING ({up})" if depth else "")
+    return f"""r{depth} AS (SELECT x.*, CAST({budget} AS DOUBLE) AS given {source}),
+s{depth} AS (SELECT *, sum(weight) OVER ({by}) - sum(weight) OVER o + weight AS w, sum(room) OVER o - room AS c FROM r{depth} WINDOW o AS ({by} ORDER BY room / weight, {at} ROWS UNBOUNDED PRECEDING)),
+l{depth} AS (SELECT *, max(CASE WHEN room > (given - c) / w * weight THEN (given - c) / w END) OVER ({by}) AS level FROM s{depth}),
+f{depth} AS (SELECT {at}, least(room, greatest(0, coalesce(level * weight, room))) AS budget FROM l{depth})"""
+
+
+def _weight(level: str) -> str:
+    return "CASE " + level + " " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in MIX[level].items()) + " ELSE 1.0 END"
+
+
+ORACLES["op6_mixing"] = rf"""
+WITH doc AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS t FROM documents),
+leaf AS (SELECT domain, lang, source, count(*) AS n, sum(t) AS tokens FROM doc GROUP BY 1, 2, 3),
+weighted AS (SELECT *, {_weight("domain")} AS w0, {_weight("lang")} AS w1, {_weight("source")} AS w2 FROM leaf),
+{_fill(0)},
+{_fill(1)},
+{_fill(2)},
+b AS (SELECT domain, lang, source, tokens, floor(budget + 1e-6) AS budget FROM leaf JOIN f2 USING (domain, lang, source)),
+e AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens) AS BIGINT) ELSE 0 END AS full_epochs FROM b),
+x AS (SELECT doc_id, domain, lang, source, t, full_epochs, budget - full_epochs * tokens AS rest, CAST('0x' || substr(md5('{MIX_SEED}:' || full_epochs || ':' || doc_id), 1, 15) AS BIGINT) AS draw FROM doc JOIN e USING (domain, lang, source)),
+y AS (SELECT *, sum(t) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM x)
+SELECT doc_id, domain, lang, source, full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS repeats FROM y WHERE full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
+"""
