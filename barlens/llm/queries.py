@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import minhash, mixing, ordinal, packing, range_join, risk_rules, zip_warc
-from barlens.llm.common import drop_path, scratch_path, settle, table
+from barlens.llm import html_text, licenses, minhash, mixing, ordinal, packing, range_join, risk_rules, token_rollup, zip_warc
+from barlens.llm.common import drop_path, scratch_path, settle, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,31 @@ def op3_minhash_near_dedup(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op4_token_counts(spark, d):
+    """All documents arrive, every twentieth first as a draft with a wrong source, next to drafts that never become documents;
+    then the drafts are revised, the others deleted, and the revision is sent again."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    draft = F.pmod(F.col("doc_id"), F.lit(20)) == 0
+    change = lambda df, kind, n: df.select("doc_id", F.lit(kind).alias("change"), "text", "source", "lang", F.lit(n).alias("seq"))
+    early = docs.withColumns({"text": F.when(draft, F.substring("text", 1, 100)).otherwise(F.col("text")), "source": F.when(draft, F.lit("draft")).otherwise(F.col("source"))})
+    stray = docs.where(draft).select((-F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 50).alias("text"), "source", "lang")
+    folder = scratch_path(spark, "rollup")
+    rollup = token_rollup.Rollup(spark, folder, {"byte_bpe_50k": tokenizer_file(), "words": None})
+    rollup.commit("1-arrive", change(early.unionByName(stray), "insert", 1))
+    rollup.commit("2-revise", change(docs.where(draft), "revise", 2))
+    rollup.commit("3-delete", change(stray, "delete", 3))
+    rollup.commit("2-revise", change(docs.where(draft), "revise", 2))
+    out = settle(rollup.totals())
+    drop_path(spark, folder)
+    return out
+
+
+@query
+def op5_license_scans(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
 # The mixture of the registered query: invented domains, four of five documents wanted, two languages favoured, one source halved.
 DOMAIN = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(4)).cast("string"))
 MIX = {"domain": {"d0": 3.0, "d1": 2.0}, "lang": {"en": 4.0, "de": 2.0}, "source": {"src0": 0.5}}
@@ -48,6 +73,11 @@ def op6_mixing(spark, d):
     return out.select(F.col("_row.doc_id").alias("doc_id"), "domain", "lang", "source", "repeats")
 
 
+@query
+def op7_html_extraction(spark, d):
+    return html_text.extract(table(spark, d, "pages"))
+
+
 @query
 def op8_quality_classifier(spark, d):
     docs = table(spark, d, "documents")
@@ -132,7 +162,8 @@ def _weight(level: str) -> str:
 
 ORACLES["op6_mixing"] = rf"""
 WITH doc AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS t FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS t FROM documents),
 leaf AS (SELECT domain, lang, source, count(*) AS n, sum(t) AS tokens FROM doc GROUP BY 1, 2, 3),
 weighted AS (SELECT *, {_weight("domain")} AS w0, {_weight("lang")} AS w1, {_weight("source")} AS w2 FROM leaf),
 {_fill(0)},
@@ -144,3 +175,29 @@ x AS (SELECT doc_id, domain, lang, source, t, full_epochs, budget - full_epochs
 y AS (SELECT *, sum(t) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM x)
 SELECT doc_id, domain, lang, source, full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS repeats FROM y WHERE full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
 """
+
+
+def _license_sql() -> str:
+    """Every window of every template group, counted without bands."""
+    parts, rows = [], []
+    for name, text in licenses.TEMPLATES.items():
+        w = licenses.words(text)
+        k = min(licenses.SHINGLE, len(w))
+        rows += [f"('{name}', {len(w)}, '{s}')" for s in dict.fromkeys(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))]
+    for length, g in licenses.groups(licenses.TEMPLATES, 0.8, 1e-4).items():
+        k, width, stride = g["k"], g["window"] - g["k"] + 1, g["stride"]
+        parts.append(f"""SELECT doc_id, license, at, count(DISTINCT s) / any_value(t) AS containment, least(at + {width}, any_value(n) - {k - 1}) + {k - 1} AS last_word FROM (
+  SELECT h.*, unnest(range(CAST(greatest(0, ceil((i - {width - 1}) / {stride}.0)) * {stride} AS BIGINT), i + 1, {stride})) AS at FROM hit{length} h) GROUP BY doc_id, license, at""")
+    hits = ",\n".join(
+        f"""hit{n} AS (SELECT doc_id, n, i, license, s, t FROM (SELECT doc_id, len(w) AS n, i, array_to_string(w[i + 1:i + {g['k']}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - {g['k'] - 1})) AS i FROM w WHERE len(w) >= {g['k']})) JOIN (SELECT * FROM tpl WHERE length = {n}) USING (s))"""
+        for n, g in licenses.groups(licenses.TEMPLATES, 0.8, 1e-4).items()
+    )
+    union = "\nUNION ALL ".join(parts)
+    return rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+tpl AS (SELECT *, count(*) OVER (PARTITION BY license) AS t FROM (VALUES {", ".join(rows)}) v(license, length, s)),
+{hits},
+x AS ({union})
+SELECT doc_id, license, CAST(at AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, at) AS r FROM x WHERE containment >= 0.8) WHERE r = 1"""
+
+
+ORACLES["op5_license_scans"] = _license_sql()
