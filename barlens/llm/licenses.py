@@ -25,6 +25,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlens.llm.common import settle
+
 SHINGLE = 5
 SPLIT = r"[^\p{L}\p{N}]+"
 # Notices as their authors ask for them, and common short forms.
@@ -83,7 +85,16 @@ def _shingled(words, k: int):
 
 
 def _keys(shingles, bands: int):
-    return F.array(*(F.xxhash64(F.lit(b), F.array_min(F.transform(shingles, lambda s, b=b: F.xxhash64(s, F.lit(b))))) for b in range(bands)))
+    """One key a band: the smallest value of the shingles under the band's hash function."""
+
+    def key(b: int):
+        return F.xxhash64(F.lit(b), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(b)))))
+
+    return F.array(*map(key, range(bands)))
+
+
+def _window(width: int):
+    return lambda i: F.struct(i.alias("at"), F.slice("_s", i + 1, width).alias("items"))
 
 
 def library(spark: SparkSession, templates: Mapping[str, str], similarity: float, miss: float) -> DataFrame:
@@ -113,14 +124,14 @@ def scan(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, similarit
     may = F.lit(False)
     for a in anchors(templates, similarity):
         may = may | F.col("_t").contains(f" {a} ")
-    able = plain.withColumn("_t", joined).where(may).select("doc_id", F.array_remove("_w", "").alias("_w"))
+    able = settle(plain.withColumn("_t", joined).where(may).select("doc_id", F.array_remove("_w", "").alias("_w")))
     found = None
     for length, g in groups(templates, similarity, miss).items():
         own = sorted({k for r in rows if r["length"] == length for k in r["keys"]})
         shingled = able.withColumn("_s", _shingled(F.col("_w"), g["k"])).where(F.size("_s") > 0)
         width = g["window"] - g["k"] + 1
         starts = F.sequence(F.lit(0), F.size("_s") - 1, F.lit(g["stride"]))
-        made = F.transform(starts, lambda i, width=width: F.struct(i.alias("at"), F.slice("_s", i + 1, width).alias("items")))
+        made = F.transform(starts, _window(width))
         windows = shingled.select("doc_id", F.explode(made).alias("_x")).select("doc_id", F.col("_x.at").alias("at"), F.col("_x.items").alias("items"))
         keyed = windows.withColumn("key", F.explode(F.array_distinct(_keys(F.col("items"), g["bands"])))).where(F.col("key").isin(own))
         of = known.where(F.col("length") == length).select("license", F.col("items").alias("want"), F.explode(F.array_distinct("keys")).alias("key"))

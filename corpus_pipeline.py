@@ -1,29 +1,66 @@
-"""From raw documents to packed sequences: the stages in order, each over all rows that its predecessor kept."""
+"""From raw documents to packed sequences: the stages in order, each over all rows that its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``; rows whose ``doc_id`` is null pass the stages that compare
+documents by id. A stage carries a document's columns along with its verdict, so texts are moved by the stage that removes
+near copies only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import minhash
-from barlens.llm.common import table
+from barlens.llm import minhash, mixing, ordinal, packing, risk_rules
+from barlens.llm.common import settle, table
+from barlens.llm.queries import domain
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The mixture: domains two to one, the language with most text not above its share, nine tenths of all tokens, no document twice.
+WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 2.0}}
+SHARE, SEED = 0.9, 29
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or the cutoffs certified for their language, go."""
+    return risk_rules.judged(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select("_row.*")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely poor than sound go."""
+    model = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    return ordinal.scored(docs, model, carry=COLUMNS).where("kept").select("_row.*")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each domain, language and source gives the tokens that the weights ask of it."""
+    leaves = settle(mixing.plan(docs, domain=domain(), weights=WEIGHTS, share=SHARE, max_epochs=1, seed=SEED))
+    return mixing.mixed(docs.select(*COLUMNS), leaves, domain=domain(), seed=SEED).select("_row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack(packing.pieces(docs))
 
 
-STAGES = [("minhash_near_dedup", deduplicate)]
+STAGES = [
+    ("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("minhash_near_dedup", minhash_near_dedup),
+    ("mix_sources", mix_sources), ("pack_sequences", pack_sequences),
+]
 
-#: Python sketches and a fitted classifier are beyond SQL; tests/llm holds the stages against brute force.
+#: Sketches, a fitted classifier and a tokenizer are beyond SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs
