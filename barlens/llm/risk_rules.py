@@ -159,4 +159,6 @@ def judged(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta: flo
     out = counts(docs, carry).join(levels, "stratum", "left")
     level = F.coalesce(F.col("level"), F.lit(0))
     failed = base_failed()
-    return out.withColumns({"level": level, "base_failed": failed, "kept": ~failed & (strictness(ladder) > level)})
+    out = out.withColumns({"level": level, "base_failed": failed, "_verdict": ~failed & (strictness(ladder) > level)})
+    # A filter on a generated column stays above; pushed down, it would repeat every step of the counts inside itself.
+    return out.withColumn("kept", F.explode(F.array("_verdict"))).drop("_verdict")

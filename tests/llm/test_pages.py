@@ -29,7 +29,7 @@ def test_text_without_article_markup():
     assert html_text.main_text(page) == f"Title\n\n{text}\n\nHm.\n\n{text}"
 
 
-@pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "<!--", "<script>", "<nav>only a menu", "</div></p>"])
+@pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "<script>", "<nav>only a menu", "</div></p>"])
 def test_pages_without_text(html):
     assert html_text.main_text(html) in ("", "<", "<p")
 
