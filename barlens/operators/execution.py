@@ -17,58 +17,76 @@ from barlens.functions.scalar import is_finite, reference_price, side_sign, slip
 ORDER = ("order_id",)
 
 
-def prepare_window(orders: DataFrame, bars: DataFrame, *, salts: int = 16) -> DataFrame:
-    """Order buckets: the valid bars of the order's session inside its window.
-
-    A session's bars (unique per minute) are packed into one row of at most
-    ``spec.minutes`` entries, so an order meets one row instead of its bars,
-    and everything that depends on the window alone is computed inside the
-    row. Orders are salted and the packed sessions repeated per salt, so a
-    session that very many orders trade is spread over ``salts`` tasks. Where
-    the packed sessions are small Spark broadcasts them after checking their
-    size.
+def prepare_window(orders: DataFrame, bars: DataFrame, *, hot: int = 50_000) -> DataFrame:
+    """Order buckets: the bars of the order's session inside its window, and a ``status`` for every order.
+
+    An order that cannot be run keeps one row without a bucket (``k``,
+    ``minute`` and the bar are NULL, ``n`` is 0) whose status says why:
+    ``no_session``, ``duplicate_minutes`` (of the session), ``empty_window`` or
+    ``bad_bars`` (a price that is not positive and finite, or a negative volume,
+    inside the window). No bar is left out of a window.
+
+    A session's bars are packed into one row, so an order meets one row instead
+    of its bars, and everything that depends on the window alone is computed
+    inside the row. Only a session with more than ``hot`` orders is copied, once
+    per ``hot`` orders, so that it is spread over tasks. Where the packed
+    sessions are small Spark broadcasts them after checking their size.
     """
-    usable = F.col("volume") >= 0
+    usable = F.coalesce(F.col("volume") >= 0, F.lit(False))
     for c in ("open", "high", "low", "close"):
-        usable = usable & is_finite(c) & (F.col(c) > 0)
-    bar = F.struct("minute", "volume", "reference_price", "open", "close")
+        usable = usable & F.coalesce(is_finite(c) & (F.col(c) > 0), F.lit(False))
+    key = ["instrument_id", "session_date"]
+    bar = F.struct("minute", "volume", "reference_price", "open", "close", "_usable")
+    good = lambda c: F.when(F.col("_usable"), c)
     sessions = (
-        bars.where(usable)
-        .withColumn("reference_price", reference_price())
-        .groupBy("instrument_id", "session_date")
+        bars.withColumns({"reference_price": reference_price(), "_usable": usable})
+        .groupBy(*key)
         .agg(
             F.sort_array(F.collect_list(bar)).alias("_bars"),
-            F.try_divide(F.sum(F.col("reference_price") * F.col("volume")), F.sum("volume")).alias("session_vwap"),
-            F.sum("volume").alias("session_volume"),
+            F.try_divide(F.sum(good(F.col("reference_price") * F.col("volume"))), F.sum(good(F.col("volume")))).alias("session_vwap"),
+            F.sum(good(F.col("volume"))).alias("session_volume"),
             F.count_distinct("minute").alias("_minutes"),
         )
     )
-    twice = F.raise_error(F.lit("bars must be unique per session minute"))
-    sessions = sessions.withColumn(
-        "_bars", F.when(F.size("_bars") == F.col("_minutes"), F.col("_bars")).otherwise(twice.cast(sessions.schema["_bars"].dataType))
-    ).drop("_minutes")
-    salted = sessions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    busy = orders.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / hot).alias("_copies")).where("_copies > 1")
+    copies = F.coalesce(F.col("_copies"), F.lit(1))
+    salted = sessions.join(busy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).drop("_copies")
     # narrow rows move to their order's partition here; every later window by order finds them there
-    keyed = orders.repartition("order_id").withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(salts)).cast("int"))
+    keyed = orders.repartition("order_id").join(busy, key, "left").withColumn("_salt", F.pmod(F.xxhash64("order_id"), copies)).drop("_copies")
     mine = F.filter(
         "_bars", lambda x: (x["minute"] >= F.col("start_minute")) & (x["minute"] < F.col("end_minute"))
     )
-    j = keyed.join(salted, ["instrument_id", "session_date", "_salt"]).withColumn("_bars", mine).where(F.size("_bars") > 0)
+    j = keyed.join(salted, [*key, "_salt"], "left").withColumn("_mine", mine)
+    status = (
+        F.when(F.col("_bars").isNull(), "no_session")
+        .when(F.size("_bars") != F.col("_minutes"), "duplicate_minutes")
+        .when(F.size("_mine") == 0, "empty_window")
+        .when(F.exists("_mine", lambda x: ~x["_usable"]), "bad_bars")
+        .otherwise("ok")
+    )
+    j = j.withColumn("status", status).withColumn("_bars", F.when(F.col("status") == "ok", F.col("_mine")))
     j = j.withColumns(
         {
-            "n": F.size("_bars"),
-            "arrival_price": F.col("_bars")[0]["reference_price"],
+            "n": F.when(F.col("status") == "ok", F.size("_bars")).otherwise(0),
+            "arrival_price": F.get("_bars", F.lit(0))["reference_price"],
             "window_volume": F.aggregate("_bars", F.lit(0).cast("bigint"), lambda a, x: a + x["volume"].cast("bigint")),
         }
     )
-    keep = [*orders.columns, "session_vwap", "session_volume", "n", "arrival_price", "window_volume"]
-    return j.select(*keep, F.posexplode("_bars").alias("k", "_b")).select(*keep, "k", "_b.*")
+    keep = [*orders.columns, "session_vwap", "session_volume", "n", "arrival_price", "window_volume", "status"]
+    fields = [F.col("_b")[c].alias(c) for c in ("minute", "volume", "reference_price", "open", "close")]
+    return j.select(*keep, F.posexplode_outer("_bars").alias("k", "_b")).select(*keep, "k", *fields)
+
+
+def _status(df: DataFrame, problem: Column, name: str) -> DataFrame:
+    """Note a problem of an order that had none so far."""
+    old = F.col("status") if "status" in df.columns else F.lit("ok")
+    return df.withColumn("status", F.when((old == "ok") & problem, name).otherwise(old))
 
 
 def twap_schedule(buckets: DataFrame) -> DataFrame:
     """Even split, the remainder one share each to the first buckets."""
     q, n = F.col("quantity"), F.col("n")
-    return buckets.withColumn("planned", F.floor(q / n) + (F.col("k") < q % n).cast("bigint"))
+    return buckets.withColumn("planned", F.when(n > 0, F.floor(q / n) + (F.col("k") < q % n).cast("bigint")))
 
 
 def largest_remainder(
@@ -86,6 +104,8 @@ def largest_remainder(
 
     Floors first; then one unit each to the largest fractions that still have
     room; then leftovers in index order through a running sum of free room.
+    Where the capacities do not hold the target, or a value is missing, the
+    plan is NULL, and the order's ``status`` is ``infeasible`` in the first case.
     """
     whole = Window.partitionBy(*keys)
     clipped = F.greatest(F.lit(0.0), F.least(F.col(value), F.col(capacity).cast("double")))
@@ -111,8 +131,11 @@ def largest_remainder(
         ),
     )
     extra = F.greatest(F.lit(0), F.least(F.col(capacity) - F.col("_step"), F.col("_rest") - F.col("_free_before")))
-    return a.withColumn(name, (F.col("_step") + extra).cast("bigint")).drop(
-        "_c", "_base", "_frac", "_left", "_turn", "_step", "_rest", "_free_before"
+    fits = F.sum(capacity).over(whole) >= F.col(target)
+    a = a.withColumns({"_fits": fits, "_whole": F.count_if(F.col(value).isNull()).over(whole) == 0})
+    a = a.withColumn(name, F.when(F.col("_fits") & F.col("_whole"), (F.col("_step") + extra).cast("bigint")))
+    return _status(a, F.col("_whole") & ~F.col("_fits"), "infeasible").drop(
+        "_c", "_base", "_frac", "_left", "_turn", "_step", "_rest", "_free_before", "_fits", "_whole"
     )
 
 
@@ -123,16 +146,17 @@ def _plan_by_shares(buckets: DataFrame, share: str) -> DataFrame:
     want = F.when(F.col("_mass") > 0, F.col("quantity") * positive / F.col("_mass")).otherwise(0.0)
     weighted = buckets.withColumn("_mass", mass).withColumns({"_want": want, "_cap": F.col("quantity")})
     planned = largest_remainder(weighted, value="_want", capacity="_cap", target="quantity")
-    return planned.withColumn("planned", F.when(F.col("_mass") > 0, F.col("planned"))).drop("_mass", "_want", "_cap")
+    planned = planned.withColumn("planned", F.when(F.col("_mass") > 0, F.col("planned")))
+    return _status(planned, ~(F.col("_mass") > 0), "no_forecast").drop("_mass", "_want", "_cap")
 
 
 def vwap_schedule(buckets: DataFrame, share: str = "share") -> DataFrame:
     """Order quantity in proportion to forecast shares, rounded by largest remainder.
 
     The shares are those of the order's own buckets; an order without positive
-    shares has no schedule.
+    shares keeps its rows without a plan, with status ``no_forecast``.
     """
-    return _plan_by_shares(buckets, share).where("planned is not null")
+    return _plan_by_shares(buckets, share)
 
 
 def oracle_vwap_schedule(buckets: DataFrame, *, allow_evaluation_only: bool = False) -> DataFrame:
@@ -154,7 +178,7 @@ def almgren_chriss_schedule(buckets: DataFrame, *, eta: Column, volatility: Colu
         held = q * F.exp(-kap * j) * (-F.expm1(-2.0 * kap * (n - j))) / (-F.expm1(-2.0 * kap * n))
         return F.when(j == n, F.lit(0.0)).otherwise(held)
 
-    want = F.when(F.col("_ratio") <= 1e-14, q / n).otherwise(inventory(k) - inventory(k + 1))
+    want = F.when(n > 0, F.when(F.col("_ratio") <= 1e-14, q / n).otherwise(inventory(k) - inventory(k + 1)))
     b = b.withColumns({"_want": want, "_cap": F.col("quantity")})
     return largest_remainder(b, value="_want", capacity="_cap", target="quantity", tolerance=1e-5).drop(
         "_ratio", "_kappa", "_want", "_cap"
@@ -162,9 +186,10 @@ def almgren_chriss_schedule(buckets: DataFrame, *, eta: Column, volatility: Colu
 
 
 def static_fills(schedule: DataFrame, hard_rate: float | Column = 0.1) -> DataFrame:
-    """Fills of a fixed plan: the plan or the participation cap, whichever is less."""
+    """Fills of a fixed plan: the plan or the participation cap, whichever is less; nothing without a plan."""
     cap = F.greatest(F.lit(0), F.floor(_rate(hard_rate) * F.col("volume")))
-    return schedule.withColumns({"capacity": cap, "executed": F.least(F.col("planned"), cap)})
+    done = F.when(F.col("planned").isNull(), F.lit(0).cast("bigint")).otherwise(F.least(F.col("planned"), cap))
+    return schedule.withColumns({"capacity": cap, "executed": done})
 
 
 def pov_fills(buckets: DataFrame, rate: float | Column = 0.05, hard_rate: float | Column = 0.1) -> DataFrame:
@@ -176,7 +201,7 @@ def pov_fills(buckets: DataFrame, rate: float | Column = 0.05, hard_rate: float
     b = b.withColumn("_cum", F.least(F.col("quantity"), F.sum("_a").over(by.rowsBetween(Window.unboundedPreceding, 0))))
     before = F.coalesce(F.lag("_cum").over(by), F.lit(0))
     return b.withColumns(
-        {"planned": F.least(ask, F.col("quantity") - before), "executed": F.col("_cum") - before}
+        {"planned": F.when(ask.isNotNull(), F.least(ask, F.col("quantity") - before)), "executed": F.col("_cum") - before}
     ).drop("_a", "_cum")
 
 
@@ -233,10 +258,12 @@ def tca_summary(log: DataFrame, keys: Sequence[str] = ORDER, carry: Sequence[str
     """One row per order; prices and shortfalls are NULL when nothing filled.
 
     All columns come from one aggregation of the log. The order's constants
-    are grouping columns, which keeps every buffer fixed-width.
+    are grouping columns, which keeps every buffer fixed-width. An order that
+    could not be run has a row too: nothing filled, and its ``status``.
     """
     sign = side_sign("side")
     filled = F.sum("executed")
+    carry = [*carry, *(["status"] if "status" in log.columns and "status" not in carry else [])]
     g = log.groupBy(*keys, *(c for c in carry if c not in keys)).agg(
         filled.alias("filled"),
         F.sum(F.col("executed") * F.col("execution_price")).alias("filled_notional"),
@@ -250,7 +277,7 @@ def tca_summary(log: DataFrame, keys: Sequence[str] = ORDER, carry: Sequence[str
         F.max("participation").alias("maximum_participation"),
         F.min("minute").alias("first_minute"),
         F.max("minute").alias("last_minute"),
-        F.count(F.lit(1)).alias("buckets"),
+        F.count("minute").alias("buckets"),
     )
     some = F.col("filled") > 0
     average = F.when(some, F.col("filled_notional") / F.col("filled"))

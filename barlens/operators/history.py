@@ -105,20 +105,23 @@ def seasonal_ewma(
     """Per token EWMA of the prior sessions and ADV of their daily totals.
 
     Sessions must hold all ``token_count`` tokens, so the rows before a token
-    in its own series are exactly the preceding sessions.
+    in its own series are exactly the preceding sessions. ``previous_close`` is
+    the close of the session before, which is known for the first session
+    returned too, as it is taken before sessions without history are left out.
     """
     series = Window.partitionBy(*keys, "token").orderBy("session_date").rowsBetween(-sessions, -1)
     decay = 1.0 - 2.0 / (sessions + 1.0)
     whole = tokens.groupBy(*keys, "session_date").agg(
-        F.count(F.lit(1)).alias("_tokens"), F.sum("volume").alias("_daily")
+        F.count(F.lit(1)).alias("_tokens"), F.sum("volume").alias("_daily"), F.max_by("close", "token").alias("_close")
     ).where(F.col("_tokens") == token_count)
     days = Window.partitionBy(*keys).orderBy("session_date")
     daily = whole.withColumns(
         {
             "adv20": F.avg("_daily").over(days.rowsBetween(-sessions, -1)),
             "cutoff": F.lag("session_date").over(days),
+            "previous_close": F.lag("_close").over(days),
         }
-    ).drop("_tokens", "_daily")
+    ).drop("_tokens", "_daily", "_close")
     full = tokens.join(daily, [*keys, "session_date"])
     return full.withColumns(
         {f"expected_{c}": ewma_of(F.collect_list(F.col(c).cast("double")).over(series), decay) for c in values}
@@ -152,17 +155,8 @@ def token_features(baseline: DataFrame, benchmark: DataFrame, *, token_count: in
         (F.log1p("volume") - F.log1p("expected_volume")).alias("benchmark_volume_surprise"),
         F.col("realized_volatility").alias("benchmark_realized_vol"),
     )
-    closes = (
-        baseline.groupBy(*keys, "session_date")
-        .agg(F.max_by("close", "token").alias("_close"))
-        .withColumn("_previous", F.lag("_close").over(Window.partitionBy(*keys).orderBy("session_date")))
-        .drop("_close")
-    )
-    t = baseline.join(closes, [*keys, "session_date"])
-    if "previous_close" in baseline.columns:
-        t = t.withColumn("_previous", F.col("previous_close"))
-    t = t.join(b, ["session_date", "token"])
-    prior = F.coalesce(F.lag("close").over(by), F.col("_previous"))
+    t = baseline.join(b, ["session_date", "token"])
+    prior = F.coalesce(F.lag("close").over(by), F.col("previous_close"))
     surprise = F.log1p("volume") - F.log1p("expected_volume")
     t = t.withColumns({"_prior": prior, "volume_surprise": surprise})
     angle = F.lit(2.0) * F.pi() * (F.col("token") + 0.5) / token_count
@@ -185,7 +179,7 @@ def token_features(baseline: DataFrame, benchmark: DataFrame, *, token_count: in
             "time_cos": F.cos(angle),
             "time_fraction": (F.col("token") + 1) / F.lit(token_count),
         }
-    ).drop("_prior", "_previous")
+    ).drop("_prior", "previous_close")
 
 
 def first_open() -> Column:

@@ -247,13 +247,18 @@ def class_scores(predictions: DataFrame, by: Sequence[str] = (), label: str = "l
     )
 
 
-def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str = "label", iterations: int = 100) -> DataFrame:
-    """Test predictions of a logistic model fitted on TRAIN rows only."""
+def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str = "label", iterations: int = 500, c: float = 1.0) -> DataFrame:
+    """Test predictions of a logistic model fitted on TRAIN rows only.
+
+    The penalty is half the squared weights against ``c`` times the summed
+    losses, on the features as they are.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     as_rows = lambda df: df.withColumn("_x", array_to_vector(vector)).withColumn("_y", F.col(label).cast("double"))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=iterations).fit(as_rows(train))
+    penalty = 1.0 / (c * max(train.count(), 1))  # Spark averages the losses
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=iterations, regParam=penalty, elasticNetParam=0.0, standardization=False).fit(as_rows(train))
     return model.transform(as_rows(test)).drop("_x", "_y", "rawPrediction", "probability")
 
 
@@ -299,8 +304,12 @@ def ridge_solve(sums: DataFrame, features: int, alphas: Sequence[float]) -> dict
     return out
 
 
-def linear_scores(rows: DataFrame, features: str, targets: str, slope: np.ndarray, intercept: np.ndarray, by: Sequence[str] = ()) -> DataFrame:
-    """NMSE, MAE and RMSE per target of a linear map, evaluated in the JVM."""
+def linear_scores(rows: DataFrame, features: str, targets: str, slope: np.ndarray, intercept: np.ndarray, by: Sequence[str] = (), scale: Sequence[float] | None = None) -> DataFrame:
+    """NMSE, MAE and RMSE per target of a linear map, evaluated in the JVM.
+
+    ``scale`` holds each target's variance on TRAIN; without it the variance of
+    the rows scored is used.
+    """
     k = len(intercept)
     columns = F.array(*(F.array(*(F.lit(float(v)) for v in slope[:, t])) for t in range(k)))
     base = F.array(*(F.lit(float(v)) for v in intercept))
@@ -308,8 +317,9 @@ def linear_scores(rows: DataFrame, features: str, targets: str, slope: np.ndarra
     predicted = F.zip_with(F.transform(columns, dot), base, lambda a, b: a + b)
     both = rows.select(*by, F.posexplode(F.arrays_zip(F.col(targets).alias("y"), predicted.alias("p"))).alias("target", "z"))
     e = F.col("z.p") - F.col("z.y")
+    spread = F.var_samp("z.y") if scale is None else F.get(F.array(*(F.lit(float(v)) for v in scale)), F.col("target"))
     return both.groupBy(*by, "target").agg(
-        (F.avg(e * e) / F.greatest(F.var_samp("z.y"), F.lit(EPS))).alias("nmse"),
+        (F.avg(e * e) / F.greatest(spread, F.lit(EPS))).alias("nmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
     )
@@ -320,12 +330,14 @@ def ridge_probe(
 ) -> DataFrame:
     """Ridge fitted on TRAIN, alpha chosen on validation, scored per target on test."""
     fits = ridge_solve(gram(train, features, targets), size, alphas)
+    spread = train.select(F.posexplode(targets).alias("target", "y")).groupBy("target").agg(F.var_pop("y").alias("v")).orderBy("target").collect()
+    scale = [r["v"] for r in spread]
     scored = []
     for a in alphas:
-        mean = linear_scores(validation, features, targets, *fits[a]).agg(F.avg("nmse")).first()[0]
+        mean = linear_scores(validation, features, targets, *fits[a], scale=scale).agg(F.avg("nmse")).first()[0]
         scored.append((mean, a))
     best = min(scored)[1]
-    return linear_scores(test, features, targets, *fits[best]).withColumn("alpha", F.lit(best))
+    return linear_scores(test, features, targets, *fits[best], scale=scale).withColumn("alpha", F.lit(best))
 
 
 def hash_normal(key: str) -> float:
@@ -386,13 +398,20 @@ def sliced_wasserstein(rows: DataFrame, key: str, vector: str, *, size: int, dir
 
 
 def select_lambda(candidates: DataFrame, runs: int = 2) -> DataFrame:
-    """Coefficient with the least mean error among those whose every run passed; ties to the smaller."""
+    """Coefficient with the least mean error among those whose every run passed; ties to the smaller.
+
+    A coefficient without all its runs, or no coefficient that passed, is an error.
+    """
     per = candidates.groupBy("coefficient").agg(
         F.avg("error").alias("error"),
         F.bool_and(F.col("gate") == "PASS").alias("passed"),
         F.count_distinct("geometry").alias("runs"),
     )
-    ok = per.where(F.col("passed") & (F.col("runs") == runs))
-    return ok.agg(
-        F.min_by("coefficient", F.struct("error", "coefficient")).alias("coefficient"), F.count(F.lit(1)).alias("eligible")
+    short = F.raise_error(F.lit("a coefficient lacks runs")).cast("boolean")
+    ok = F.when(F.col("runs") == runs, F.col("passed")).otherwise(short)
+    best = per.withColumn("ok", ok).agg(
+        F.min_by(F.when(F.col("ok"), F.col("coefficient")), F.when(F.col("ok"), F.struct("error", "coefficient"))).alias("coefficient"),
+        F.count_if("ok").alias("eligible"),
     )
+    none = F.raise_error(F.lit("no coefficient passed")).cast("double")
+    return best.withColumn("coefficient", F.when(F.col("eligible") > 0, F.col("coefficient")).otherwise(none))

@@ -40,8 +40,8 @@ def with_positions(
     # at most one row per shuffle partition and group
     chunks = Window.partitionBy(*(by or [F.lit(0)]))
     offsets = counts.select(
-        *by,
-        "_chunk",
+        *(F.col(c).alias(f"_of_{c}") for c in by),
+        F.col("_chunk").alias("_of_chunk"),
         F.coalesce(
             F.sum("_in_chunk").over(chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
@@ -49,10 +49,13 @@ def with_positions(
         F.sum("_in_chunk").over(chunks).alias(total),
     )
     placed = rows.withColumn("_local", F.coalesce(F.sum(w).over(local), F.lit(0)))
+    same = F.col("_chunk") == F.col("_of_chunk")
+    for c in by:  # a NULL group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     return (
-        placed.join(offsets, [*by, "_chunk"])
+        placed.join(offsets, same)
         .withColumn(before, (F.col("_chunks_before") + F.col("_local")).cast("bigint"))
-        .drop("_chunk", "_local", "_chunks_before")
+        .drop("_chunk", "_local", "_chunks_before", "_of_chunk", *(f"_of_{c}" for c in by))
     )
 
 

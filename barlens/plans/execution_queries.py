@@ -16,8 +16,8 @@ from barlens.sources import market
 
 cte("c_priced", """SELECT *, vwap AS reference_price, sum(vwap * volume) OVER w / nullif(sum(volume) OVER w, 0) AS session_vwap, CAST(sum(volume) OVER w AS BIGINT) AS session_volume FROM {src}
 WINDOW w AS (PARTITION BY instrument_id, session_date)""".format(src="c_hour"))
-OB = """SELECT o.*, b.minute, b.volume, b.reference_price, b.open, b.close, b.session_vwap, b.session_volume, row_number() OVER k - 1 AS k, count(*) OVER w AS n,
-  first(b.reference_price) OVER k AS arrival_price, CAST(sum(b.volume) OVER w AS BIGINT) AS window_volume FROM {orders} o JOIN {bars} b ON b.instrument_id = o.instrument_id AND b.session_date = o.session_date
+OB = """SELECT o.*, b.minute, b.volume, b.reference_price, b.open, b.close, b.session_vwap, b.session_volume, CASE WHEN b.minute IS NOT NULL THEN row_number() OVER k - 1 END AS k, count(b.minute) OVER w AS n,
+  first(b.reference_price) OVER k AS arrival_price, CAST(sum(b.volume) OVER w AS BIGINT) AS window_volume FROM {orders} o LEFT JOIN {bars} b ON b.instrument_id = o.instrument_id AND b.session_date = o.session_date
   AND b.minute >= o.start_minute AND b.minute < o.end_minute WINDOW k AS (PARTITION BY order_id ORDER BY b.minute), w AS (PARTITION BY order_id)"""
 cte("c_ob", OB.format(orders="c_orders", bars="c_priced"))
 
@@ -34,10 +34,11 @@ def money_sql(*names):
     return ", ".join(f"round({n} + 1e-6, 4) AS {n}" for n in names)
 
 
-@query("prepare_window", f"""SELECT order_id, minute, k, n, volume, window_volume, {money_sql('reference_price', 'arrival_price', 'session_vwap')} FROM c_ob""")
+@query("prepare_window", f"""SELECT order_id, minute, k, n, volume, window_volume, {money_sql('reference_price', 'arrival_price', 'session_vwap')},
+  CASE WHEN minute IS NOT NULL THEN 'ok' WHEN (instrument_id, session_date) IN (SELECT (instrument_id, session_date) FROM c_priced) THEN 'empty_window' ELSE 'no_session' END AS status FROM c_ob""")
 def prepare_window(spark, d):
     return order_buckets(spark, d).select(
-        "order_id", "minute", "k", "n", "volume", "window_volume", money("reference_price"), money("arrival_price"), money("session_vwap")
+        "order_id", "minute", "k", "n", "volume", "window_volume", "status", money("reference_price"), money("arrival_price"), money("session_vwap")
     )
 
 
@@ -62,8 +63,9 @@ cte("c_bar4", """SELECT instrument_id, session_date, bucket * 240 AS minute, buc
  (SELECT instrument_id, session_date, CAST(minute // 240 AS INTEGER) AS bucket, arg_min(open, minute) AS open, arg_max(close, minute) AS close, max(high) AS high, min(low) AS low, CAST(sum(volume) AS BIGINT) AS volume, sum(vwap * volume) AS dv FROM c_min GROUP BY 1, 2, 3)""")
 cte("c_priced4", """SELECT *, coalesce(vwap, (open + high + low + close) / 4) AS reference_price, sum(vwap * volume) OVER w / nullif(sum(volume) OVER w, 0) AS session_vwap, CAST(sum(volume) OVER w AS BIGINT) AS session_volume FROM c_bar4 WINDOW w AS (PARTITION BY instrument_id, session_date)""")
 cte("c_ob4", OB.format(orders="c_orders", bars="c_priced4").replace("b.open,", "b.bucket, b.open,"))
-cte("c_ob4s", """SELECT *, quantity * share / sum(share) OVER (PARTITION BY order_id) AS want FROM (SELECT o.*, round_even(f.share * 1e6, 0) AS share, f.expected_volume FROM c_ob4 o JOIN c_profile4 f USING (instrument_id, session_date, bucket))""")
-cte("c_vwap4", remainder_sql("c_ob4s", "want", "quantity", "1e-7"))
+cte("c_ob4s", """SELECT *, CASE WHEN sum(share) OVER (PARTITION BY order_id) > 0 THEN quantity * share / sum(share) OVER (PARTITION BY order_id) END AS want FROM (SELECT o.*, coalesce(round_even(f.share * 1e6, 0), 0) AS share, f.expected_volume FROM c_ob4 o LEFT JOIN c_profile4 f USING (instrument_id, session_date, bucket))""")
+cte("c_ob4w", "SELECT * FROM c_ob4s WHERE want IS NOT NULL")
+cte("c_vwap4", remainder_sql("c_ob4w", "want", "quantity", "1e-7") + " UNION ALL BY NAME SELECT *, NULL AS planned FROM c_ob4s WHERE want IS NULL")
 
 
 def order_buckets4(spark, d):
@@ -75,12 +77,12 @@ def order_buckets4(spark, d):
     o = X.prepare_window(market.parent_orders(spark, d), b).withColumn("bucket", (F.col("minute") / 240).cast("int"))
     weight = F.bround(F.col("share") * 1e6, 0).alias("share")
     f = profile4(spark, d).select("instrument_id", "session_date", "bucket", weight, "expected_volume")
-    return o.join(f, ["instrument_id", "session_date", "bucket"])
+    return o.join(f, ["instrument_id", "session_date", "bucket"], "left")
 
 
-@query("vwap_schedule", "SELECT order_id, minute, planned FROM c_vwap4")
+@query("vwap_schedule", "SELECT order_id, minute, planned, CASE WHEN planned IS NULL THEN 'no_forecast' ELSE 'ok' END AS status FROM c_vwap4")
 def vwap_schedule(spark, d):
-    return X.vwap_schedule(order_buckets4(spark, d)).select("order_id", "minute", "planned")
+    return X.vwap_schedule(order_buckets4(spark, d)).select("order_id", "minute", "planned", "status")
 
 
 cte("c_obw", "SELECT *, quantity * (volume / window_volume) / sum(volume / window_volume) OVER (PARTITION BY order_id) AS want FROM c_ob WHERE window_volume > 0")
@@ -114,17 +116,14 @@ def almgren_chriss_schedule(spark, d):
 
 
 # capacities that force the second pass: room is a tenth of the bucket's volume
-cte("c_obcap", """SELECT * FROM (SELECT *, CAST(floor(volume / 4) AS BIGINT) AS cap, sum(CAST(floor(volume / 4) AS BIGINT)) OVER (PARTITION BY order_id) AS room, quantity / n AS want FROM c_ob) WHERE room >= quantity""")
+cte("c_obcap", """SELECT * FROM (SELECT *, CAST(floor(volume / 4) AS BIGINT) AS cap, sum(CAST(floor(volume / 4) AS BIGINT)) OVER (PARTITION BY order_id) AS room, quantity / n AS want FROM c_ob)""")
 
 
-@query("largest_remainder", "SELECT order_id, minute, cap, planned FROM (" + remainder_sql("c_obcap", "want", "cap", "1e-7") + ")")
+@query("largest_remainder", "SELECT order_id, minute, cap, CASE WHEN room >= quantity THEN planned END AS planned, CASE WHEN room >= quantity THEN 'ok' ELSE 'infeasible' END AS status FROM (" + remainder_sql("c_obcap", "want", "cap", "1e-7") + ")")
 def largest_remainder(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("order_id")
     b = order_buckets(spark, d).withColumn("cap", F.floor(F.col("volume") / 4))
-    b = b.withColumns({"room": F.sum("cap").over(w), "want": F.col("quantity") / F.col("n")}).where("room >= quantity")
-    return X.largest_remainder(b, value="want", capacity="cap", target="quantity").select("order_id", "minute", "cap", "planned")
+    b = b.withColumn("want", F.try_divide("quantity", "n"))
+    return X.largest_remainder(b, value="want", capacity="cap", target="quantity").select("order_id", "minute", "cap", "planned", "status")
 
 
 cte("c_pov", """SELECT *, least(quantity, run) - coalesce(lag(least(quantity, run)) OVER k, 0) AS executed, least(ask, quantity - coalesce(lag(least(quantity, run)) OVER k, 0)) AS planned FROM
@@ -166,11 +165,11 @@ def fill_cost(spark, d):
 LOG_SQL = """SELECT *, CAST(sum(executed) OVER k AS BIGINT) AS cumulative_executed, quantity - CAST(sum(executed) OVER k AS BIGINT) AS inventory_after, CASE WHEN volume > 0 THEN executed / volume ELSE 0 END AS participation,
   CASE side WHEN 'buy' THEN 1 ELSE -1 END * executed * (reference_price - arrival_price) AS timing_cost, sum(spread_cost + impact_cost) OVER k AS cumulative_cost FROM {src} WINDOW k AS (PARTITION BY order_id ORDER BY minute)"""
 cte("c_log", LOG_SQL.format(src="c_cost"))
-cte("c_log4", LOG_SQL.format(src="(" + cost_sql("(SELECT *, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_vwap4)", "0.01", "0.5") + ")"))
+cte("c_log4", LOG_SQL.format(src="(" + cost_sql("(SELECT *, CASE WHEN planned IS NULL THEN 0 ELSE least(planned, CAST(floor(0.1 * volume) AS BIGINT)) END AS executed FROM c_vwap4)", "0.01", "0.5") + ")"))
 
 
 @query("execution_log", f"""SELECT order_id, minute, planned, executed, inventory_after + executed AS inventory_before, inventory_after, cumulative_executed, {money_sql('participation', 'timing_cost', 'cumulative_cost')},
-  round(volume - expected_volume + 1e-6, 4) AS volume_forecast_error, CASE WHEN volume > expected_volume THEN 'above' WHEN volume < expected_volume THEN 'below' ELSE 'equal' END AS volume_vs_forecast FROM c_log4""")
+  round(volume - expected_volume + 1e-6, 4) AS volume_forecast_error, CASE WHEN expected_volume IS NULL THEN 'not_available' WHEN volume > expected_volume THEN 'above' WHEN volume < expected_volume THEN 'below' ELSE 'equal' END AS volume_vs_forecast FROM c_log4""")
 def execution_log(spark, d):
     fills = X.static_fills(X.vwap_schedule(order_buckets4(spark, d)), 0.1)
     log = X.execution_log(X.fill_cost(fills, half_spread=F.lit(0.01), impact=F.lit(0.5)), forecast="expected_volume")

@@ -103,7 +103,7 @@ SELECT t.instrument_id, t.session_date, t.token, t.volume, t.cutoff, t.adv20, t.
   cos(2 * pi() * (t.token + 0.5) / 6) AS time_cos, (t.token + 1) / 6 AS time_fraction, b.ret AS benchmark_return,
   ln(1 + b.volume) - ln(1 + b.expected_volume) AS benchmark_volume_surprise, b.realized_volatility AS benchmark_realized_vol
 FROM (SELECT s.*, p.pc FROM c_seasonal s JOIN (SELECT instrument_id, session_date, lag(c) OVER (PARTITION BY instrument_id ORDER BY session_date) AS pc
-        FROM (SELECT instrument_id, session_date, arg_max(close, token) AS c FROM c_seasonal GROUP BY 1, 2)) p USING (instrument_id, session_date)) t
+        FROM (SELECT instrument_id, session_date, arg_max(close, token) AS c FROM c_full GROUP BY 1, 2)) p USING (instrument_id, session_date)) t
 JOIN (SELECT *, ln(close / coalesce(lag(close) OVER (PARTITION BY session_date ORDER BY token), open)) AS ret FROM c_seasonal WHERE instrument_id = 'click') b
   ON b.session_date = t.session_date AND b.token = t.token WHERE t.instrument_id <> 'click'
 WINDOW w AS (PARTITION BY t.instrument_id, t.session_date ORDER BY t.token), r AS (PARTITION BY t.instrument_id, t.session_date ORDER BY t.token ROWS UNBOUNDED PRECEDING))

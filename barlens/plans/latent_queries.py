@@ -151,7 +151,7 @@ def parts(spark, d, view="embedding"):
 @query("logistic_probe")
 def logistic_probe(spark, d):
     train, _, test = parts(spark, d)
-    p = L.logistic_probe(train, test, "embedding", iterations=30)
+    p = L.logistic_probe(train, test, "embedding")
     return L.class_scores(p).withColumns({c: rnd(c, 3) for c in ("balanced_accuracy", "macro_f1")})
 
 

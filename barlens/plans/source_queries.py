@@ -229,7 +229,7 @@ def fit_once(family: str, **params):
     def run(spark, d):
         rows = model_rows(spark, d)
         train, test = rows.where("session_date <= date '2024-01-20'"), rows.where("session_date > date '2024-01-20'")
-        model = M.regression_pipeline(family, FEATS, "target_volume_share", **params).fit(train)
+        model = M.regression_pipeline(family, FEATS, "target_volume_share", rows=train.count(), **params).fit(train)
         return M.predict(model, test, ["sample_id", "bucket"]).withColumn("prediction", rnd("prediction", 4))
 
     return run

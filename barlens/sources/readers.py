@@ -14,14 +14,18 @@ from barlens.schema import BAR_COLUMNS, require_columns
 def scan_bars(spark: SparkSession, *paths: str, symbols: Sequence[str] | None = None) -> DataFrame:
     """Bars of any number of Parquet files or folders, canonical columns that exist.
 
-    The symbol filter is stated on the column as stored (all spellings listed),
-    so it reaches the scan.
+    Symbols match in any spelling. A range of first letters, in both cases, is
+    stated on the column as stored and reaches the scan; it is a superset.
     """
     df = spark.read.parquet(*paths)
     out = df.select(*(c for c in BAR_COLUMNS if c in df.columns))
     if symbols is not None:
-        wanted = sorted({v for s in symbols for v in (s, s.upper(), s.lower())})
-        out = out.where(F.col("symbol").isin(*wanted))
+        wanted = sorted({s.upper() for s in symbols})
+        first = [s[:1] for s in wanted if s]
+        if wanted and len(first) == len(wanted) and all(c.isascii() for c in first):
+            low, high = min(c.upper() for c in first), chr(ord(max(c.lower() for c in first)) + 1)
+            out = out.where((F.col("symbol") >= low) & (F.col("symbol") < high))
+        out = out.where(F.upper("symbol").isin(*wanted))
     return out
 
 

@@ -369,8 +369,57 @@ def test_window_of_a_crowded_session(spark):
     assert b.count() == 1500
     r = b.where("order_id = 7").orderBy("k").collect()
     assert [(x.k, x.minute, x.n, x.window_volume) for x in r] == [(0, 5, 3, 21), (1, 6, 3, 21), (2, 7, 3, 21)]
-    with pytest.raises(Exception, match="unique per session minute"):
-        X.prepare_window(orders, minute_bars(spark).unionByName(minute_bars(spark, [5]))).count()
+    copied = X.prepare_window(orders, minute_bars(spark), hot=60)
+    assert sorted(map(tuple, copied.collect())) == sorted(map(tuple, b.collect()))
+    twice = X.prepare_window(orders, minute_bars(spark).unionByName(minute_bars(spark, [5]))).select("status").distinct().collect()
+    assert [r.status for r in twice] == ["duplicate_minutes"]
+
+
+def test_every_order_keeps_a_status(spark):
+    rows = [(1, "a", 5, 8), (2, "none", 5, 8), (3, "a", 900, 950), (4, "a", 20, 25)]
+    orders = spark.createDataFrame(rows, "order_id long, instrument_id string, start_minute int, end_minute int").selectExpr(
+        "*", "date '2024-01-03' session_date", "'buy' side", "100L quantity"
+    )
+    bars = minute_bars(spark)
+    bars = bars.withColumn("close", F.when(F.col("minute") == 22, -1.0).otherwise(F.col("close")))
+    b = X.prepare_window(orders, bars).withColumn("share", F.when(F.col("minute") > 900, 1.0))
+    status = lambda df: {r.order_id: r.status for r in df.select("order_id", "status").distinct().collect()}
+    bad = {2: "no_session", 3: "empty_window", 4: "bad_bars"}
+    assert status(b) == {1: "ok", **bad}
+    assert status(X.vwap_schedule(b)) == {1: "no_forecast", **bad}
+    tight = X.largest_remainder(b.withColumn("cap", F.lit(1)).withColumn("want", F.lit(1.0)), value="want", capacity="cap", target="quantity")
+    assert status(tight)[1] == "infeasible" and tight.where("planned is not null").count() == 0
+    for schedule in (X.twap_schedule(b), X.vwap_schedule(b)):
+        s = X.tca_summary(X.execution_log(X.fill_cost(X.static_fills(schedule), half_spread=F.lit(0.02), impact=F.lit(0.5)))).collect()
+        assert len(s) == 4 and all(r.filled == 0 and r.buckets == 0 and r.unfilled == 100 for r in s if r.order_id > 1)
+
+
+def test_null_groups_keep_their_quantiles(spark):
+    from barlens.operators.ranking import exact_quantiles, row_numbers
+
+    rows = [(None, float(i)) for i in range(90)] + [("b", 1.0), ("b", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    assert {r.g: r.m for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()} == {None: 44.5, "b": 2.0}
+    assert row_numbers(df, ["g"], ["x"]).where("g is null").count() == 90
+
+
+def test_symbols_match_in_any_spelling(spark, tmp_path):
+    from barlens.sources.readers import scan_bars
+
+    rows = [("Click", 1), ("CLICK", 2), ("click", 3), ("clack", 4), ("zeta", 5)]
+    spark.createDataFrame(rows, "symbol string, volume long").write.parquet(str(tmp_path / "b"))
+    assert sorted(r.volume for r in scan_bars(spark, str(tmp_path / "b"), symbols=["cLick"]).collect()) == [1, 2, 3]
+
+
+def test_first_emitted_session_knows_the_close_before(spark):
+    from barlens.operators.history import seasonal_ewma
+
+    t = spark.range(12).selectExpr(
+        "'a' instrument_id", "date_add(date '2024-01-01', cast(id div 4 as int)) session_date", "cast(id % 4 as int) token",
+        "id + 1 volume", "1.0 * id close", "1.0D dollar_volume", "1L trade_count",
+    )
+    got = seasonal_ewma(t, token_count=4).where("token = 0").orderBy("session_date").collect()
+    assert [float(r.previous_close) for r in got] == [3.0, 7.0]
 
 
 # --- datasets ---------------------------------------------------------------------------------
