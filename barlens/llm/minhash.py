@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import blank, bound_batches, components, mix64, seeds, settle
+from barlens.llm.common import Forest, blank, bound_batches, components, mix64, seeds, settle
 
 WORDS = 5
 BANDS, ROWS = 32, 6
-#: Classes of one bucket that one task compares with one another in the last step.
-BLOCK = 512
+#: Classes of one bucket in one block of the last step.
+BLOCK = 256
 _STEPS = seeds(WORDS, 11)
 
 
@@ -134,35 +134,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInPandas(run, "u bigint, v bigint")
 
 
-def _rivals(members: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Pairs across components inside the buckets given, without those that size or sketch rules out.
+def _candidates(g: pd.DataFrame, percent: int, agree: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions in ``g`` of a member and of those it must be compared with, likeliest first, in one task of a bucket.
 
-    A bucket is cut into blocks of BLOCK members; each task holds two blocks at most.
+    Left out are pairs of one component, pairs that size or sketch rules out, and pairs that share an earlier bucket.
+    """
+    left = np.flatnonzero(g["side"] == 0)
+    one = bool(g["block"].iloc[0] == g["other"].iloc[0])
+    right = left if one else np.flatnonzero(g["side"] == 1)
+    if not len(left) or not len(right):
+        return
+    bucket, ids, n, component = g["band"].iloc[0], g["id"].to_numpy(), g["n"].to_numpy(), g["component"].to_numpy()
+    brief, keys = np.frombuffer(b"".join(g["brief"]), np.uint8).reshape(len(g), -1), np.stack(g["band_keys"].to_numpy())
+    for i in left:
+        at = right[(component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & ((ids[right] > ids[i]) if one else True)]
+        at = at[(keys[at] == keys[i]).argmax(1) == np.flatnonzero(keys[i] == bucket)[0]]
+        same = (brief[at] == brief[i]).sum(1)
+        at, same = at[same >= agree], same[same >= agree]
+        if len(at):
+            yield i, at[np.argsort(-same, kind="stable")]
+
+
+def _rivals(members: DataFrame, facts: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Links between components inside the buckets given, as a spanning forest ``(u, v)`` of components.
+
+    A bucket is cut into blocks of BLOCK members, and a task holds two blocks at most. The first pass has sketches only and
+    names the members of a task that have anything to compare; the second brings their texts and compares, no longer once two
+    components are linked. No pair leaves a task.
     """
     least = percent / 100
     agree = coordinates * (least - 5 * math.sqrt(least * (1 - least) / coordinates))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        one = g["block"].iloc[0] == g["other"].iloc[0]
-        a = g[g["side"] == 0]
-        b = a if one else g[g["side"] == 1]
-        found = []
-        if len(a) and len(b):
-            sb = np.frombuffer(b"".join(b["brief"]), np.uint8).reshape(len(b), -1)
-            nb, cb, ib = b["n"].to_numpy(), b["component"].to_numpy(), b["id"].to_numpy()
-            for i, n, c, s in zip(a["id"], a["n"], a["component"], a["brief"]):
-                may = (cb != c) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n)) & ((ib > i) if one else True)
-                may &= (sb == np.frombuffer(s, np.uint8)).sum(1) >= agree
-                found += [(max(i, j), min(i, j)) for j in ib[may]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.col("own")
+    key = ["band", "block", "other"]
+
+    def needed(g: pd.DataFrame) -> pd.DataFrame:
+        at = {j for i, others in _candidates(g, percent, agree) for j in (i, *others)}
+        return g.iloc[sorted(at)][[*key, "side", "id"]]
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        forest, sets, component, texts = Forest(), {}, g["component"].to_list(), g["text"].to_list()
+
+        def items(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i])
+            return sets[i]
+
+        for i, others in _candidates(g, percent, agree):
+            for j in others:
+                if forest.root(component[i]) != forest.root(component[j]):
+                    both = np.sort(np.concatenate((items(i), items(j))), kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        forest.link(component[i], component[j])
+        return pd.DataFrame(list(forest.edges()), columns=["u", "v"], dtype="int64")
+
+    blocks, own = F.ceil(F.col("size") / BLOCK), F.col("own")
     grid = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "id", "n", "component", "brief",
-        F.least(own, "other").cast("int").alias("block"), F.greatest(own, "other").cast("int").alias("other"), (own > F.col("other")).cast("int").alias("side"),
+        "band", F.least(own, "other").cast("int").alias("block"), F.greatest(own, "other").cast("int").alias("other"), (own > F.col("other")).cast("int").alias("side"),
+        "id", "n", "component", "brief", "band_keys",
     )
-    return grid.groupBy("band", "block", "other").applyInPandas(run, "u bigint, v bigint").distinct()
+    wanted = grid.groupBy(*key).applyInPandas(needed, "band bigint, block int, other int, side int, id bigint")
+    return wanted.join(facts, "id").groupBy(*key).applyInPandas(compare, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,9 +227,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = BANDS, r
 
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    rivals = placed.where("size > 2").join(mixed, "band", "left_semi").join(classes.select("id", "brief"), "id")
-    rest = settle(_rivals(rivals, percent, bands * rows).join(more, ["u", "v"], "left_anti"))
-    links = settle(links.unionAll(_verified(rest, texts, percent)))
+    facts = classes.select("id", "n", "brief", "band_keys").join(met.select("id").distinct(), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    facts = facts.withColumn("component", F.coalesce("component", "id"))
+    rivals = placed.where("size > 2").join(mixed, "band", "left_semi").select("band", "id", "size").join(facts, "id")
+    links = settle(links.unionAll(_rivals(rivals, facts.join(texts.withColumnRenamed("doc_id", "id"), "id"), percent, bands * rows)))
     roots = components(links, "u", "v")
 
     of = classes.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
