@@ -139,6 +139,26 @@ def dynamic_dataset(buckets: DataFrame, minutes: int, *, length: int = 20) -> Da
     )
 
 
+def build_dataset(
+    buckets: DataFrame, calendar: DataFrame, minutes: int, *, mode: str = "static", full: int = 390, keep_early: bool = False, length: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """Rows over usable sessions only, and the sessions left out with their reason.
+
+    Sessions are filtered first, so that an early close or an incomplete session
+    is neither a row nor part of another session's history. A symbol's first
+    usable session has no history and is listed too. The verdicts are one row
+    per session and meet the buckets in one semi join.
+    """
+    if mode not in ("static", "dynamic"):
+        raise ValueError(f"unknown mode {mode!r}")
+    verdict = session_filter(buckets, calendar, minutes, full=full, keep_early=keep_early)
+    usable = verdict.where("reason is null").select(*SESSION)
+    rows = (static_dataset if mode == "static" else dynamic_dataset)(buckets.join(usable, list(SESSION), "left_semi"), minutes, length=length)
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")) == 1
+    early = usable.withColumn("_first", first).where("_first").select(*SESSION, F.lit("insufficient_history").alias("reason"))
+    return rows, verdict.where("reason is not null").unionByName(early)
+
+
 def walk_forward(
     rows: DataFrame, *, train: int, validation: int, test: int, step: int, embargo: int = 0, date: str = "session_date"
 ) -> DataFrame:

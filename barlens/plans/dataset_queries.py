@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from barlens.operators import history as H
 from barlens.plans.history_queries import HISTORY, INTRADAY, INTRADAY_SQL, features
 from barlens.plans.identity_queries import actions, intervals
 from barlens.plans.inputs import DAY_4H, bars, calendar, daily, hour_bars
-from barlens.plans.registry import cte, query
+from barlens.plans.registry import CTES, cte, query
 from barlens.sources import market
 
 
@@ -40,12 +42,37 @@ FROM c_b4 b JOIN {HIST4} h ON h.symbol = b.symbol AND h.session_date = b.session
 
 @query("static_dataset", "SELECT * FROM c_static_ds")
 def static_dataset(spark, d):
-    return D.static_dataset(buckets4(spark, d), 240).select(
+    return _static(D.static_dataset(buckets4(spark, d), 240))
+
+
+def _static(rows):
+    return rows.select(
         "sample_id", "symbol", "session_date", "as_of", "target_at", "target_bucket_index", "weekday", *(rnd_ratio(c).alias(c) for c in HISTORY),
         rnd("target_log_total_volume").alias("target_log_total_volume"), rnd_ratio("target_volume_share").alias("target_volume_share"), "target_remaining_volume", "available_at",
     )
 
 
+# the composed build: the same rows over the sessions that the calendar and their completeness allow
+cte("c_verdict4", """SELECT symbol, session_date, CASE WHEN minutes IS NULL THEN 'not_exchange_session' WHEN minutes < 1440 THEN 'early_close_excluded'
+  WHEN n <> minutes // 240 THEN 'incomplete_session:' || n || '_of_' || minutes // 240 || '_buckets' END AS reason
+FROM (SELECT symbol, session_date, count(*) AS n FROM c_b4 GROUP BY 1, 2) LEFT JOIN c_calendar USING (session_date)""")
+cte("c_b4v", "SELECT b.* FROM c_b4 b JOIN (SELECT symbol, session_date FROM c_verdict4 WHERE reason IS NULL) v ON v.symbol = b.symbol AND v.session_date = b.session_date")
+_usable = lambda sql: re.sub(r"\bc_(b4|sess|hist)\b", r"c_\1v", sql)
+cte("c_sessv", "SELECT s.* FROM c_sess s JOIN (SELECT symbol, session_date FROM c_verdict4 WHERE reason IS NULL) v ON v.symbol = s.symbol AND v.session_date = s.session_date")
+cte("c_histv", _usable(CTES["c_hist"]))
+
+
+@query("build_dataset", _usable(CTES["c_static_ds"]))
+def build_dataset(spark, d):
+    return _static(D.build_dataset(buckets4(spark, d), calendar(spark), 240, full=1440)[0])
+
+
+@query("build_dataset_exclusions", """SELECT symbol, session_date, reason FROM c_verdict4 WHERE reason IS NOT NULL
+UNION ALL SELECT symbol, min(session_date), 'insufficient_history' FROM c_verdict4 WHERE reason IS NULL GROUP BY symbol""")
+def build_dataset_exclusions(spark, d):
+    return D.build_dataset(buckets4(spark, d), calendar(spark), 240, full=1440)[1]
+
+
 @query("dynamic_dataset", f"""SELECT i.symbol || '|' || i.session_date || '|dynamic|' || lpad(CAST(i.k AS VARCHAR), 4, '0') AS sample_id, {TS.format(d='i.session_date', b='i.bucket')} AS as_of,
   {TS.format(d='i.session_date', b='j.bucket')} AS target_at, j.k AS target_bucket_index, {", ".join(f"round(i.{c}, 6) AS {c}" for c in INTRADAY)}, {HIST},
   round(j.volume / i.session_volume + 1e-9, 6) AS target_volume_share, CAST(i.remaining_volume AS DOUBLE) AS target_remaining_volume, round(coalesce(j.volume / nullif(i.remaining_volume, 0), 0) + 1e-9, 6) AS target_conditional_share,
