@@ -337,15 +337,21 @@ def run_methods(
     risk_aversion: Column | None = None,
     pov_rate: float = 0.05,
     hard_rate: float = 0.1,
+    allow_evaluation_only: bool = False,
     keys: Sequence[str] = ORDER,
     carry: Sequence[str] = ("side", "quantity", "session_vwap", "arrival_price"),
 ) -> DataFrame:
     """Summaries of every method on the same order buckets, tagged with ``method``.
 
+    ``oracle-vwap`` trades on realised volume and must be asked for;
+    ``evaluation_only`` marks its rows.
+
     The plans are columns of one table: the buckets are shuffled by order once
     and every window below keeps that partitioning. ``buckets`` needs a
     ``share`` column for the forecast-driven method.
     """
+    if "oracle-vwap" in methods and not allow_evaluation_only:
+        raise ValueError("the realised-volume method is evaluation-only; pass allow_evaluation_only=True")
     b = buckets
     for m in methods:
         if m == "twap":
@@ -370,13 +376,14 @@ def run_methods(
     each = F.array_compact(F.array(*(F.col(f"`_m_{m}`") for m in methods)))
     rows = b.select(*buckets.columns, F.inline(each))
     log = execution_log(fill_cost(rows, half_spread=half_spread, impact=impact), keys=[*keys, "method"])
-    return tca_summary(log, [*keys, "method"], carry)
+    return tca_summary(log, [*keys, "method"], carry).withColumn("evaluation_only", F.col("method") == "oracle-vwap")
 
 
 def tca_cases(
     bars: DataFrame,
     cases: DataFrame,
     methods: Sequence[str],
+    shares: DataFrame | None = None,
     *,
     fraction: float = 0.03,
     start: int = 60,
@@ -384,9 +391,16 @@ def tca_cases(
     rate: float = 0.1,
     half_spread: float = 5e-5,
     impact: float = 1e-3,
+    volatility: float = 0.01,
+    risk_aversion: float = 0.0,
+    allow_evaluation_only: bool = False,
 ) -> DataFrame:
     """Matched cases: every method on the same order with costs scaled to the arrival open.
 
+    ``shares`` (``instrument_id, session_date, minute, share``) is the causal
+    volume forecast that ``vwap`` follows; no method but the guarded
+    ``oracle-vwap`` sees realised volume before it trades.
+
     ``cases`` has ``instrument_id, session_date, side, quantity`` (sides and
     sizes already assigned). The arrival is the open of the first window
     minute.
@@ -398,14 +412,16 @@ def tca_cases(
     )
     b = prepare_window(orders, bars)
     opened = Window.partitionBy("order_id").orderBy("minute")
-    b = b.withColumns(
-        {"arrival_open": F.first("open").over(opened), "share": F.try_divide("volume", "window_volume")}
-    )
+    b = b.withColumn("arrival_open", F.first("open").over(opened))
+    if shares is not None:
+        b = b.join(shares.select("instrument_id", "session_date", "minute", "share"), ["instrument_id", "session_date", "minute"], "left")
+    elif "vwap" in methods:
+        raise ValueError("vwap follows a forecast: pass shares")
     eta = F.col("arrival_open") * impact
     carry = ("side", "quantity", "session_vwap", "arrival_price", "instrument_id", "session_date")
     runs = run_methods(
         b, methods, half_spread=F.col("arrival_open") * half_spread, impact=eta, hard_rate=rate,
-        volatility=F.lit(0.01), risk_aversion=F.lit(0.0), carry=carry,
+        volatility=F.lit(volatility), risk_aversion=F.lit(risk_aversion), allow_evaluation_only=allow_evaluation_only, carry=carry,
     )
     floor = oracle_cost(b, impact=eta, rate=rate)
     return runs.join(floor, "order_id").withColumns(

@@ -234,10 +234,11 @@ def allocation_regret(spark, d):
 # --- matched cases ---------------------------------------------------------------------------
 
 cte("c_dayadv", """SELECT * FROM (SELECT instrument_id, session_date, avg(v) OVER w AS adv20, count(v) OVER w AS n FROM (SELECT instrument_id, session_date, sum(volume) AS v FROM c_hour GROUP BY 1, 2)
- WINDOW w AS (PARTITION BY instrument_id ORDER BY session_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE n = 10""")
+ WINDOW w AS (PARTITION BY instrument_id ORDER BY session_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE n = 20""")
 cte("c_tcaorders", """SELECT instrument_id || '|' || session_date AS order_id, instrument_id, session_date, CASE WHEN row_number() OVER (PARTITION BY session_date ORDER BY sha256(CAST(session_date AS VARCHAR) || '|' || instrument_id))
   <= (count(*) OVER (PARTITION BY session_date) + 1) // 2 THEN 'buy' ELSE 'sell' END AS side, CAST(greatest(1, round_even(0.03 * adv20, 0)) AS BIGINT) AS quantity, 600 AS start_minute, 960 AS end_minute FROM c_dayadv""")
-cte("c_tob", "SELECT *, first(open) OVER (PARTITION BY order_id ORDER BY minute) AS arrival_open, volume / nullif(window_volume, 0) AS share FROM (" + OB.format(orders="c_tcaorders", bars="c_priced") + ")")
+# what vwap follows is the profile of earlier sessions: each hour has the weight of its four hours
+cte("c_tob", "SELECT o.*, first(open) OVER (PARTITION BY order_id ORDER BY minute) AS arrival_open, p.share FROM (" + OB.format(orders="c_tcaorders", bars="c_priced") + ") o LEFT JOIN (SELECT instrument_id, session_date, bucket, round_even(share * 1e6, 0) AS share FROM c_profile4) p ON p.instrument_id = o.instrument_id AND p.session_date = o.session_date AND p.bucket = o.minute // 240")
 cte("c_t_twap", "SELECT *, 'twap' AS method, least(quantity // n + CASE WHEN k < quantity % n THEN 1 ELSE 0 END, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_tob")
 cte("c_t_vwapx", remainder_sql("(SELECT *, quantity * share / sum(share) OVER (PARTITION BY order_id) AS want FROM c_tob WHERE share IS NOT NULL)", "want", "quantity", "1e-7"))
 cte("c_t_vwap", "SELECT * EXCLUDE (planned, want), 'vwap' AS method, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_t_vwapx")
@@ -252,10 +253,13 @@ cte("c_tcacase", "SELECT s.*, o.oracle_cost, (impact_cost - oracle_cost) / great
 def tca(spark, d):
     h = hour_bars(spark, d)
     day = h.groupBy("instrument_id", "session_date").agg(F.sum("volume").alias("volume"))
-    cases = U.balanced_sides(H.adv(day, 10)).withColumn(
-        "quantity", F.greatest(F.lit(1), F.bround(F.col("adv10") * 0.03, 0).cast("bigint"))
+    cases = U.balanced_sides(H.adv(day, 20)).withColumn(
+        "quantity", F.greatest(F.lit(1), F.bround(F.col("adv20") * 0.03, 0).cast("bigint"))
     )
-    return X.tca_cases(h, cases, ("twap", "vwap", "pov"), start=600, end=960)
+    hours = F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(60))).alias("_m")
+    shares = profile4(spark, d).select("instrument_id", "session_date", "bucket", F.bround(F.col("share") * 1e6, 0).alias("share"), hours)
+    shares = shares.withColumn("minute", (F.col("bucket") * 240 + F.col("_m")).cast("int"))
+    return X.tca_cases(h, cases, ("twap", "vwap", "pov"), shares, start=600, end=960)
 
 
 @query("tca_cases", f"SELECT method, instrument_id, session_date, side, quantity, filled, {money_sql('impact_cost', 'spread_cost', 'oracle_cost', 'completion_rate')}, round(regret + 1e-6, 4) AS regret, round(shortfall_bps + 1e-6, 3) AS shortfall_bps FROM c_tcacase")
