@@ -19,6 +19,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,47 +34,68 @@ WINDOW = 1024
 #: Pieces of one length that one task numbers.
 RANK_BLOCK = 50_000
 #: Spellings whose ids a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+
+
+# The splitter of byte-level BPE, and the printable bytes that it spells as themselves.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, from a ``tokenizers`` file whose splitter starts words at spaces.
+    """Ids of texts as little-endian 32-bit bytes, from a ``tokenizers`` file.
 
-    The splitter never joins what a single space between two visible characters parts, so a text's ids are those of its
-    space-led parts, and a part's ids are remembered. A text that holds the spelling of an added token is encoded whole.
+    The splitter of byte-level BPE never joins what a single space between two visible characters parts. So a text is cut
+    there, parts and the splitter's pieces are remembered, and only unseen pieces go to the tokenizer's model. A text that
+    holds the spelling of an added token, and every text of another kind of tokenizer, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        import json
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.model = self.full.model
         self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        made = json.loads(self.full.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made["normalizer"]
         self.known: dict[str, bytes] = {}
-        self.runs, self.cut = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=[!-~]) (?=[!-~])")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.runs, self.cut, self.split = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=[!-~]) (?=[!-~])"), regex.compile(SPLITTER).findall
+        spare = iter(range(256, 512))
+        self.spelling = {b: chr(b) if b in PRINTABLE else chr(next(spare)) for b in range(256)}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spelling))
+            ids = self._keep(piece, struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens)))
+        return ids
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if len(part) < 64:
+            self.known[part] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self._piece(part) if part[1:].isalpha() and part[0] == " " else self._keep(part, b"".join(map(self._piece, self.split(part))))
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(a in text for a in self.added):
-            return self._whole(text)
+        if not self.plain or any(a in text for a in self.added):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.cut.split(text) if self.runs.search(text) else text.split(" ")
-        known, get = self.known, self.known.get
-        out = [self._whole(parts[0])]
-        for p in parts[1:]:
-            ids = get(p)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self._whole(" " + p)
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        get, part = self.known.get, self._part
+        return part(parts[0]) + b"".join([get(p) or part(p) for p in map(" ".__add__, parts[1:])])
 
 
 def pieces(docs: DataFrame, *, window: int = WINDOW, path: str | None = None) -> DataFrame:
