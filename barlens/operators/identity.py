@@ -271,9 +271,11 @@ def complete_case_counts(cases: DataFrame) -> DataFrame:
 
 
 def pair_strategies(results: DataFrame, *, baseline: str, pair: Sequence[str], value: str) -> DataFrame:
-    """Every other strategy against the baseline on the same identity."""
-    base = results.where(F.col("strategy") == baseline).select(*pair, F.col(value).alias("baseline_value"))
-    other = results.where(F.col("strategy") != baseline).select("strategy", *pair, F.col(value).alias("candidate_value"))
+    """Every other strategy against the baseline on the same identity; an identity that a strategy has twice is an error."""
+    twice = F.raise_error(F.lit("a strategy repeats an identity")).cast("double")
+    only = F.when(F.count(F.lit(1)) == 1, F.max(value)).otherwise(twice)
+    base = results.where(F.col("strategy") == baseline).groupBy(*pair).agg(only.alias("baseline_value"))
+    other = results.where(F.col("strategy") != baseline).groupBy("strategy", *pair).agg(only.alias("candidate_value"))
     return other.join(base, list(pair)).withColumn(
         "difference", F.col("candidate_value") - F.col("baseline_value")
     )

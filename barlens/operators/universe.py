@@ -135,6 +135,8 @@ def eligible(candidates: DataFrame, *, min_price: float = 5.0, min_completeness:
         & (F.col(whole) >= min_completeness)
         & (F.length("instrument_id") > 0)
     )
+    if "in_sp500_on_formation_date" in candidates.columns:
+        ok = ok & F.coalesce(F.col("in_sp500_on_formation_date"), F.lit(False))
     return ok & (F.col("median_daily_dollar_volume") > 0) if price == "median_daily_price" else ok
 
 

@@ -88,7 +88,7 @@ def read_actions(spark, d):
 @query("load_partition", "SELECT session_date, minute, open, close, volume FROM c_hour WHERE instrument_id = 'purchase'")
 def load_partition(spark, d):
     path = scratch_path(spark, "corpus")
-    W.write_partitioned(hour_bars(spark, d), path, ["instrument_id"], salt=4)
+    W.write_partitioned(hour_bars(spark, d), path, ["instrument_id"], rows_per_task=500)
     return R.load_partition(spark, path, "purchase").select("session_date", "minute", "open", "close", "volume")
 
 

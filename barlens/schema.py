@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The column names and types of the provider schema.
 BAR_SCHEMA = T.StructType(
     [
         T.StructField("instrument_id", T.StringType()),

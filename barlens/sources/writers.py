@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from barlens.schema import require_columns
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("mode", "symbol"), *, salt: int = 1) -> None:
-    """Partitioned Parquet; ``salt`` files per value keep a hot value from one task."""
-    spread = df.repartition(*by) if salt == 1 else df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(salt))).repartition(*by, "_s").drop("_s")
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("mode", "symbol"), *, rows_per_task: int = 1_000_000) -> None:
+    """Partitioned Parquet; a value with more rows than a task should write is spread over as many tasks as it needs."""
+    hot = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_tasks")).where("_tasks > 1")
+    salt = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.coalesce("_tasks", F.lit(1)))
+    spread = df.join(hot, list(by), "left").withColumn("_s", salt).repartition(*by, "_s").select(*df.columns)
     spread.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 

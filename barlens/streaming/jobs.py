@@ -57,13 +57,14 @@ def stream_dedupe(ticks: DataFrame, delay: str, keys: tuple[str, ...] = ("instru
     return ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_quality(ticks: DataFrame) -> DataFrame:
-    """Running observation counts per session (update mode)."""
-    return ticks.groupBy("instrument_id", F.to_date("ts").alias("session_date")).agg(
+def stream_quality(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Running observation counts per session (update mode); a session's state goes ``delay`` after its end."""
+    counted = ticks.withWatermark("ts", delay).groupBy("instrument_id", F.window("ts", "1 day").alias("_day")).agg(
         F.count(F.lit(1)).alias("observed"),
         F.sum((F.col("size") <= 0).cast("bigint")).alias("empty_trades"),
         F.max("ts").alias("last_ts"),
     )
+    return counted.select("instrument_id", F.to_date("_day.start").alias("session_date"), "observed", "empty_trades", "last_ts")
 
 
 def stream_gap_sessions(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
