@@ -226,14 +226,15 @@ def correlations(df: DataFrame, targets: Sequence[str], measures: Sequence[str])
     """Pearson and Spearman correlation of each target with each measure.
 
     Ranks are tie-averaged over distinct values found by a range-partitioned
-    sort, so the table is never gathered to be ranked.
+    sort, so the table is never gathered to be ranked. A missing value leaves
+    its row out of the pairs that need it, and of no other.
     """
     ranked = df.select(*targets, *measures)
-    long = unpivot(ranked, [], [*targets, *measures], "column", "value")
+    long = unpivot(ranked, [], [*targets, *measures], "column", "value").where("value is not null")
     ranks = average_ranks(long, ["column"], "value", "rank")
     for c in (*targets, *measures):
         r = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = ranked.join(r, c)
+        ranked = ranked.join(r, c, "left")
     out = None
     aggregates = []
     for t in targets:

@@ -403,6 +403,14 @@ def test_null_groups_keep_their_quantiles(spark):
     assert row_numbers(df, ["g"], ["x"]).where("g is null").count() == 90
 
 
+def test_a_missing_measure_leaves_other_pairs_alone(spark):
+    from barlens.operators.universe import correlations
+
+    rows = [(float(i), float(i * i), None if i == 3 else float(-i)) for i in range(10)]
+    got = {r.measure: r for r in correlations(spark.createDataFrame(rows, "t double, a double, b double"), ["t"], ["a", "b"]).collect()}
+    assert got["a"].spearman == pytest.approx(1.0) and got["b"].pearson == pytest.approx(-1.0) and 0.95 < got["a"].pearson < 0.97
+
+
 def test_symbols_match_in_any_spelling(spark, tmp_path):
     from barlens.sources.readers import scan_bars
 
