@@ -9,9 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.session import scratch_path, settle
-
-__all__ = ["bound_batches", "blank", "components", "drop_path", "mix64", "scratch_path", "settle", "table", "tasks", "tokenizer_file"]
+from barlens.session import scratch_path, settle  # noqa: F401
 
 # What separates words (space, tab, line feed, vertical tab, form feed, carriage return), as a class and as text.
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
@@ -27,11 +25,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def tasks(spark: SparkSession) -> int:
-    """Partitions for work that is heavy in Python: never fewer than the cores."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def bound_batches(spark: SparkSession, megabytes: int = 16, rows: int = 2000) -> None:
     """Bound what one Arrow batch may hold, since a row can be a text of any length; a smaller setting stays."""
     at = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -77,9 +77,8 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.end_line()
-            if tag != "p" or True:
-                if self.count.get("p"):
-                    self.pop_to("p")
+            if self.count.get("p"):  # a paragraph ends where any block starts
+                self.pop_to("p")
             self._imply(tag)
         if tag in VOID:
             return
