@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.common import bound_batches
+from barlens.llm.common import bound_batches, settle
 from barlens.llm.packing import Encoder
 
 SIGNED = "doc_id bigint, source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -77,11 +77,13 @@ class Rollup:
         c = changes.where("doc_id is not null").select(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("change").alias("change"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "seq"
         )
-        # Ids that a batch changes twice need an order; the texts of the rest are not moved.
-        twice = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-        order = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("seq"), F.desc("change"), F.desc_nulls_last("text"))
-        repeated = c.join(twice, "doc_id", "left_semi").withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
-        last = c.join(twice, "doc_id", "left_anti").unionByName(repeated)
+        # Ids that a batch changes twice need an order; the texts of the rest are not moved, and none where there are no such ids.
+        twice = settle(c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+        last = c
+        if not twice.isEmpty():
+            order = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("seq"), F.desc("change"), F.desc_nulls_last("text"))
+            repeated = c.join(twice, "doc_id", "left_semi").withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+            last = c.join(twice, "doc_id", "left_anti").unionByName(repeated)
         new = self._counted(last.where("change <> 'delete'"))
         if past:
             ids = c.select("doc_id").distinct()
