@@ -23,11 +23,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.common import BLANK_CLASS, settle
+from barlens.llm.common import BLANK_CLASS, literal_table, settle
 
 LEVELS = ("domain", "lang", "source")
 #: Documents in one range of draws, on average; leaves that are sent along with the tasks as literals.
-RANGE, MOST_LOCAL = 5000, 2000
+RANGE, MOST_LOCAL = 5000, 500
 
 
 def words(text: Column | str = "text") -> Column:
@@ -123,7 +123,7 @@ def plan(
 def _sent(rows: DataFrame, names) -> DataFrame:
     """A table of few rows as literals, so that Spark sends it to the tasks by its known size; a larger one stays a table."""
     got = rows.limit(MOST_LOCAL + 1).collect()
-    return rows if len(got) > MOST_LOCAL else rows.sparkSession.createDataFrame(got, rows.schema)
+    return rows if len(got) > MOST_LOCAL else literal_table(rows.sparkSession, got, rows.schema)
 
 
 def mixed(docs: DataFrame, leaves: DataFrame, *, domain: Column, seed: int = 0) -> DataFrame:

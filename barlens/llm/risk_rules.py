@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import BLANK_CHARS, BLANK_CLASS
+from barlens.llm.common import BLANK_CHARS, BLANK_CLASS, literal_table
 
 WINDOW = 5
 #: Cutoffs per level: symbols a character of words, repeated lines a line, capitals a character of words, exclamation marks a word, words that repeat the word before.
@@ -34,7 +34,7 @@ LADDER = (
 )
 SHARES = ("symbol_share", "dup_line_share", "caps_share", "bang_share", "echo_share")
 #: So many strata are sent along as literals; beyond, they stay a table.
-MOST_LOCAL = 1000
+MOST_LOCAL = 500
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -155,7 +155,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta: flo
     levels = calibrate(counts(docs), labels, risk=risk, delta=delta, ladder=ladder).select("stratum", "level")
     known = levels.limit(MOST_LOCAL + 1).collect()
     if len(known) <= MOST_LOCAL:
-        levels = docs.sparkSession.createDataFrame(known, "stratum string, level int")
+        levels = literal_table(docs.sparkSession, known, levels.schema)
     out = counts(docs, carry).join(levels, "stratum", "left")
     level = F.coalesce(F.col("level"), F.lit(0))
     failed = base_failed()
