@@ -43,7 +43,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
     """A few collected rows as literals of the plan: their size is known to be small, so a join sends them to the tasks."""
     made = [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in schema)) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*made))) if made else spark.createDataFrame([], schema)
+    if not made:
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    return spark.range(1).select(F.inline(F.array(*made)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
