@@ -7,7 +7,11 @@ threshold (two means); lines above it are content. They vote, with their charact
 them. All lines of the region are the text, so a short paragraph or a heading between long ones stays.
 
 Never text, wherever they stand: scripts, styles, forms and what belongs to them, menus, headers, footers, side columns,
-dialogs, hidden elements, and elements whose class, id or role names an advert, notice, menu or reader comments.
+dialogs, hidden elements, and elements whose class, id or role names an advert, notice, menu or reader comments. A class or
+id names one by a whole word of its list, alone or with known words around it (``site-header``, ``comments-area``), not by
+a part of a layout's name (``has-sidebar``). Forms and names do not hide a page's content, for some wrap all of it: they are
+read if they hold the ``main`` element; the ``article`` elements, where none stands elsewhere; or, without any such element,
+more than half of the text. Cards and comments are no such articles, and adverts, menus and notices no such text.
 
 Defined results: null html is empty; a page without text gives the empty string; markup left open ends with its parent;
 repeated rows each keep a row; columns beside those named are ignored; an empty table gives an empty result.
@@ -36,35 +40,61 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar sidenav skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
-_NAME = re.compile(r"[A-Za-z]+")
+#: Words that may stand before or after a name in a class or id without a change of its meaning.
+BEFORE = frozenset("site page main global top bottom left right primary secondary post entry article blog google user reader mobile desktop sub side in".split())
+AFTER = frozenset("area bar block body bottom box button buttons col column container content form group icons inner item items label left link links list main outer panel primary right row secondary section slot text title top unit wrap wrapper".split())
+#: Names of elements whose own articles are cards or comments, and with them those that are no content however long.
+CARDS = frozenset("comment comments commentlist disqus related replies reply respond promo promoted promotion sponsor sponsored sponsors ad ads advert adverts advertisement advertising".split())
+FIRM = CARDS | frozenset("breadcrumb breadcrumbs consent cookie cookies menu nav navbar navigation pager pagination".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+_PART = re.compile(r"[-_:]+")
+
+
+def names(value: str) -> set[str]:
+    """The words of NAMES that a class or id names."""
+    out = set()
+    for token in value.lower().split():
+        parts = [p for p in (p.rstrip("0123456789") for p in _PART.split(token)) if p]
+        at = [i for i, p in enumerate(parts) if p in NAMES]
+        if at and all(p in BEFORE for p in parts[: at[0]]) and all(p in AFTER or p in NAMES for p in parts[at[0] :]):
+            out.update(parts[i] for i in at)
+    return out
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: ``(text, tags, path)``; ``path`` lists the numbers of the open elements around the line."""
+    """Turns events into lines: ``(chunks, tags, path)``; ``path`` lists the numbers of the open elements around the line.
+
+    A chunk is ``(text, wraps)``; ``wraps`` lists the elements around it that are skipped unless ``unwrapped`` says otherwise.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, int, bool, bool]] = []
         self.count: dict[str, int] = {}
         self.skipped = self.number = self.tags = 0
-        self.text: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.regions: set[int] = set()
+        self.text: list[tuple[str, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        #: Numbers of article and main elements: whether main, and the wraps around it.
+        self.regions: dict[int, tuple[bool, tuple[int, ...]]] = {}
         self.path: list[int] = []
+        self.wraps: tuple[int, ...] = ()
+        self.named: dict[int, set[str]] = {}
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append((text, self.tags, tuple(self.path)))
-        self.text.clear()
+        if any(t and not t.isspace() for t, _ in self.text):
+            self.lines.append((self.text, self.tags, tuple(self.path)))
+        self.text = []
         self.tags = 0
 
     def pop_to(self, tag: str) -> None:
         """Close elements up to and with the innermost ``tag``, which must be open."""
         while True:
-            name, _, skip = self.open.pop()
+            name, _, skip, wrap = self.open.pop()
             self.count[name] -= 1
             self.skipped -= skip
+            if wrap:
+                self.wraps = self.wraps[:-1]
             if name in BLOCK:
                 self.path.pop()
             if name == tag:
@@ -73,8 +103,10 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", ()))
             return
+        if tag not in HEAD and self.count.get("head") and not self.count.get("template") and not self.count.get("noscript"):
+            self.pop_to("head")
         if tag in BLOCK:
             self.end_line()
             if self.count.get("p"):  # a paragraph ends where any block starts
@@ -83,23 +115,27 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         a = {k: v or "" for k, v in attrs}
-        named = tag not in ("html", "body", "article", "main") and any(n in NAMES for k in ("class", "id") if k in a for n in _NAME.findall(a[k].lower()))
-        skip = tag in SKIP or named or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        named = set() if tag in ("html", "body", "article", "main") else names(f"{a.get('class', '')} {a.get('id', '')}")
+        wrap = tag == "form" or bool(named)
+        skip = tag in SKIP and tag != "form" or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
         self.number += 1
-        self.open.append((tag, self.number, skip))
+        self.open.append((tag, self.number, skip, wrap))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.skipped += skip
+        if wrap:
+            self.wraps += (self.number,)
+            self.named[self.number] = named
         if tag in BLOCK:
             self.path.append(self.number)
         if tag in ("article", "main") or a.get("role", "").lower() in ("main", "article"):
-            self.regions.add(self.number)
+            self.regions[self.number] = (tag == "main" or a.get("role", "").lower() == "main", self.wraps)
 
     def _imply(self, tag: str) -> None:
         """List items, table cells and terms end where the next one starts."""
         ends, within = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr"))}.get(tag, ((), ()))
         if not any(self.count.get(t) for t in ends):
             return
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name in within:
                 return
             if name in ends:
@@ -117,8 +153,44 @@ class Lines(HTMLParser):
             self.pop_to(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.pop_to("head")
         if not self.skipped:
-            self.text.append(data)
+            self.text.append((data, self.wraps))
+
+    def unwrapped(self) -> set[int]:
+        """Forms and named elements that are read, since they wrap the page's content."""
+        own, by = dict.fromkeys(self.regions, 0), {}
+        for chunks, _, path in self.lines:
+            around = [r for r in self.regions.keys() & set(path)] if self.regions else []
+            for text, wraps in chunks:
+                n = len("".join(text.split()))
+                by[wraps] = by.get(wraps, 0) + n
+                for r in around:
+                    own[r] += n if self.regions[r][1] == wraps else 0
+        read = {w for r, (is_main, wraps) in self.regions.items() if is_main and own[r] for w in wraps}
+        if any(n and read.issuperset(self.regions[r][1]) for r, n in own.items()):
+            return read
+        inside = [r for r, n in own.items() if n and not any(self.named[w] & CARDS for w in self.regions[r][1])]
+        if inside:
+            return read.union(self.regions[max(inside, key=own.get)][1])
+        half = sum(by.values()) / 2
+        by = {wraps: n for wraps, n in by.items() if not any(self.named[w] & FIRM for w in wraps)}
+        while True:
+            held: dict[int, int] = {}
+            for wraps, n in by.items():
+                if outer := [w for w in wraps if w not in read]:
+                    held[outer[0]] = held.get(outer[0], 0) + n
+            most = max(held, key=held.get, default=None)
+            if most is None or held[most] <= half:
+                return read
+            read.add(most)
+
+    def kept(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """Lines with the text that is not skipped."""
+        read = self.unwrapped() if self.named else set()
+        made = ((" ".join("".join(t for t, wraps in chunks if read.issuperset(wraps)).split()), tags, path) for chunks, tags, path in self.lines)
+        return [line for line in made if line[0]]
 
 
 def content(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -146,22 +218,23 @@ def main_text(html: str | None) -> str:
     p.feed(html or "")
     p.close()
     p.end_line()
-    if not p.lines:
+    lines = p.kept()
+    if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in p.lines])
-    good = content(size / np.maximum(1, [n for _, n, _ in p.lines]))
-    inside = np.array([bool(p.regions.intersection(path)) for _, _, path in p.lines])
+    size = np.array([len(t) for t, _, _ in lines])
+    good = content(size / np.maximum(1, [n for _, n, _ in lines]))
+    inside = np.array([bool(p.regions.keys() & path) for _, _, path in lines])
     if 2 * size[good & inside].sum() > size[good].sum():
-        held = set().union(*(p.regions.intersection(path) for (_, _, path), g in zip(p.lines, good & inside) if g))
-        chosen = [not held.isdisjoint(path) for _, _, path in p.lines]
+        held = set().union(*(p.regions.keys() & path for (_, _, path), g in zip(lines, good & inside) if g))
+        chosen = [not held.isdisjoint(path) for _, _, path in lines]
     else:
-        paths = [path for (_, _, path), g in zip(p.lines, good) if g]
+        paths = [path for (_, _, path), g in zip(lines, good) if g]
         around = set(paths[0]).intersection(*paths[1:])
         inner = max(around, default=0)
         if len(paths) == 1 and len(paths[0]) > 1:  # a single line names its parent, or its own siblings would be lost
             inner = paths[0][-2]
-        chosen = [not inner or inner in path for _, _, path in p.lines]
-    return "\n\n".join(t for (t, _, _), c in zip(p.lines, chosen) if c)
+        chosen = [not inner or inner in path for _, _, path in lines]
+    return "\n\n".join(t for (t, _, _), c in zip(lines, chosen) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:

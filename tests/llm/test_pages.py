@@ -39,6 +39,33 @@ def test_plain_text_and_deep_nesting():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-comments", "with-header", "page-with-menu", "widget", "site-header", "menu"])
+@pytest.mark.parametrize("region", ["article", "main", "div"])
+def test_layout_names_hide_no_page(name, region):
+    text = " ".join(LONG.split())
+    page = f"<body><div class='x {name}'><{region}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></{region}></div><div>a <a>b</a></div><div id=site-footer>{LONG}</div></body>"
+    want = "a b" if (name, region) == ("menu", "div") else f"Title\n\n{text}\n\n{text}"
+    assert html_text.main_text(page) == want
+    if want != "a b":
+        assert html_text.main_text(f"<form id=aspnetForm>{page}</form>") == want
+
+
+def test_names_still_hide_what_they_name():
+    text = " ".join(LONG.split())
+    assert [sorted(html_text.names(n)) for n in ("site-header", "comments_area ad2", "cookie-notice", "has-sidebar", "content-sidebar-wrap", "shadow")] == [["header"], ["ad", "comments"], ["cookie", "notice"], [], [], []]
+    card = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    page = f"<div><h1>T</h1><p>{LONG}</p><div class='comments-area'>{card * 4}</div></div><div class=related>{card * 4}</div><div class=cookie-consent>{LONG * 20}</div>"
+    assert html_text.main_text(page) == f"T\n\n{text}"
+    assert html_text.main_text(f"<article><h1>T</h1><p>{LONG}</p></article><div class=sidebar><p>{LONG * 9}</p></div>") == f"T\n\n{text}"
+
+
+@pytest.mark.parametrize("start", ["<body>", "<p>", "<h1></h1><p>", ""])
+def test_a_head_ends_without_its_tag(start):
+    text = " ".join(LONG.split())
+    head = "<!doctype html><html><head><meta charset=utf-8><title>T</title><noscript><img src=x></noscript><style>p{}</style><link rel=x>\n"
+    assert html_text.main_text(f"{head}{start}{LONG}") == text == html_text.main_text(f"{head}</head>{start}{LONG}")
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, "x")], "page_id bigint, url string, html string, text string")
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect())
