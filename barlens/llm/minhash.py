@@ -8,8 +8,9 @@ lower-casing A-Z; fewer than five words make one shingle; a document without wor
    ``t`` coordinates fill, whatever the size of the set; agreement of coordinates is as concentrated about the Jaccard
    similarity as with ``t`` independent hash functions, at ``O(n + t log t)`` work.
 2. *Banding.* ``bands`` groups of ``rows`` coordinates are hashed; documents that share a group meet in a bucket. A pair at the
-   threshold of 0.85 shares none with probability ``(1 - 0.85**rows) ** bands``: 3e-7 at 32 bands of 6.
-3. *Exact verification* on full sets: ``100 * |A and B| >= 85 * |A or B|`` links.
+   threshold ``p`` shares none with probability ``(1 - p**rows) ** bands``. Both follow ``percent`` so that this is at most
+   MISS: 32 bands of 6 at 0.85, 38 of 5 at 0.80.
+3. *Exact verification* on full sets: ``100 * |A and B| >= percent * |A or B|`` links.
 
 Equal sets are one class from the start. No bucket is expanded into its pairs: first every class is compared with the most
 central member it meets (that with the most company over all its bands), then with the centres of its other buckets, and
@@ -35,11 +36,23 @@ from barlens.llm.common import Forest, blank, bound_batches, components, mix64,
 
 WORDS = 5
 BANDS, ROWS = 32, 6
+#: How likely a pair at the threshold may share no band, and how many coordinates the bands may take for it.
+MISS, COORDINATES = 3e-7, 192
 #: Classes of one bucket in one block of the last step.
 BLOCK = 256
 _STEPS = seeds(WORDS, 11)
 
 
+def layout(percent: int, miss: float = MISS) -> tuple[int, int]:
+    """``(bands, rows)``: the most rows whose bands miss a pair at the threshold as rarely as asked; one row takes what it needs."""
+    for rows in range(COORDINATES, 0, -1):
+        meet = (percent / 100) ** rows
+        bands = 1 if meet >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-meet))) if meet > miss else math.inf
+        if bands * rows <= COORDINATES or rows == 1:
+            break
+    return int(bands), rows
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = blank(text) if text else []
@@ -196,12 +209,15 @@ def _rivals(members: DataFrame, facts: DataFrame, percent: int, coordinates: int
     return wanted.join(facts, "id").groupBy(*key).applyInPandas(compare, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs`` (which needs ``doc_id`` and ``text``).
 
     ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept`` marks the row that carries it. A ``doc_id``
-    given to several texts stands for one document that links what any of them links.
+    given to several texts stands for one document that links what any of them links. ``bands`` and ``rows`` come from
+    ``percent`` unless both are given.
     """
+    if bands is None or rows is None:
+        bands, rows = layout(percent)
     sig = settle(signatures(docs, bands=bands, rows=rows))
     known = sig.where("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(

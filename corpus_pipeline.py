@@ -17,6 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The mixture: domains two to one, the language with most text not above its share, nine tenths of all tokens, no document twice.
 WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 2.0}}
 SHARE, SEED = 0.9, 29
+#: Documents of this similarity or more, in percent, are near copies.
+SIMILAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=SIMILAR).where("kept").select("doc_id").distinct()
     one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
 

@@ -103,3 +103,23 @@ def test_vectors_link_as_by_brute_force(spark, monkeypatch, cell, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (n, c, i == c), i
     assert (got[None].n_links, got[None].component_id) == (0, None)
     assert range_join.linked(vectors.limit(0)).count() == 0
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.layout(85) == (32, 6) and minhash.layout(80) == (38, 5)
+    for percent in range(10, 101):
+        bands, rows = minhash.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS and bands * rows <= minhash.COORDINATES
+
+
+def test_stage_removes_pairs_from_four_fifths_up(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, gone = [], set()
+    for i in range(60):
+        more = (19, 22, 24, 25, 26)[i % 5]  # of 100 shingles: similarities of 0.840, 0.820, 0.806, 0.800 and 0.794
+        words = [f"w{i}x{j}" for j in range(104 + more)]
+        rows += [(2 * i, " ".join(words[:104]), "en", "src0", 1), (2 * i + 1, " ".join(words), "en", "src0", 1)]
+        gone |= {2 * i + 1} if more <= 25 else set()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [r.doc_id for r in pipeline.minhash_near_dedup(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({r[0] for r in rows} - gone)
