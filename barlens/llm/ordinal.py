@@ -11,6 +11,9 @@ Features are counts of hashed words and of hashed word shapes (capitals, small l
 and of "the same word as before", as square roots of shares: every document has length 1. The model is fitted on a bounded
 sample of labelled documents (``sample``, drawn by hash); scoring covers every document, in its own row.
 
+A document is kept if it is more likely sound than poor and its ``p_clean`` reaches the model's cutoff. The cutoff is chosen
+on labelled documents that the fit has not seen (a quarter as many): at most LOSS of the clean ones fall below it.
+
 Defined results: null text has no features and gets the prior; a document rated twice counts with its lowest grade; ratings
 of unknown documents and null ratings are ignored; without two grades to learn from nothing can be told apart and all rows
 score as the grade there is (the best grade without any); repeated rows each keep a row; other columns are ignored.
@@ -33,6 +36,8 @@ GRADES = 3
 SIZE = 1 << 16
 #: Labelled documents that the fit uses at most, on average.
 SAMPLE = 8000
+#: Share of the labelled documents drawn that the fit leaves for the choice of the cutoff, and of the clean ones that may go.
+HELD, LOSS = 0.2, 0.01
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
@@ -68,10 +73,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Shared weights and ordered thresholds."""
+    """Shared weights, ordered thresholds, and the least ``P(grade = 2)`` of a document that is kept."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cutoff: float = 0.5
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """``P(grade >= k)`` for ``k = 1 ..`` as columns."""
@@ -109,6 +115,20 @@ def fit_arrays(at: np.ndarray, x: np.ndarray, row: np.ndarray, grade: np.ndarray
     return Model(p[:SIZE].copy(), np.concatenate([[p[SIZE]], p[SIZE] + np.cumsum(np.exp(p[SIZE + 1 :]))]))
 
 
+def clean_cutoff(clean: np.ndarray, other: np.ndarray, loss: float = LOSS) -> float:
+    """The ``p_clean`` to ask for, from those of held-out clean documents and of the others.
+
+    At most ``loss`` of the clean ones lie below it, and none for whose loss no other document goes. One half without clean
+    documents, nothing without others.
+    """
+    if not len(clean):
+        return 0.5
+    clean = np.sort(clean)
+    most = clean[int(loss * len(clean))]
+    below = other[other < most]
+    return float(clean[np.searchsorted(clean, below.max(), "right")]) if len(below) else 0.0
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """``(doc_id, grade)`` from ``quality`` and ``toxic``."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
@@ -116,29 +136,40 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, graded: DataFrame, *, sample: int = SAMPLE, seed: int = 1) -> Model:
-    """Fit on at most about ``sample`` documents of ``graded`` that ``docs`` has; their features reach the driver, not their texts."""
-    n = graded.count()
-    drawn = graded.where(unit_hash("doc_id", seed=seed) < (sample / n if n > sample else 1.0))
+    """Fit on at most about ``sample`` documents of ``graded`` that ``docs`` has, and choose the cutoff on others.
+
+    Their features reach the driver, not their texts.
+    """
+    n, most = graded.count(), sample / (1 - HELD)
+    share = most / n if n > most else 1.0
+    draw = unit_hash("doc_id", seed=seed)
+    drawn = graded.withColumn("held", draw >= share * (1 - HELD)).where(draw < share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for b in batches:
             f = [features(t, known) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "at": [a.tobytes() for a, _ in f], "x": [x.tobytes() for _, x in f]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "held": b["held"], "at": [a.tobytes() for a, _ in f], "x": [x.tobytes() for _, x in f]})
 
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(drawn, "doc_id").mapInPandas(run, "doc_id bigint, grade int, at binary, x binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(drawn, "doc_id").mapInPandas(run, "doc_id bigint, grade int, held boolean, at binary, x binary")
     got = sorted(rows.collect())
-    at = [np.frombuffer(r["at"], np.int32) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(a) for a in at]) if got else np.empty(0, int)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return fit_arrays(join(at, np.int32), join([np.frombuffer(r["x"], np.float32) for r in got], np.float32), row, np.array([r["grade"] for r in got], int))
-
-
-def scored(docs: DataFrame, model: Model, *, carry: Sequence[str] = (), least: float = 0.5, tail: int = 1) -> DataFrame:
+    at, x = ([np.frombuffer(r[c], kind) for r in got] for c, kind in (("at", np.int32), ("x", np.float32)))
+    grade, held = np.array([r["grade"] for r in got], int), np.array([r["held"] for r in got], bool)
+    some = np.flatnonzero(~held)
+    join = lambda parts, kind: np.concatenate([np.empty(0, kind), *(parts[i] for i in some)])
+    row = np.repeat(np.arange(len(some)), [len(at[i]) for i in some])
+    model = fit_arrays(join(at, np.int32), join(x, np.float32), row, grade[some])
+    p = model.tails(np.array([model.weights[at[i]] @ x[i] for i in np.flatnonzero(held)], float))[:, -1]
+    model.cutoff = clean_cutoff(p[grade[held] == GRADES - 1], p[grade[held] < GRADES - 1])
+    return model
+
+
+def scored(docs: DataFrame, model: Model, *, carry: Sequence[str] = (), least: float | None = None, tail: int = GRADES - 1) -> DataFrame:
     """``doc_id``, ``score``, ``p_sound`` (grade 1 or more), ``p_clean`` (grade 2), ``expected_grade``, ``kept`` per row.
 
-    ``kept`` asks for ``P(grade >= tail) >= least``. ``carry`` puts input columns into a struct ``_row``.
+    ``kept`` asks for ``p_sound >= 0.5`` and ``p_clean >= model.cutoff``, or else, where ``least`` is given, for
+    ``P(grade >= tail) >= least``. ``carry`` puts input columns into a struct ``_row``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +177,7 @@ def scored(docs: DataFrame, model: Model, *, carry: Sequence[str] = (), least: f
         for b in batches:
             s = model.scores(b.pop("_t").tolist(), known)
             p = model.tails(s)
-            yield b.assign(score=s, p_sound=p[:, 0], p_clean=p[:, 1], expected_grade=p.sum(1), kept=p[:, tail - 1] >= least)
+            yield b.assign(score=s, p_sound=p[:, 0], p_clean=p[:, 1], expected_grade=p.sum(1), kept=(p[:, 0] >= 0.5) & (p[:, -1] >= model.cutoff) if least is None else p[:, tail - 1] >= least)
 
     bound_batches(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(carry))]

@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely poor than sound go."""
+    """Documents that are more likely poor than sound go, and those less likely clean than nearly all clean ones."""
     model = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
     return ordinal.scored(docs, model, carry=COLUMNS).where("kept").select("_row.*")
 

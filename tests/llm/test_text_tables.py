@@ -178,3 +178,28 @@ def test_classifier_on_held_out_documents(spark):
     none = ordinal.fit(odd, graded.limit(0))
     assert [r.kept for r in ordinal.scored(odd, none).collect()] == [True] * 3
     assert ordinal.scored(odd.limit(0), model).count() == 0
+
+
+def test_cutoff_spares_clean_documents():
+    clean, other = np.linspace(0.5, 1, 1000), np.linspace(0, 0.9, 400)
+    cut = ordinal.clean_cutoff(clean, other)
+    assert (clean < cut).mean() <= ordinal.LOSS and 0.5 < cut < 0.51 and (other < cut).mean() > 0.5
+    assert ordinal.clean_cutoff(clean, np.array([0.1, 0.2])) == 0.5 and ordinal.clean_cutoff(clean, np.array([])) == 0.0
+    assert ordinal.clean_cutoff(np.array([]), other) == 0.5
+
+
+def test_toxic_documents_go(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        words = [f"w{x}" for x in rng.integers(0, 300, 80)]
+        grade = (2, 2, 2, 1, 0)[i % 5]
+        if grade < 2:
+            words[:: 8 if grade else 2] = [("nasty" if grade else "spam") + str(x) for x in rng.integers(0, 5, len(words[:: 8 if grade else 2]))]
+        rows.append((i, " ".join(words), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    graded = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 2000], "doc_id bigint, grade int")
+    grade = {r[0]: r[2] for r in rows}
+    kept = {r.doc_id: r.kept for r in ordinal.scored(docs.where("doc_id >= 2000"), ordinal.fit(docs, graded)).collect()}
+    share = [np.mean([k for i, k in kept.items() if grade[i] == g]) for g in range(3)]
+    assert share[2] > 0.96 and share[1] < 0.3 and share[0] < 0.05
