@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import html_text, licenses, minhash, mixing, ordinal, packing, range_join, risk_rules, token_rollup, zip_warc
+from barlens.llm import collocations, html_text, licenses, minhash, mixing, ordinal, packing, range_join, risk_rules, secret_scan, spelling, token_rollup, zip_warc
 from barlens.llm.common import drop_path, scratch_path, settle, table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,92 @@ SELECT doc_id, license, CAST(spot AS BIGINT) AS first_word, CAST(last_word AS BI
 
 
 ORACLES["op5_license_scans"] = _license_sql()
+
+
+SLIP = 97
+
+
+@query
+def op11_spelling_variants(spark, d):
+    return spelling.variants(spelling.vocabulary(table(spark, d, "documents"), slip=SLIP))
+
+
+# The CRC of a text is linear in its bytes: ``far`` has what a byte adds at each distance from the end. Pairs meet in words with
+# one letter left out, or masked where it stood.
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+w AS (SELECT concat(doc_id, ':', w) AS m, w, sum(n) AS n FROM (SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS w, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY 1, 2) GROUP BY 1, 2),
+bytes AS (SELECT m, hex(encode(m)) AS x, CAST(octet_length(encode(m)) AS BIGINT) AS size FROM w),
+bits AS (SELECT b, b AS v, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT b, v FROM bits WHERE k = 8),
+far AS (SELECT 0 AS d, b, v FROM tab UNION ALL SELECT d + 1, far.b, xor(far.v >> 8, tab.v) FROM far JOIN tab ON tab.b = far.v % 256 WHERE d < (SELECT max(size) FROM bytes)),
+place AS (SELECT m, size - 1 - i AS d, xor(CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT), CASE WHEN i < 4 THEN 255 ELSE 0 END) AS b FROM (SELECT *, unnest(range(size)) AS i FROM bytes)),
+crc AS (SELECT m, xor(4294967295, bit_xor(v)) AS h FROM place JOIN far USING (d, b) GROUP BY 1),
+v AS (SELECT CASE WHEN h % {SLIP} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n) AS n FROM w JOIN crc USING (m) GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+spot AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+cut AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS s FROM spot),
+hole AS (SELECT word, n, left(word, i) || '_' || substr(word, i + 2) AS s FROM spot),
+short AS (SELECT c.word, c.n, v.word AS near, v.n AS near_n FROM cut c JOIN v ON v.word = c.s),
+near AS (SELECT * FROM short UNION ALL SELECT near, near_n, word, n FROM short UNION ALL SELECT a.word, a.n, b.word, b.n FROM hole a JOIN hole b ON a.s = b.s AND a.word <> b.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND r = 1),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM f JOIN (SELECT walk.word, root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL) USING (word)
+"""
+
+
+@query
+def op12_phrase_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, unnest(regexp_split_to_array(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, len(w) - i AS more FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+one AS (SELECT lang, a AS x, count(*) AS n FROM g GROUP BY 1, 2),
+two AS (SELECT lang, a AS x, b AS y, count(*) AS n FROM g WHERE more >= 1 GROUP BY 1, 2, 3),
+three AS (SELECT lang, a AS x, b AS y, c AS z, count(*) AS n FROM g WHERE more >= 2 GROUP BY 1, 2, 3, 4 HAVING count(*) >= {collocations.LEAST}),
+held AS (SELECT lang, x, y, max(n) AS n FROM (SELECT lang, x, y, n FROM three UNION ALL SELECT lang, y, z, n FROM three) GROUP BY 1, 2, 3),
+cuts AS (SELECT two.lang, two.x || ' ' || two.y AS phrase, two.n AS a, 1 AS k, l.n AS l, r.n AS r FROM two LEFT JOIN held USING (lang, x, y) JOIN one l ON l.lang = two.lang AND l.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y
+  WHERE two.n >= {collocations.LEAST} AND (held.n IS NULL OR 100 * held.n < 50 * two.n)
+UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.n, 1, l.n, r.n FROM three t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.n, 2, l.n, r.n FROM three t JOIN two l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one r ON r.lang = t.lang AND r.x = t.z),
+s AS (SELECT *, CAST(CAST({collocations.SCALE} AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM one GROUP BY 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) JOIN n USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
+@query
+def op13_secret_scans(spark, d):
+    """A source stands for an owner, and its documents of one language for a repository."""
+    return secret_scan.report(secret_scan.scan(table(spark, d, "documents"), owner=F.col("source"), repository=F.col("lang")))
+
+
+def _spans_sql(name: str, pattern: str, group: int, least: int, kind: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT doc_id, owner, repo, {kind} AS kind, e - length(h) AS s, e, v FROM (
+  SELECT *, sum(length(h) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, owner, repo, i, hits[i] AS h, rest[i] AS x, vals[i] AS v FROM (
+    SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, owner, repo, regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', {group}) AS vals, regexp_split_to_array(t, '{quoted}') AS rest FROM t)))) WHERE length(v) >= {least})"""
+
+
+ORACLES["op13_secret_scans"] = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(lang, '') AS repo, coalesce(text, '') AS t FROM documents),
+{", ".join(_spans_sql(n, rx, g, least, k) for k, (n, rx, g, least) in enumerate(secret_scan.KINDS))},
+{_spans_sql("runs", secret_scan.RUN, 0, 0, 3)},
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+found AS (SELECT DISTINCT doc_id, owner, repo, e - length(v) AS s, e, v FROM (SELECT * FROM base UNION ALL SELECT * FROM runs)
+  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {secret_scan.DISTINCT}),
+verdict AS (SELECT v, count(DISTINCT owner) AS owners FROM found GROUP BY 1),
+judged AS (SELECT * FROM found JOIN verdict USING (v)),
+every AS (SELECT doc_id, kind, s, e FROM base UNION ALL SELECT doc_id, 3, s, e FROM judged WHERE owners = 1),
+b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2 FROM base GROUP BY 1),
+x AS (SELECT doc_id, concat_ws(':', ['assign', 'access', 'hex', 'live'][kind + 1], s, e) AS o, kind, s FROM every),
+j AS (SELECT doc_id, string_agg(o, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(o, ',' ORDER BY s, kind) AS spans FROM x GROUP BY 1),
+c AS (SELECT doc_id, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {secret_scan.EXAMPLES}) AS n_copied FROM judged GROUP BY 1)
+SELECT t.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN j USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
