@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barlens.functions.scalar import hash_index
+from barlens.functions.draws import draw, normal, repetition_keys, seeds
 from barlens.operators.ranking import exact_quantiles, unpivot, with_positions
 
 
@@ -100,27 +103,95 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
     return with_positions(df, by, order, before="_pos", total="_size")
 
 
+#: Rows of a leaf of the split tree, at most; repetitions whose draws a task holds at once.
+LEAF, AT_ONCE = 256, 250
+
+
+def _split(count: np.ndarray, share: float, z: np.ndarray) -> np.ndarray:
+    """How many of ``count`` draws fall into the left ``share`` of a node of more than LEAF rows.
+
+    The normal limit of the binomial, less the variance that rounding adds.
+    """
+    left = np.floor(count * share + np.sqrt(np.maximum(count * share * (1 - share) - 1 / 12, 0)) * z + 0.5)
+    return np.clip(left, 0, count).astype(np.int64)
+
+
+class _Resampled:
+    """Resampled sums of one group in one task; see :func:`bootstrap_mean`."""
+
+    def __init__(self, first: int, second: int, size: int, repetitions: int) -> None:
+        self.one, self.two = repetition_keys(first, second, np.arange(repetitions, dtype=np.int64))
+        self.size, self.leaves = size, -(-size // LEAF)
+        self.sums, self.path = np.zeros(repetitions), {}
+
+    def leaf(self, number: int) -> tuple[int, np.ndarray]:
+        """The node of a leaf and its draws in every repetition; splits of the last path are kept."""
+        a, b, node, path = 0, self.leaves, 1, {}
+        edge = lambda i: i * self.size // self.leaves
+        count = np.full(len(self.one), self.size, np.int64)
+        while b - a > 1:
+            mid = (a + b) // 2
+            left = self.path.get(node)
+            if left is None:
+                left = _split(count, (edge(mid) - edge(a)) / (edge(b) - edge(a)), normal(self.one, self.two, node))
+            path[node] = left
+            a, b, node, count = (a, mid, 2 * node, left) if number < mid else (mid, b, 2 * node + 1, count - left)
+        self.path = path
+        return node, count
+
+    def add(self, positions: np.ndarray, values: np.ndarray) -> None:
+        leaf_of = ((positions + 1) * self.leaves - 1) // self.size
+        for number in np.unique(leaf_of):
+            own = leaf_of == number
+            start = number * self.size // self.leaves
+            width = (number + 1) * self.size // self.leaves - start
+            weight = np.zeros(width)
+            weight[positions[own] - start] = values[own]
+            node, count = self.leaf(int(number))
+            for r in range(0, len(count), AT_ONCE):
+                some = count[r : r + AT_ONCE]
+                rep = np.repeat(np.arange(len(some)), some)
+                j = np.arange(len(rep)) - np.repeat(np.cumsum(some) - some, some)
+                drawn = draw(self.one[r : r + AT_ONCE][rep], self.two[r : r + AT_ONCE][rep], node, j) % width
+                self.sums[r : r + AT_ONCE] += np.bincount(rep, weight[drawn], minlength=len(some))
+
+
 def bootstrap_mean(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, repetitions: int = 2000, confidence: float = 0.95, seed: int = 17
 ) -> DataFrame:
     """Percentile interval of the resampled mean per group.
 
-    Draw ``i`` of repetition ``r`` is the row at ``hash(group|seed|r|i) mod n``. The
-    draws are generated from the group sizes, counted per drawn position, and
-    meet the values in one equi join; repetitions (not groups) spread the work.
-    Intervals agree with other generators statistically, not digit by digit.
+    A repetition draws as many rows as the group has. How often it draws each row comes down a binary tree over the rows'
+    positions: a node's draws are split between its halves by a hash-driven draw, and a leaf (of LEAF rows at most) places its
+    own draws one by one. A task walks to the leaves of its own rows only and sums what they add to every repetition, so nothing
+    is as long as a group and one number a task, group and repetition moves. Groups of up to LEAF rows are drawn exactly; splits
+    of larger ones use the normal limit of the binomial. Draws depend on the group's key, ``seed``, repetition and position.
     """
-    rows = numbered(df.where(F.col(value).isNotNull()), by, order).select(*by, "_pos", "_size", F.col(value).alias("_v"))
-    sizes = rows.groupBy(*by).agg(F.max("_size").alias("_size"))
-    reps = sizes.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    reps = reps.repartition(*by, "_rep").withColumn(
-        "_draw", F.explode(F.sequence(F.lit(0), (F.col("_size") - 1).cast("int")))
-    )
-    key = F.concat_ws("|", *(F.col(c).cast("string") for c in by), F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_draw").cast("string"))
-    drawn = reps.withColumn("_pos", hash_index(key, F.col("_size"))).groupBy(*by, "_rep", "_pos").agg(F.count(F.lit(1)).alias("_times"))
-    means = drawn.join(rows.drop("_size"), [*by, "_pos"]).groupBy(*by, "_rep").agg(
-        (F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("_mean")
-    )
+    rows = numbered(df.where(F.col(value).isNotNull()), by, order)
+    first, second = seeds(F.concat_ws("|", *(F.col(c).cast("string") for c in by), F.lit(str(seed))))
+    rows = rows.select(*by, "_pos", "_size", F.col(value).cast("double").alias("_v"), first.alias("_one"), second.alias("_two")).sortWithinPartitions(*by, "_pos")
+    keys = list(by)
+    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("_rep", T.IntegerType()), T.StructField("_size", T.LongType()), T.StructField("_sum", T.DoubleType())])
+
+    def resample(batches):
+        held = {}
+
+        def flush():
+            for (_, _, size), (names, r) in held.items():
+                n = len(r.sums)
+                yield pd.DataFrame({**{c: [v] * n for c, v in zip(keys, names)}, "_rep": np.arange(n, dtype=np.int32), "_size": [size] * n, "_sum": r.sums})
+            held.clear()
+
+        for b in batches:
+            for key, g in b.groupby(["_one", "_two", "_size"], sort=False):
+                if key not in held:
+                    if len(held) >= 64:
+                        yield from flush()
+                    held[key] = ([g[c].iloc[0] for c in keys], _Resampled(*map(int, key), repetitions))
+                held[key][1].add(g["_pos"].to_numpy(), g["_v"].to_numpy())
+        yield from flush()
+
+    means = rows.mapInPandas(resample, schema).groupBy(*by, "_rep").agg((F.sum("_sum") / F.first("_size")).alias("_mean"))
     return _interval(means, by, confidence).withColumnsRenamed({"_lower": "ci_lower", "_upper": "ci_upper"})
 
 
@@ -132,6 +203,10 @@ def _interval(means: DataFrame, by: Sequence[str], confidence: float) -> DataFra
     )
 
 
+#: Repetitions of a series that one row of the block bootstrap stands for.
+REPETITIONS = 100
+
+
 def block_bootstrap(
     dates: DataFrame,
     *,
@@ -145,44 +220,36 @@ def block_bootstrap(
 ) -> DataFrame:
     """Moving-block bootstrap of date values; blocks never cross folds.
 
-    Input is one value per (by, fold, date). Block ``j`` of repetition ``r`` starts at
-    ``hash(by|fold|L|seed|r|j) mod (n - L + 1)``. A block's sum is a difference of
-    running sums, so one row per block is drawn instead of one per date, and
-    only the blocks meet the (calendar-sized) running sums.
+    Input is one value per (by, fold, date). A block's sum is a difference of running sums. A series has one value a date, so
+    its running sums fit one row; every row of a task has them once with a range of repetitions, whose blocks are drawn and
+    looked up by index. Block ``j`` starts at ``draw(by|fold|L|seed, repetition, j) mod (n - L + 1)``.
     """
     series = [*by, fold]
-    order = Window.partitionBy(*series).orderBy("date")
-    v = dates.select(*series, "date", F.col(value).alias("_v")).withColumns(
-        {
-            "_pos": F.row_number().over(order) - 1,
-            "_before": F.coalesce(F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        }
-    )
-    total = v.groupBy(*series).agg(F.count(F.lit(1)).alias("_size"), F.sum("_v").alias("_sum"))
-    edges = v.select(*series, "_pos", "_before").unionByName(
-        total.select(*series, F.col("_size").cast("int").alias("_pos"), F.col("_sum").alias("_before"))
-    )
-    setup = total.withColumn("block_length", F.explode(F.array(*(F.lit(b) for b in blocks)))).withColumns(
-        {"_w": F.least(F.col("block_length"), F.col("_size"))}
-    )
-    reps = setup.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).repartition("_rep")
-    drawn = reps.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_size") / F.col("_w")) - 1).cast("int"))))
-    key = F.concat_ws(
-        "|", *(F.col(c).cast("string") for c in series), F.col("block_length").cast("string"), F.lit(str(seed)),
-        F.col("_rep").cast("string"), F.col("_j").cast("string"),
-    )
-    drawn = drawn.withColumn("_from", hash_index(key, F.col("_size") - F.col("_w") + 1).cast("int"))
-    take = F.least(F.col("_w"), F.col("_size") - F.col("_j") * F.col("_w"))
-    drawn = drawn.withColumns({"_take": take, "_to": (F.col("_from") + take).cast("int")})
-    lo = edges.select(*series, F.col("_pos").alias("_from"), F.col("_before").alias("_lo"))
-    hi = edges.select(*series, F.col("_pos").alias("_to"), F.col("_before").alias("_hi"))
+    v = dates.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("date", F.col(value).cast("double").alias("v")))).alias("_v"))
+    setup = v.select(*series, F.transform("_v", lambda x: x["v"]).alias("_v"), F.explode(F.array(*(F.lit(b) for b in blocks))).alias("block_length"))
+    first, second = seeds(F.concat_ws("|", *(F.col(c).cast("string") for c in series), F.col("block_length").cast("string"), F.lit(str(seed))))
+    setup = setup.withColumns({"_one": first, "_two": second, "_from": F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1), F.lit(REPETITIONS)))})
+    parts = max(1, min(dates.sparkSession.sparkContext.defaultParallelism * 4, -(-repetitions // REPETITIONS)))
+    dealt = setup.repartition(parts, *series, "block_length", "_from")
+    keys = list(by)
+    schema = T.StructType([*(dealt.schema[c] for c in by), *(T.StructField(n, t) for n, t in (("block_length", T.IntegerType()), ("_rep", T.IntegerType()), ("_sum", T.DoubleType()), ("_size", T.LongType())))])
+
+    def resample(batches):
+        for b in batches:
+            for row in b.to_dict("records"):
+                values = np.asarray(row["_v"], float)
+                n = len(values)
+                upto, width = np.r_[0.0, np.cumsum(values)], min(row["block_length"], n)
+                rep = np.arange(row["_from"], min(row["_from"] + REPETITIONS, repetitions), dtype=np.int64)
+                one, two = repetition_keys(row["_one"], row["_two"], rep)
+                j = np.arange(-(-n // width))
+                take = np.minimum(width, n - j * width)
+                start = draw(one[:, None], two[:, None], 1, j) % (n - width + 1)
+                total = (upto[start + take] - upto[start]).sum(1)
+                yield pd.DataFrame({**{c: [row[c]] * len(rep) for c in keys}, "block_length": row["block_length"], "_rep": rep, "_sum": total, "_size": n})
+
     group = [*by, "block_length"]
-    means = (
-        drawn.join(lo, [*series, "_from"])
-        .join(hi, [*series, "_to"])
-        .groupBy(*group, "_rep")
-        .agg((F.sum(F.col("_hi") - F.col("_lo")) / F.sum("_take")).alias("_mean"))
-    )
+    means = dealt.mapInPandas(resample, schema).groupBy(*group, "_rep").agg((F.sum("_sum") / F.sum("_size")).alias("_mean"))
     ci = _interval(means, group, confidence)
     x = F.col(value)
     base = dates.groupBy(*by).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlens.functions.scalar import reasons
-from barlens.operators.ranking import with_positions
+from barlens.session import settle
 
 # Stabiliser of logarithms and ratios.
 EPS = 1e-12
@@ -375,26 +375,85 @@ def project(rows: DataFrame, vector: str, matrix: np.ndarray, name: str = "proje
     return rows.mapInPandas(product, schema)
 
 
-def sliced_wasserstein(rows: DataFrame, key: str, vector: str, *, size: int, directions: int, seed: int) -> DataFrame:
-    """Mean squared gap between sorted projections of the rows and of a normal sample.
+#: Sorted values of one direction that a task holds of each sample, rows projected at once, and rows that set the ranges.
+RUN, PROJECTED, SAMPLE = 1 << 20, 2048, 1 << 16
 
-    Each direction holds every row, so its ranks come from the
-    range-partitioned ranking rather than a window.
+
+def sliced_wasserstein(rows: DataFrame, key: str, vector: str, *, size: int, directions: int, seed: int, run: int = RUN) -> DataFrame:
+    """Mean squared gap between sorted projections of the rows and of a normal sample, per direction.
+
+    A batch leaves one row for each direction and value range, with its projections packed and sorted, so rows, not single
+    values, are shuffled, and once. A task merges the runs of both samples in its range. Their ranks follow from the counts
+    below the range; what ranks they share is compared on the spot, and only what stands opposite another range moves again,
+    in pieces cut at multiples of ``run`` ranks. Ranges are cut at quantiles of at most SAMPLE rows; they bound a task's work
+    and do not touch the result. The driver sees counts and range bounds only.
     """
+    spark = rows.sparkSession
     matrix = projection_matrix(size, directions, seed)
     sample_key = lambda i: F.concat_ws("|", F.lit(str(seed + 1)), F.col(key).cast("string"), i.cast("string"))
     dims = F.sequence(F.lit(0), F.lit(size - 1))
-    both = rows.select(key, vector).withColumn("_target", F.transform(dims, lambda i: hash_normal_column(sample_key(i))))
-    actual = project(both.select(key, F.col(vector).alias("v")), "v", matrix)
-    target = project(both.select(key, F.col("_target").alias("v")), "v", matrix)
-    ranked = []
-    for part, name in ((actual, "x"), (target, "y")):
-        long = part.select(key, F.posexplode("projected").alias("direction", name))
-        ranked.append(with_positions(long, ["direction"], [name, key]).select("direction", "_before", name))
-    gap = F.col("x") - F.col("y")
-    return ranked[0].join(ranked[1], ["direction", "_before"]).groupBy("direction").agg(
-        F.avg(gap * gap).alias("squared_distance"), F.count(F.lit(1)).alias("rows")
-    )
+    both = rows.select(key, F.col(vector).alias("v"), F.transform(dims, lambda i: hash_normal_column(sample_key(i))).alias("t"))
+    n = rows.count()
+    ranges = max(1, -(-n // run))
+    bounds = None
+    if ranges > 1:
+        few = both.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // min(SAMPLE, 64 * ranges)))) == 0).limit(2 * SAMPLE).toPandas()
+        seen = np.concatenate([np.stack(few[c].to_numpy()) for c in ("v", "t")]) @ matrix if len(few) else np.zeros((1, directions))
+        bounds = np.quantile(seen, np.arange(1, ranges) / ranges, axis=0)
+
+    def runs(batches):
+        for whole in batches:
+            for at in range(0, len(whole), PROJECTED):
+                b = whole.iloc[at : at + PROJECTED]
+                x, y = (np.sort(np.stack(b[c].to_numpy()) @ matrix, axis=0) for c in ("v", "t"))
+                for d in range(0, directions, 64):
+                    out = []
+                    for k in range(d, min(d + 64, directions)):
+                        cuts = [[0, *(np.searchsorted(s[:, k], bounds[:, k]) if ranges > 1 else ()), len(b)] for s in (x, y)]
+                        for r in range(ranges):
+                            (i, j), (u, w) = (c[r : r + 2] for c in cuts)
+                            if j > i or w > u:
+                                out.append((k, r, x[i:j, k], y[u:w, k]))
+                    yield pd.DataFrame(out, columns=["direction", "range", "x", "y"])
+
+    packed = both.select("v", "t").mapInPandas(runs, "direction int, range int, x array<double>, y array<double>")
+    parts = max(min(directions * ranges, 4 * spark.sparkContext.defaultParallelism), n * directions // (8 * run))
+    if ranges > 1:
+        packed = settle(packed)
+        below = Window.partitionBy("direction").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = packed.groupBy("direction", "range").agg(*(F.sum(F.size(c)).alias(f"n{c}") for c in "xy"))
+        starts = counts.select("direction", "range", *(F.coalesce(F.sum(f"n{c}").over(below), F.lit(0)).alias(f"{c}_from") for c in "xy"))
+        dealt = packed.repartition(parts, "direction", "range").join(starts, ["direction", "range"])
+    else:
+        dealt = packed.repartition(parts, "direction", "range").withColumns({f"{c}_from": F.lit(0).cast("bigint") for c in "xy"})
+
+    def merged(g: pd.DataFrame) -> pd.DataFrame:
+        sides = [(np.sort(np.concatenate(g[c].to_numpy())), int(g[f"{c}_from"].iloc[0])) for c in "xy"]
+        first = max(start for _, start in sides)
+        last = max(first, min(start + len(v) for v, start in sides))
+        x, y = (v[first - start : last - start] for v, start in sides)
+        out = [(float(((x - y) ** 2).sum()), len(x), None, None, None, None)]
+        for side, (v, start) in enumerate(sides):
+            end = start + len(v)
+            for i, j in ((start, min(first, end)), (max(last, start), end)):
+                for piece in range(i // run, -(-j // run) if j > i else 0):
+                    lo, hi = max(i, piece * run), min(j, (piece + 1) * run)
+                    out.append((0.0, 0, piece, side, lo, v[lo - start : hi - start]))
+        made = pd.DataFrame(out, columns=["total", "n", "piece", "side", "at", "values"]).astype({"piece": "Int64", "side": "Int64", "at": "Int64"})
+        made.insert(0, "direction", g["direction"].iloc[0])
+        return made
+
+    def matched(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.concatenate(g[g["side"] == side].sort_values("at")["values"].to_numpy()) for side in (0, 1))
+        return pd.DataFrame({"direction": [g["direction"].iloc[0]], "total": [float(((x - y) ** 2).sum())], "n": [len(x)]})
+
+    made = dealt.groupBy("direction", "range").applyInPandas(merged, "direction int, total double, n bigint, piece bigint, side int, at bigint, values array<double>")
+    totals = made.select("direction", "total", "n")
+    if ranges > 1:
+        made = settle(made)
+        rest = made.where("piece is not null").groupBy("direction", "piece").applyInPandas(matched, "direction int, total double, n bigint")
+        totals = made.select("direction", "total", "n").unionAll(rest)
+    return totals.groupBy("direction").agg((F.sum("total") / F.sum("n")).alias("squared_distance"), F.sum("n").alias("rows"))
 
 
 def select_lambda(candidates: DataFrame, runs: int = 2) -> DataFrame:

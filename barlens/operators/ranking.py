@@ -33,8 +33,10 @@ def with_positions(
     """
     keys = [F.col(c).desc() if c in descending else F.col(c) for c in order]
     spread = df.repartitionByRange(*(F.col(c) for c in by), *keys)
+    if weight is None:
+        return _numbered_runs(spread, by, keys, before, total)
     rows = settle(spread.withColumn("_chunk", F.spark_partition_id()))
-    w = F.col(weight) if weight else F.lit(1)
+    w = F.col(weight)
     local = Window.partitionBy("_chunk", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*by, "_chunk").agg(F.sum(w).cast("bigint").alias("_in_chunk"))
     # at most one row per shuffle partition and group
@@ -59,6 +61,29 @@ def with_positions(
     )
 
 
+def _numbered_runs(spread: DataFrame, by: Sequence[str], keys: Sequence[Column], before: str, total: str) -> DataFrame:
+    """Positions of range-partitioned rows: taken inside each sorted partition before the checkpoint, so rows move once.
+
+    A row's number within its partition is the low part of ``monotonically_increasing_id``; what lies before its partition
+    comes from one row for each partition and group.
+    """
+    ordered = spread.sortWithinPartitions(*by, *keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = settle(ordered.withColumns({"_chunk": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}))
+    runs = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_in_chunk"), F.min("_at").alias("_first"))
+    chunks = Window.partitionBy(*(by or [F.lit(0)]))
+    offsets = runs.select(
+        *(F.col(c).alias(f"_of_{c}") for c in by),
+        F.col("_chunk").alias("_of_chunk"),
+        (F.coalesce(F.sum("_in_chunk").over(chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_in_chunk").over(chunks).alias(total),
+    )
+    same = F.col("_chunk") == F.col("_of_chunk")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    placed = rows.join(offsets, same).withColumn(before, F.col("_at") + F.col("_shift"))
+    return placed.drop("_chunk", "_at", "_shift", "_of_chunk", *(f"_of_{c}" for c in by))
+
+
 def row_numbers(
     df: DataFrame, by: Sequence[str], order: Sequence[str], *, descending: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:

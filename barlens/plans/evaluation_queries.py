@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barlens.functions.draws import MASK, draw_sql, keys_sql
 from barlens.functions.scalar import rnd, rnd_ratio
 from barlens.operators import evaluate as E
 from barlens.operators import identity as I
@@ -142,14 +143,19 @@ def by_date(spark, d):
     return pairs(spark, d).groupBy("strategy", "date").agg(F.avg("difference").alias("difference"))
 
 
-@query("bootstrap_mean", """WITH v AS (SELECT strategy, difference AS v, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM c_bydate),
- g AS (SELECT strategy, max(n) AS n FROM v GROUP BY 1), r AS (SELECT g.*, rep.range AS rep FROM g, range(200) rep),
- w AS (SELECT strategy, rep, ('0x' || substr(sha256(strategy || '|17|' || rep || '|' || unnest(range(n))), 1, 15))::BIGINT % n AS pos FROM r),
- m AS (SELECT w.strategy, rep, avg(v.v) AS mean FROM w JOIN v ON v.strategy = w.strategy AND v.pos = w.pos GROUP BY 1, 2)
+@query("bootstrap_mean", f"""WITH RECURSIVE v AS (SELECT strategy, difference AS v, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM c_bydate),
+ r AS (SELECT strategy, n, (n + {E.LEAF - 1}) // {E.LEAF} AS leaves, rep.range AS rep, {keys_sql("strategy || '|17'", "rep.range")} FROM (SELECT strategy, max(n) AS n FROM v GROUP BY 1), range(2000) rep),
+ t AS (SELECT strategy, rep, n, leaves, one, two, 1::BIGINT AS node, 0::BIGINT AS a, leaves AS b, n AS c FROM r
+  UNION ALL SELECT strategy, rep, n, leaves, one, two, 2 * node + s.s, CASE s.s WHEN 0 THEN a ELSE m END, CASE s.s WHEN 0 THEN m ELSE b END, CASE s.s WHEN 0 THEN l ELSE c - l END
+  FROM (SELECT *, (a + b) // 2 AS m, (m * n // leaves - a * n // leaves) / (b * n // leaves - a * n // leaves) AS p, {draw_sql("node", str(MASK - 1), "u")}, {draw_sql("node", str(MASK), "w")},
+    sqrt(-2 * ln((u + 1) / {MASK + 2})) * cos(2 * pi() * (w + 1) / {MASK + 2}) AS z, CAST(greatest(0, least(c, floor(c * p + sqrt(greatest(c * p * (1 - p) - 1.0::DOUBLE / 12, 0)) * z + 0.5))) AS BIGINT) AS l FROM t WHERE b - a > 1), (VALUES (0), (1)) s(s)),
+ w AS (SELECT strategy, rep, n, leaves, a, one, two, node, unnest(range(c)) AS j FROM t WHERE b - a = 1),
+ d AS (SELECT strategy, rep, a * n // leaves AS start, {draw_sql("node", "j", "u")}, start + u % ((a + 1) * n // leaves - start) AS pos FROM w),
+ m AS (SELECT d.strategy, rep, sum(v.v) / max(v.n) AS mean FROM d JOIN v ON v.strategy = d.strategy AND v.pos = d.pos GROUP BY 1, 2)
 SELECT strategy, round(quantile_cont(mean, 0.025), 6) AS ci_lower, round(quantile_cont(mean, 0.975), 6) AS ci_upper FROM m GROUP BY 1""")
 def bootstrap_mean(spark, d):
     """Interval of the mean date difference (dates are the resampled unit)."""
-    b = E.bootstrap_mean(by_date(spark, d), ["strategy"], ["date"], "difference", repetitions=200)
+    b = E.bootstrap_mean(by_date(spark, d), ["strategy"], ["date"], "difference")
     return b.withColumns({"ci_lower": rnd("ci_lower"), "ci_upper": rnd("ci_upper")})
 
 
@@ -163,11 +169,14 @@ def fold_dates(spark, d):
 
 def block_sql(lengths: str, reps: int) -> str:
     return f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY strategy, fold_id ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY strategy, fold_id) AS n FROM c_fd),
+ e AS (SELECT strategy, fold_id, pos + 1 AS pos, sum(difference) OVER (PARTITION BY strategy, fold_id ORDER BY pos) AS upto FROM v UNION ALL SELECT DISTINCT strategy, fold_id, 0, 0 FROM v),
  s AS (SELECT strategy, fold_id, max(n) AS n, l.l AS block_length, least(l.l, max(n)) AS w FROM v, (VALUES {lengths}) l(l) GROUP BY 1, 2, l.l),
- b AS (SELECT s.*, rep.range AS rep, unnest(range(CAST(ceil(n / w) AS BIGINT))) AS j FROM s, range({reps}) rep),
- c AS (SELECT *, ('0x' || substr(sha256(strategy || '|' || fold_id || '|' || block_length || '|13|' || rep || '|' || j), 1, 15))::BIGINT % (n - w + 1) AS st FROM b),
- x AS (SELECT strategy, fold_id, block_length, rep, st + o AS pos FROM (SELECT *, unnest(range(w)) AS o FROM c) WHERE j * w + o < n),
- m AS (SELECT x.strategy, block_length, rep, avg(v.difference) AS mean FROM x JOIN v ON v.strategy = x.strategy AND v.fold_id = x.fold_id AND v.pos = x.pos GROUP BY 1, 2, 3),
+ k AS (SELECT strategy, fold_id, block_length, n, w, rep.range AS rep, {keys_sql("strategy || '|' || fold_id || '|' || block_length || '|13'", "rep.range")} FROM s, range({reps}) rep),
+ b AS (SELECT *, unnest(range(CAST(ceil(n / w) AS BIGINT))) AS j FROM k),
+ c AS (SELECT strategy, fold_id, block_length, rep, least(w, n - j * w) AS take, {draw_sql("1", "j", "u")}, u % (n - w + 1) AS st FROM b),
+ x AS (SELECT c.strategy, c.block_length, rep, sum(hi.upto - lo.upto) AS total, sum(take) AS taken FROM c JOIN e lo ON lo.strategy = c.strategy AND lo.fold_id = c.fold_id AND lo.pos = c.st
+  JOIN e hi ON hi.strategy = c.strategy AND hi.fold_id = c.fold_id AND hi.pos = c.st + c.take GROUP BY 1, 2, 3),
+ m AS (SELECT strategy, block_length, rep, total / taken AS mean FROM x),
  q AS (SELECT strategy, block_length, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY 1, 2)
 SELECT q.strategy, q.block_length, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, count(*) AS paired_dates, round(avg(difference), 6) AS mean_difference, round(median(difference), 6) AS median_difference,
   round(avg(CASE WHEN difference < 0 THEN 1.0 ELSE 0 END), 6) AS date_win_rate, round(avg(difference) / stddev_samp(difference), 6) AS standardized_effect FROM q JOIN c_fd USING (strategy) GROUP BY q.strategy, q.block_length, lo, hi"""
@@ -176,15 +185,15 @@ SELECT q.strategy, q.block_length, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_
 BOOT = ("ci_lower", "ci_upper", "mean_difference", "median_difference", "date_win_rate", "standardized_effect")
 
 
-@query("block_bootstrap", block_sql("(5)", 300))
+@query("block_bootstrap", block_sql("(5)", 10_000))
 def block_bootstrap(spark, d):
-    b = E.block_bootstrap(fold_dates(spark, d), by=["strategy"], blocks=(5,), repetitions=300)
+    b = E.block_bootstrap(fold_dates(spark, d), by=["strategy"], blocks=(5,))
     return b.withColumns({c: rnd(c) for c in BOOT})
 
 
-@query("block_sensitivity", block_sql("(1), (5), (10)", 100))
+@query("block_sensitivity", block_sql("(1), (5), (10)", 10_000))
 def block_sensitivity(spark, d):
-    b = E.block_bootstrap(fold_dates(spark, d), by=["strategy"], blocks=(1, 5, 10), repetitions=100)
+    b = E.block_bootstrap(fold_dates(spark, d), by=["strategy"], blocks=(1, 5, 10))
     return b.withColumns({c: rnd(c) for c in BOOT})
 
 

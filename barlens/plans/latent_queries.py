@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlens.functions.scalar import rnd
 from barlens.operators import clean as C
 from barlens.operators import latent as L
-from barlens.plans.registry import cte, query
+from barlens.plans.registry import CTES, cte, query
 from barlens.sources import market
 
 cte("c_emb", "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings")
@@ -188,12 +188,15 @@ def random_projection(spark, d):
     return p.select("vec_id", F.posexplode("projected").alias("j", "value")).withColumn("value", rnd("value"))
 
 
+cte("c_mat512", CTES["c_mat"].replace("range(4) j", "range(512) j"))
+
+
 @query("sliced_wasserstein", f"""WITH t AS (SELECT vec_id, i, {NORMAL.format(k=chr(39) + '14|' + chr(39) + ' || vec_id || ' + chr(39) + '|' + chr(39) + ' || i')} AS x FROM c_vals),
- p AS (SELECT vec_id, j, sum(x * w) AS v FROM c_vals JOIN c_mat USING (i) GROUP BY 1, 2), q AS (SELECT vec_id, j, sum(x * w) AS v FROM t JOIN c_mat USING (i) GROUP BY 1, 2),
+ p AS (SELECT vec_id, j, sum(x * w) AS v FROM c_vals JOIN c_mat512 USING (i) GROUP BY 1, 2), q AS (SELECT vec_id, j, sum(x * w) AS v FROM t JOIN c_mat512 USING (i) GROUP BY 1, 2),
  a AS (SELECT j, v, row_number() OVER (PARTITION BY j ORDER BY v, vec_id) AS r FROM p), b AS (SELECT j, v, row_number() OVER (PARTITION BY j ORDER BY v, vec_id) AS r FROM q)
 SELECT CAST(a.j AS INTEGER) AS direction, round(avg(power(a.v - b.v, 2)), 6) AS squared_distance, count(*) AS rows FROM a JOIN b ON b.j = a.j AND b.r = a.r GROUP BY 1""")
 def sliced_wasserstein(spark, d):
-    s = L.sliced_wasserstein(emb(spark, d), "vec_id", "embedding", size=64, directions=4, seed=13)
+    s = L.sliced_wasserstein(emb(spark, d), "vec_id", "embedding", size=64, directions=512, seed=13)
     return s.withColumn("squared_distance", rnd("squared_distance"))
 
 

@@ -35,6 +35,8 @@ def with_ctes(select: str) -> str:
         return select.strip()
     parts = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in ordered)
     body = select.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body.startswith("WITH "):
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"
