@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.scalar import month_chunks, reasons
+from barlens.operators.order_stats import quantiles
 from barlens.operators.ranking import average_ranks, exact_quantiles, row_numbers, unpivot
 
 COMMON = "ordinary_common_stock"
@@ -34,12 +35,12 @@ def formation_stats(
 ) -> DataFrame:
     """Per candidate medians and completeness over its exact sessions only.
 
-    Medians run over one instrument's minutes and days, both bounded by the
-    formation window.
+    The median of an instrument's minutes comes from radix refinement, so no task sorts or holds them; its days are bounded by
+    the formation window.
     """
     exact = quality.where("minute_exact_full_session").select("instrument_id", "session_date")
     kept = bars.join(exact, ["instrument_id", "session_date"], "left_semi")
-    price = kept.groupBy("instrument_id").agg(F.median("close").alias("median_price"))
+    price = quantiles(kept, ["instrument_id"], "close", {"median_price": 0.5})
     dollars = daily_dollar_volume(bars, quality).groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("sessions"), F.median("dollar_volume").alias("median_daily_dollar_volume")
     )
@@ -73,6 +74,13 @@ def duplicate_sessions_across_files(bars: DataFrame) -> DataFrame:
     )
 
 
+def delivered_once(bars: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``bars`` unchanged; reading them is an error if any session was delivered more than once."""
+    first = repeated.agg(F.min(F.concat_ws(" ", "instrument_id", F.col("session_date").cast("string")))).scalar()
+    fault = F.raise_error(F.concat(F.lit("session delivered by more than one file: "), first)).cast("boolean")
+    return bars.where(F.when(first.isNull(), F.lit(True)).otherwise(fault))
+
+
 def daily_formation(
     snapshot: DataFrame,
     validated: DataFrame,
@@ -80,13 +88,20 @@ def daily_formation(
     *,
     min_price: float = 5.0,
     min_completeness: float = 0.95,
+    ingest: str | None = None,
 ) -> DataFrame:
-    """Candidates from validated daily bars (``reasons`` per bar), with JSON reasons."""
+    """Candidates from validated daily bars (``reasons`` per bar), with JSON reasons.
+
+    A day delivered more than once counts with its first valid row in ``ingest`` order (without one, in that of its values).
+    """
+    valid = F.size("reasons") == 0
+    row = F.when(valid, F.struct("close", "volume", "vwap"))
+    order = F.when(valid, F.col(ingest)) if ingest else row
     per_day = validated.groupBy("instrument_id", "session_date").agg(
         F.sum((F.size("reasons") == 0).cast("int")).alias("_valid"),
         F.collect_set("reasons").alias("_why"),
-        *(F.max(F.when(F.size("reasons") == 0, F.col(c))).alias(c) for c in ("close", "volume", "vwap")),
-    )
+        F.min_by(row, order).alias("_row"),
+    ).select("*", "_row.*")
     ok = F.col("_valid") > 0
     repeated = F.when(F.col("_valid") > 1, F.array(F.lit("duplicate_daily_observation"))).otherwise(
         F.array().cast("array<string>")

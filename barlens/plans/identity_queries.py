@@ -8,6 +8,7 @@ from barlens.functions.scalar import rnd, rnd_ratio
 from barlens.operators import bars as B
 from barlens.operators import identity as I
 from barlens.operators import universe as U
+from barlens.operators.order_stats import quantiles
 from barlens.plans.clean_queries import quality
 from barlens.plans.inputs import DAY_4H, bars, calendar, daily, hour_bars
 from barlens.plans.registry import cte, query
@@ -354,11 +355,10 @@ SELECT instrument_id, round(v.completeness, 6) AS minute_session_completeness, r
 FROM v JOIN q USING (instrument_id)""")
 def candidate_comparison(spark, d):
     h = hour_bars(spark, d)
-    v = h.groupBy("instrument_id").agg(
-        (F.count_distinct("session_date") / F.lit(30.0)).alias("session_completeness"),
-        F.median("close").alias("median_daily_price"),
-        F.median(F.col("vwap") * F.col("volume")).alias("median_daily_dollar_volume"),
-    )
+    v = h.groupBy("instrument_id").agg((F.count_distinct("session_date") / F.lit(30.0)).alias("session_completeness"))
+    v = v.join(quantiles(h, ["instrument_id"], "close", {"median_daily_price": 0.5}), "instrument_id")
+    dollars = h.select("instrument_id", (F.col("vwap") * F.col("volume")).alias("x"))
+    v = v.join(quantiles(dollars, ["instrument_id"], "x", {"median_daily_dollar_volume": 0.5}), "instrument_id")
     dly = v.withColumn("security_type", F.lit(U.COMMON)).withColumnRenamed("session_completeness", "daily_completeness")
     out = U.candidate_comparison(v, dly, quality(spark, d, DAY_4H))
     return out.select(

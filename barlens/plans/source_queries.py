@@ -19,6 +19,7 @@ from barlens.sources import market
 from barlens.sources import readers as R
 from barlens.sources import writers as W
 from barlens.streaming import jobs as S
+from barlens.streaming import stateful
 
 
 @query("scan_bars", """SELECT symbol, count(*) AS rows, CAST(sum(volume) AS BIGINT) AS volume, round(sum(close), 2) AS close FROM c_raw GROUP BY 1""")
@@ -283,11 +284,28 @@ def stream(spark, d):
     return S.stream_ticks(spark, f"{d}/events.parque[t]")
 
 
-@query("stream_tokens", f"""SELECT instrument_id, time_bucket(INTERVAL 4 HOUR, ts) AS token_start, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS trades
-FROM c_ticks WHERE price > 0 GROUP BY 1, 2 HAVING time_bucket(INTERVAL 4 HOUR, any_value(ts)) + INTERVAL 4 HOUR <= date_trunc('millisecond', {CLOSED})""")
+@query("stream_tokens", f"""SELECT instrument_id, CAST(session_date AS TIMESTAMP) + to_minutes(token * 240) AS token_start, open, high, low, close, volume, trade_count AS trades, round(vwap + 1e-9, 6) AS vwap,
+  round(realized_volatility, 6) AS realized_volatility, observed FROM c_tok WHERE CAST(session_date AS TIMESTAMP) + to_minutes(token_end_minute) <= date_trunc('millisecond', {CLOSED})""")
 def stream_tokens(spark, d):
     t = S.run_available(S.stream_tokens(stream(spark, d), "4 hours", "1 hour"), "tokens")
-    return t.withColumn("token_start", F.col("token_start").cast("timestamp_ntz"))
+    return t.withColumns({"token_start": F.col("token_start").cast("timestamp_ntz"), "vwap": rnd_ratio("vwap"), "realized_volatility": rnd("realized_volatility")})
+
+
+@query("stream_late_trades", f"""WITH k AS (SELECT *, seq % 20 = 0 AS held FROM c_ticks WHERE price > 0), m AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) AS mark FROM k WHERE NOT held)
+SELECT instrument_id, count(*) AS trades, count(*) FILTER (held AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark) AS late FROM k, m GROUP BY 1""")
+def stream_late_trades(spark, d):
+    """The event table in two files, and every twentieth event in a third that comes last."""
+    path = scratch_path(spark, "arrivals")
+    events = market.table(spark, d, "events")
+    half = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).scalar()
+    held = F.col("event_id") % 20 == 0
+    for name, part in (("1", ~held & (F.col("ts") < half)), ("2", ~held & (F.col("ts") >= half)), ("3", held)):
+        events.where(part).coalesce(1).write.parquet(f"{path}/arrival={name}")
+    ticks = S.stream_ticks(spark, f"{path}/arrival=*", files_per_trigger=1)
+    late, _ = S.run_late(ticks, "1 hour", "late")
+    every = market.ticks(spark, d).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("trades"))
+    counts = late.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("late"))
+    return every.join(counts, "instrument_id", "left").select("instrument_id", "trades", F.coalesce("late", F.lit(0)).cast("bigint").alias("late"))
 
 
 @query("stream_dedupe", "SELECT instrument_id, count(*) AS trades, CAST(sum(size) AS BIGINT) AS volume FROM c_ticks WHERE price > 0 GROUP BY 1")
@@ -312,11 +330,15 @@ def stream_gap_sessions(spark, d):
     return g.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start", "run_end")})
 
 
-@query("stream_rolling", f"""SELECT instrument_id, s AS window_start, CAST(sum(size) AS BIGINT) AS volume, round(max(price) - min(price), 6) AS price_range FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(h.range) AS s FROM c_ticks, range(4) h WHERE price > 0)
-GROUP BY 1, 2 HAVING s + INTERVAL 4 HOUR <= date_trunc('millisecond', {CLOSED})""")
+@query("stream_rolling", f"""WITH b AS (SELECT *, CAST(session_date AS TIMESTAMP) + to_minutes(minute) AS ts FROM c_min), w AS (SELECT b.*, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(h.range) AS s FROM b, range(4) h),
+ r AS (SELECT *, power(ln(close) - lag(ln(close)) OVER (PARTITION BY instrument_id, s ORDER BY ts), 2) AS sq FROM w)
+SELECT instrument_id, s AS window_start, CAST(sum(volume) AS BIGINT) AS volume, round(max(high) - min(low), 6) AS price_range, round(sqrt(coalesce(sum(sq), 0)), 6) AS realized_volatility, count(*) AS observed
+FROM r GROUP BY 1, 2 HAVING s + INTERVAL 4 HOUR <= date_trunc('millisecond', {CLOSED})""")
 def stream_rolling(spark, d):
-    r = S.run_available(S.stream_rolling(stream(spark, d), "4 hours", "1 hour", "1 hour"), "rolling")
-    return r.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "price_range": rnd("price_range")})
+    bars = S.minute_bars(stream(spark, d), "1 hour")
+    with stateful.keyed_state(spark):
+        r = S.run_available(stateful.stream_volatility(bars, width_minutes=240, slide_minutes=60), "rolling")
+    return r.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "price_range": rnd("price_range"), "realized_volatility": rnd("realized_volatility")})
 
 
 @query("stream_profile_join", "SELECT t.instrument_id, t.seq, p.bucket, round(p.expected_volume + 1e-6, 4) AS expected_volume FROM c_ticks t JOIN c_profile4 p ON p.instrument_id = t.instrument_id AND p.session_date = CAST(t.ts AS DATE) AND p.bucket = hour(t.ts) // 4 WHERE t.price > 0")
@@ -327,3 +349,28 @@ def stream_profile_join(spark, d):
     profile4(spark, d).select("instrument_id", "session_date", "bucket", "expected_volume").write.parquet(path)
     j = S.run_available(S.stream_profile_join(stream(spark, d), spark.read.parquet(path), token_minutes=240), "profiled")
     return j.select("instrument_id", "seq", "bucket", rnd(F.col("expected_volume") + 1e-6, 4).alias("expected_volume"))
+
+
+@query("stream_boundary_forecasts", """WITH f AS (SELECT instrument_id, session_date, g.range * 240 AS generated_minute, minute, volume * (1 + g.range) AS v FROM c_hour, range(6) g WHERE minute >= g.range * 240),
+ q AS (SELECT DISTINCT instrument_id, session_date, minute AS now_minute FROM c_hour), e AS (SELECT date_trunc('millisecond', max(CAST(session_date AS TIMESTAMP) + to_minutes(minute)) - INTERVAL 1 HOUR) AS mark FROM c_hour),
+ j AS (SELECT q.*, f.generated_minute, f.minute, f.v FROM q JOIN f ON f.instrument_id = q.instrument_id AND f.session_date = q.session_date AND f.generated_minute = q.now_minute - q.now_minute % 240 AND f.minute >= q.now_minute, e
+   WHERE CAST(q.session_date AS TIMESTAMP) + to_minutes(q.now_minute) <= mark)
+SELECT instrument_id, session_date, now_minute, CAST(generated_minute AS INTEGER) AS generated_minute, minute, CAST(v AS DOUBLE) AS expected_volume,
+  round(CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 0 END + 1e-9, 6) AS share FROM j WINDOW w AS (PARTITION BY instrument_id, session_date, now_minute)""")
+def stream_boundary_forecasts(spark, d):
+    """The forecasts and requests of ``truncate_forecast`` as streams; requests after the last watermark wait."""
+    from barlens.plans.inputs import hour_bars
+
+    path = scratch_path(spark, "boundary")
+    instant = lambda minute: F.expr(f"cast(cast(session_date as timestamp_ntz) + make_interval(0, 0, 0, 0, 0, {minute}) as timestamp)")
+    h = hour_bars(spark, d).select("instrument_id", "session_date", "minute", "volume")
+    made = h.withColumn("g", F.explode(F.sequence(F.lit(0), F.floor(F.col("minute") / 240).cast("int")))).select(
+        "instrument_id", "session_date", (F.col("g") * 240).alias("generated_minute"), "minute", (F.col("volume") * (1 + F.col("g"))).cast("double").alias("v")
+    )
+    packed = made.groupBy("instrument_id", "session_date", "generated_minute").agg(F.array_sort(F.collect_list(F.struct("minute", "v"))).alias("p"))
+    packed.select("instrument_id", "session_date", "generated_minute", instant("generated_minute").alias("ts"), F.transform("p", lambda x: x["minute"]).alias("minutes"), F.transform("p", lambda x: x["v"]).alias("volumes")).write.parquet(f"{path}/forecasts")
+    h.select("instrument_id", "session_date", F.col("minute").alias("now_minute"), instant("minute").alias("ts")).distinct().write.parquet(f"{path}/requests")
+    forecasts, requests = (spark.readStream.schema(spark.read.parquet(f"{path}/{n}").schema).parquet(f"{path}/{n}") for n in ("forecasts", "requests"))
+    with stateful.keyed_state(spark):
+        t = S.run_available(stateful.stream_boundary_forecasts(forecasts, requests, update=240, delay="1 hour"), "answers")
+    return t.select("instrument_id", "session_date", "now_minute", "generated_minute", "minute", "expected_volume", rnd_ratio("share").alias("share"))

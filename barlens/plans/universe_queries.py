@@ -70,8 +70,8 @@ def formation_stats_chunked(spark, d):
     week = F.weekofyear("session_date").alias("week")
     slots(spark, d).select("*", week).repartition("instrument_id", "week").write.partitionBy("instrument_id", "week").parquet(path)
     corpus = spark.read.parquet(path).drop("week")
-    repeated = U.duplicate_sessions_across_files(corpus)
-    quality = Q.session_quality(corpus, HOURS, window=(10, 15)).join(repeated, ["instrument_id", "session_date"], "left_anti")
+    corpus = U.delivered_once(corpus, U.duplicate_sessions_across_files(corpus))
+    quality = Q.session_quality(corpus, HOURS, window=(10, 15))
     return formation_out(U.formation_stats(event_snapshot(spark, d), corpus, quality, 30))
 
 

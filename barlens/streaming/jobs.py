@@ -8,9 +8,10 @@ state is one counter row per session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from barlens.operators.bars import order_key
 from barlens.session import scratch_path
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -30,25 +31,47 @@ def stream_ticks(spark: SparkSession, path: str, *, files_per_trigger: int | Non
     )
 
 
-def _ohlc() -> list:
-    first = F.struct("ts", "seq")
-    return [
+def minute_bars(ticks: DataFrame, delay: str) -> DataFrame:
+    """Minute bars, emitted once the watermark has passed their end; later trades are dropped (see :func:`run_late`).
+
+    ``ts`` is the last instant of the minute: what later operators take for the bar's event time.
+    """
+    first = order_key(ticks, ["ts", "seq"])
+    size = F.sum(F.col("size").cast("bigint"))
+    made = ticks.withWatermark("ts", delay).groupBy("instrument_id", F.window("ts", "1 minute")).agg(
         F.min_by("price", first).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", first).alias("close"),
-        F.sum(F.col("size").cast("bigint")).alias("volume"),
-        F.count(F.lit(1)).alias("trades"),
-    ]
+        size.alias("volume"),
+        F.count(F.lit(1)).alias("trade_count"),
+        F.coalesce(F.try_divide(F.sum(F.col("price") * F.col("size")), F.when(size > 0, size)), F.avg("price")).alias("vwap"),
+    )
+    return made.select("instrument_id", F.window_time("window").alias("ts"), F.col("window.start").alias("minute_start"), "open", "high", "low", "close", "volume", "trade_count", "vwap")
 
 
-def stream_tokens(ticks: DataFrame, width: str, delay: str) -> DataFrame:
-    """Token bars, emitted once the watermark has passed their end; later trades are dropped."""
-    return (
-        ticks.withWatermark("ts", delay)
-        .groupBy("instrument_id", F.window("ts", width))
-        .agg(*_ohlc())
-        .select("instrument_id", F.col("window.start").alias("token_start"), "open", "high", "low", "close", "volume", "trades")
+def stream_tokens(ticks: DataFrame, width: str, delay: str, *, min_obs: int = 2) -> DataFrame:
+    """Token bars as :func:`barlens.operators.bars.token_bars` makes them, emitted once the watermark has passed their end.
+
+    Trades become minute bars first, so a token holds no more than its minutes; tokens without ``min_obs`` bars or volume go.
+    """
+    closes = F.transform(F.array_sort(F.collect_list(F.struct("minute_start", F.ln("close").alias("c")))), lambda x: x["c"])
+    tokens = minute_bars(ticks, delay).groupBy("instrument_id", F.window("ts", width)).agg(
+        F.min_by("open", "minute_start").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "minute_start").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("trade_count").alias("trades"),
+        F.sum(F.col("vwap") * F.col("volume")).alias("_dollar"),
+        closes.alias("_closes"),
+        F.count(F.lit(1)).alias("observed"),
+    )
+    n = F.size("_closes")
+    squares = F.zip_with(F.slice("_closes", F.lit(2), n), F.slice("_closes", F.lit(1), n - 1), lambda b, a: (b - a) * (b - a))
+    return tokens.where((F.col("observed") >= min_obs) & (F.col("volume") > 0)).select(
+        "instrument_id", F.col("window.start").alias("token_start"), "open", "high", "low", "close", "volume", "trades",
+        (F.col("_dollar") / F.col("volume")).alias("vwap"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda t, x: t + x)).alias("realized_volatility"), "observed",
     )
 
 
@@ -77,16 +100,6 @@ def stream_gap_sessions(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def stream_rolling(ticks: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
-    """Sliding volume and price range over the last ``width``."""
-    return (
-        ticks.withWatermark("ts", delay)
-        .groupBy("instrument_id", F.window("ts", width, slide))
-        .agg(F.sum(F.col("size").cast("bigint")).alias("volume"), (F.max("price") - F.min("price")).alias("price_range"))
-        .select("instrument_id", F.col("window.start").alias("window_start"), "volume", "price_range")
-    )
-
-
 def stream_profile_join(ticks: DataFrame, profile: DataFrame, *, token_minutes: int) -> DataFrame:
     """Each trade with the static forecast of its token (``instrument_id, session_date, bucket``)."""
     minute = F.hour("ts") * 60 + F.minute("ts")
@@ -135,3 +148,33 @@ def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     rest = [c for c in stream.columns if c not in keys]
     rows = spark.read.parquet(f"{path}/out")
     return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest))
+
+
+def run_late(ticks: DataFrame, delay: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """The trades that :func:`minute_bars` drops, and ``(batch, rows, late, max_ts)`` for each batch.
+
+    Runs beside the query that makes the bars, on the same batches. A trade is late if its minute ended no later than the
+    watermark of the batches before: their latest time less ``delay``. Counts are observed while the late rows are written; a
+    batch that is replayed overwrites its own files.
+    """
+    spark = ticks.sparkSession
+    path = scratch_path(spark, label)
+    kept = "rows bigint, late bigint, max_ts timestamp, batch int"
+    spark.range(0).select(F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("late"), F.lit(None).cast("timestamp").alias("max_ts")).write.parquet(f"{path}/metrics/batch=-1")
+    spark.createDataFrame([], ticks.schema).write.parquet(f"{path}/late/batch=-1")
+
+    def save(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(kept).parquet(f"{path}/metrics").where(F.col("batch") < number).agg(F.max("max_ts")).first()[0]
+        mark = F.date_trunc("millisecond", F.lit(before) - F.expr(f"INTERVAL {delay}"))
+        late = F.coalesce(F.window("ts", "1 minute")["end"] <= mark, F.lit(False)) if before else F.lit(False)
+        seen = Observation()
+        marked = batch.withColumn("_late", late).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"), F.max("ts").alias("max_ts"))
+        marked.where("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        got = seen.get
+        row = spark.range(1).select(F.lit(got["rows"]).cast("bigint").alias("rows"), F.lit(got["late"]).cast("bigint").alias("late"), F.lit(got["max_ts"]).cast("timestamp").alias("max_ts"))
+        row.write.mode("overwrite").parquet(f"{path}/metrics/batch={number}")
+
+    query = ticks.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    metrics = spark.read.schema(kept).parquet(f"{path}/metrics").where("batch >= 0")
+    return spark.read.schema(ticks.schema).parquet(f"{path}/late").select(*ticks.columns), metrics.select("batch", "rows", "late", "max_ts")
