@@ -4,10 +4,10 @@ Texts are lower-cased in A-Z and split at ``[.,;:!?\\x0A-\\x0D]`` into pieces, t
 leaves its piece. Of the phrases found ``least`` times or more, each is scored at its weakest cut, ``scale * a * a / (l * r)``
 with the counts of the whole and of both parts, and dropped where a longer one holds most of its occurrences.
 
-1. *Apriori-safe candidates.* A phrase is only as frequent as its parts, so level by level phrases are looked at whose words,
-   and then pairs, can be frequent. Frequent parts lie in blocked Bloom filters of at most FILTER_BYTES, and phrases are counted
-   as 64-bit hashes with map-side sums; neither ever loses a frequent phrase, whatever its size or its collisions. One reading
-   spells the surviving hashes out as candidates.
+1. *Apriori-safe candidates.* A phrase is only as frequent as its parts: words are counted, then pairs of words that can be
+   frequent, then triples of such pairs. They are counted as 64-bit hashes with map-side sums, and frequent ones lie in blocked
+   Bloom filters of at most FILTER_BYTES; neither ever loses a frequent phrase, whatever its size or its collisions. One more
+   reading spells the surviving hashes out as candidates.
 2. *Double-array tries.* Candidates are dealt by their first words into shards of at most SHARD_BYTES. A task makes each shard's
    trie: a word is two arcs (the digits of its number), a node's arcs lie at ``base + arc``, and ``check`` names a slot's owner.
 3. *Counting.* Tries are sent in rounds of at most ROUND_BYTES, and texts are read once a round. numpy moves the states of all
@@ -43,40 +43,54 @@ FILTER_BYTES, SHARD_BYTES, ROUND_BYTES = 32 << 20, 16 << 20, 64 << 20
 NODE_BYTES = 40
 #: Arcs of a node that shares its slots with others.
 NARROW = 8
-#: Rows that a task gathers before it sends their sums on.
-HELD = 1 << 20
+#: Hashes that a task gathers before it sends their sums on, and words hashed at once.
+HELD, AT_ONCE = 1 << 21, 1 << 17
+BASE = 0x9E3779B97F4A7C15
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
-def split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words of the texts, the word at each position, and whether the next position lies in the same piece."""
+def split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts in order, their letters and offsets, and whether the next word lies in the same piece."""
     data = np.frombuffer(b"\n".join(t or b"" for t in texts).lower(), np.uint8)
     kind = _KIND[data]
     word = kind == 0
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, bool)
-    offsets = np.r_[0, np.cumsum(end - start)].astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[word].tobytes())])
-    coded = words.dictionary_encode()
-    breaks = np.r_[0, np.cumsum(kind == 2)]
-    joined = np.r_[breaks[start[1:]] == breaks[end[:-1]], False]
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), joined
+    letters, offsets = data[word], np.r_[0, np.cumsum(end - start)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    breaks = np.flatnonzero(kind == 2)
+    joined = np.zeros(len(start), bool)
+    joined[:-1] = np.searchsorted(breaks, start[1:]) == np.searchsorted(breaks, end[:-1])
+    return words, letters, offsets, joined
+
+
+def word_hashes(lang: str, letters: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, which only ever prune: those of a language have a seed of their own."""
+    out, lengths = np.empty(len(offsets) - 1, np.uint64), np.diff(offsets)
+    power = np.full(int(lengths.max(initial=0)) + 1, BASE, np.uint64)
+    power[0] = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")) | 1
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(power)
+        for i in range(0, len(out), AT_ONCE):
+            some = lengths[i : i + AT_ONCE]
+            first, last = offsets[i], offsets[i + len(some)]
+            at = offsets[i : i + len(some)] - first
+            place = np.arange(last - first) - np.repeat(at, some)
+            out[i : i + len(some)] = np.add.reduceat((letters[first:last] + np.uint64(1)) * power[place], at)
+    return mix64(out)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
-    """Each batch's words, by language."""
+    """Each batch's words by language, their hashes, and whether the next word lies in the same piece."""
     for b in batches:
         lang, text = b["lang"], b["text"]
         for name in pc.unique(lang).to_pylist():
-            some = text.filter(pc.equal(lang, name))
-            words, at, joined = split(some.to_pylist())
-            if len(at):
-                yield name, words, at, joined
+            words, letters, offsets, joined = split(text.filter(pc.equal(lang, name)).to_pylist())
+            if len(words):
+                yield name, words, word_hashes(name, letters, offsets), joined
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -84,33 +98,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")) | 1)
-
-
-def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)) * _seed(lang))
-
-
 def _followed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Hashes of phrases that go on with one more word."""
     with np.errstate(over="ignore"):
         return mix64(h * np.uint64(0xD6E8FEB86659FD93) + more)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, word, n)`` of all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, at, _ in _batches(batches):
-            n = np.bincount(at, minlength=len(words))
-            yield pa.record_batch({"lang": pa.array([lang] * len(words)), "word": words.cast(pa.binary()), "n": pa.array(n, pa.int64())})
-
-    one = _texts(docs).mapInArrow(run, "lang string, word binary, n bigint")
-    return one.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
 def _filter(keys: DataFrame, rows: int):
     """A filter of the hashes ``h`` (one a row), sent to the tasks; beyond its bound it gets less selective, not wrong."""
     blocks = min(blocked_bloom.blocks_for(rows), FILTER_BYTES // blocked_bloom.BLOCK_BYTES)
@@ -128,35 +121,37 @@ def _inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(lang: str, words: pa.Array, at: np.ndarray, joined: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(length, first positions, hashes)`` of the pairs whose words, and the triples whose pairs, the filters hold."""
-    h = word_hashes(lang, words)
-    good = _inside(filters[0], h)[at]
-    first = np.flatnonzero(joined[:-1] & good[:-1] & good[1:])
-    pair = _followed(h[at[first]], h[at[first + 1]])
-    yield 2, first, pair
+def _phrases(h: np.ndarray, joined: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(length, first positions, hashes)`` of the words, of pairs whose words the first filter holds, and of triples whose
+    pairs the second one holds."""
+    first = np.arange(len(h))
+    yield 1, first, h
+    if filters:
+        good = _inside(filters[0], h)
+        first = np.flatnonzero(joined[:-1] & good[:-1] & good[1:])
+        pair = _followed(h[first], h[first + 1])
+        yield 2, first, pair
     if len(filters) > 1:
         kept = _inside(filters[1], pair)
         first, pair = first[kept], pair[kept]
         # triples: this pair is kept, and so is the one that starts at the next position
         two = np.flatnonzero(first[1:] == first[:-1] + 1)
         first, pair = first[two], pair[two]
-        yield 3, first, _followed(pair, h[at[first + 2]])
+        yield 3, first, _followed(pair, h[first + 2])
 
 
-def _summed(batches: Iterator[pa.RecordBatch], length: int, filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Hashes of phrases of ``length`` words and how often each occurs."""
+def _summed(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Hashes of phrases one word longer than there are filters, and how often each occurs."""
 
     def sums(parts: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     held, rows = [], 0
-    for lang, words, at, joined in _batches(batches):
-        for k, _, h in _phrases(lang, words, at, joined, filters):
-            if k == length and len(h):
-                held.append(h)
-                rows += len(h)
+    for _, _, h, joined in _batches(batches):
+        *_, (_, _, found) = _phrases(h, joined, filters)
+        held.append(found)
+        rows += len(found)
         if rows >= HELD:
             yield sums(held)
             held, rows = [], 0
@@ -165,41 +160,44 @@ def _summed(batches: Iterator[pa.RecordBatch], length: int, filters: list[np.nda
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Phrases that may be frequent, each once a batch."""
-    for lang, words, at, joined in _batches(batches):
-        for k, first, h in _phrases(lang, words, at, joined, filters[:2]):
-            first = first[_inside(filters[k - 1], h)]
-            if len(first):
-                some = np.unique(np.stack([at[first + i] for i in range(k)]), axis=1)
-                parts = [words.take(pa.array(row)).cast(pa.binary()) for row in some]
-                parts += [pa.nulls(some.shape[1], pa.binary())] * (3 - k)
+    """Pairs and triples that may be frequent, each once a batch; told apart by their words."""
+    for lang, words, h, joined in _batches(batches):
+        coded = words.dictionary_encode()
+        at, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
+        for k, first, found in list(_phrases(h, joined, filters[:2]))[1:]:
+            first = first[_inside(filters[k - 1], found)]
+            some = np.stack([at[first + i] for i in range(k)])
+            if len(known) ** k < 1 << 63:
+                packed = some[0]
+                for more in some[1:]:
+                    packed = packed * len(known) + more
+                some = some[:, np.unique(packed, return_index=True)[1]]
+            else:
+                some = np.unique(some, axis=1)
+            if some.shape[1]:
+                parts = [known.take(pa.array(row)) for row in some] + [pa.nulls(some.shape[1], pa.binary())] * (3 - k)
                 yield pa.record_batch({"lang": pa.array([lang] * some.shape[1]), **dict(zip(("w1", "w2", "w3"), parts))})
 
 
-def candidates(docs: DataFrame, words: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """``(lang, w1, w2, w3)``: all phrases that occur ``least`` times or more, and few others; ``w3`` is null in pairs.
+def candidates(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """``(lang, w1, w2, w3)``: all pairs and triples that occur ``least`` times or more, few others, and the words of both.
 
-    ``words`` are the frequent words ``(lang, word, n)``.
+    Words that a phrase does not have are null.
     """
-    texts = _texts(docs)
-
-    def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name in pc.unique(b["lang"]).to_pylist():
-                yield pa.record_batch({"h": pa.array(word_hashes(name, b["word"].filter(pc.equal(b["lang"], name))).view(np.int64))})
-
-    keys, sent = words.select("lang", "word").mapInArrow(word_keys, "h bigint"), []
-    for length in (2, 3):
-        sent.append(_filter(keys, words.count() if length == 2 else keys.count()))
+    texts, sent = _texts(docs), []
+    for _ in range(3):
 
-        def run(batches: Iterator[pa.RecordBatch], length=length, sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
-            return _summed(batches, length, [s.value for s in sent])
+        def run(batches: Iterator[pa.RecordBatch], sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
+            return _summed(batches, [s.value for s in sent])
 
         keys = settle(texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
-    sent.append(_filter(keys, keys.count()))
+        sent.append(_filter(keys, keys.count()))
     every = tuple(sent)
     spelled = texts.mapInArrow(lambda batches: _spelled(batches, [s.value for s in every]), "lang string, w1 binary, w2 binary, w3 binary")
-    return settle(spelled.distinct())
+    phrases = settle(spelled.distinct())
+    none = F.lit(None).cast("binary")
+    words = phrases.select("lang", F.explode(F.array("w1", "w2", "w3")).alias("w1")).where("w1 is not null").distinct()
+    return phrases.unionAll(words.select("lang", "w1", none.alias("w2"), none.alias("w3")))
 
 
 def trie(arcs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,13 +294,16 @@ def _column(data: bytes) -> pa.Array:
 def _walk(batches: Iterator[pa.RecordBatch], tries: list[dict]) -> Iterator[pa.RecordBatch]:
     """How often each node of the tries is visited by the texts of a task."""
     ready = [(t["shard"], t["width"], np.frombuffer(t["base"], "<i4"), np.frombuffer(t["check"], "<i4"), _column(t["known"]), _column(t["langs"]).to_pylist()) for t in tries]
-    visits = [np.zeros(len(check), np.int64) for _, _, _, check, _, _ in ready]
-    for lang, words, at, joined in _batches(batches):
-        words = words.cast(pa.binary())
-        for (_, width, base, check, known, langs), seen in zip(ready, visits):
-            if lang not in langs:
-                continue
-            high, low = _digits(known, words, width)
+    visits, totals = [np.zeros(len(check), np.int64) for _, _, _, check, _, _ in ready], {}
+    for lang, words, _, joined in _batches(batches):
+        totals[lang] = totals.get(lang, 0) + len(words)
+        own = [t for t in zip(ready, visits) if lang in t[0][5]]
+        if not own:
+            continue
+        coded = words.cast(pa.binary()).dictionary_encode()
+        at = coded.indices.to_numpy()
+        for (_, width, base, check, known, langs), seen in own:
+            high, low = _digits(known, coded.dictionary, width)
             place = np.flatnonzero(high[at] >= 0)
             state = np.full(len(place), base[0] + langs.index(lang), np.int64)
             while len(place):
@@ -319,11 +320,19 @@ def _walk(batches: Iterator[pa.RecordBatch], tries: list[dict]) -> Iterator[pa.R
     for (shard, *_), seen in zip(ready, visits):
         node = np.flatnonzero(seen)
         if len(node):
-            yield pa.record_batch({"shard": pa.array(np.full(len(node), shard), pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(seen[node], pa.int64())})
+            yield _counted([None] * len(node), [shard] * len(node), node, seen[node])
+    yield _counted(list(totals), [None] * len(totals), [None] * len(totals), list(totals.values()))
+
+
+def _counted(lang, shard, node, n) -> pa.RecordBatch:
+    return pa.record_batch({"lang": pa.array(lang, pa.string()), "shard": pa.array(shard, pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 def phrase_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(lang, w1, w2, w3, n)``: exact counts of the candidates ``found`` and of their first words and pairs."""
+    """``(lang, w1, w2, w3, n)``: exact counts of the candidates ``found`` and of all they begin with.
+
+    The row of a language that has no word at all counts its words.
+    """
     spark = docs.sparkSession
     size = sum(F.coalesce(F.length(w), F.lit(0)) for w in ("w1", "w2", "w3")) + NODE_BYTES
     per = found.groupBy("lang", "w1").agg(F.sum(size).alias("bytes"))
@@ -353,33 +362,34 @@ def phrase_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             return _walk(batches, sent.value)
 
-        part = settle(texts.mapInArrow(run, "shard bigint, node bigint, n bigint").groupBy("shard", "node").agg(F.sum("n").alias("n")))
+        part = settle(texts.mapInArrow(run, "lang string, shard bigint, node bigint, n bigint").groupBy("lang", "shard", "node").agg(F.sum("n").alias("n")))
         counted = part if counted is None else counted.unionAll(part)
     nodes = made.where("node is not null").select("shard", "node", "lang", "w1", "w2", "w3")
-    # nodes of a split first word stand in several shards, each with the count of all its occurrences
-    return nodes.join(counted, ["shard", "node"]).groupBy("lang", "w1", "w2", "w3").agg(F.max("n").alias("n"))
+    # nodes of a split first word stand in several shards, and languages in all rounds, each with the count of all occurrences
+    none = F.lit(None).cast("binary")
+    totals = counted.where("lang is not null").select("lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n")
+    found = nodes.join(counted.drop("lang"), ["shard", "node"]).select("lang", "w1", "w2", "w3", "n")
+    return found.unionAll(totals).groupBy("lang", "w1", "w2", "w3").agg(F.max("n").alias("n"))
 
 
 def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the first ``top`` phrases of each language."""
-    every = settle(word_counts(docs))
-    totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = candidates(docs, every.where(F.col("n") >= least), least=least)
-    counts = settle(phrase_counts(docs, found).where(F.col("n") >= least))
-    triples = counts.where("w3 is not null")
+    counts = settle(phrase_counts(docs, candidates(docs, least=least)).where((F.col("n") >= least) | F.col("w1").isNull()))
+    totals = counts.where("w1 is null").select("lang", F.col("n").alias("total"))
+    one = counts.where("w1 is not null and w2 is null")
     twos = counts.where("w2 is not null and w3 is null")
-    one = every.where(F.col("n") >= least).select("lang", F.col("word").alias("last"), F.col("n").alias("n_last"))
+    triples = counts.where("w3 is not null")
+    firsts, lasts = one.select("lang", "w1", F.col("n").alias("n_first")), one.select("lang", F.col("w1").alias("last"), F.col("n").alias("n_last"))
 
     # of each pair: the largest count of a triple that holds it
     held = triples.select("lang", "n", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"))
     held = held.groupBy("lang", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.max("n").alias("longer"))
-    firsts = every.select("lang", F.col("word").alias("w1"), F.col("n").alias("n_first"))
     pairs = twos.join(held, ["lang", "w1", "w2"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("n")))
-    pairs = pairs.join(firsts, ["lang", "w1"]).join(one.withColumnRenamed("last", "w2"), ["lang", "w2"])
+    pairs = pairs.join(firsts, ["lang", "w1"]).join(lasts.withColumnRenamed("last", "w2"), ["lang", "w2"])
     pairs = pairs.select("lang", "w1", "w2", "w3", F.col("n").alias("a"), F.array(F.struct(F.lit(1).alias("k"), F.col("n_first").alias("l"), F.col("n_last").alias("r"))).alias("cuts"))
     ends = twos.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("n").alias("n_end"))
     starts = twos.select("lang", "w1", "w2", F.col("n").alias("n_start"))
-    three = triples.join(starts, ["lang", "w1", "w2"]).join(ends, ["lang", "w2", "w3"]).join(firsts, ["lang", "w1"]).join(one.withColumnRenamed("last", "w3"), ["lang", "w3"])
+    three = triples.join(starts, ["lang", "w1", "w2"]).join(ends, ["lang", "w2", "w3"]).join(firsts, ["lang", "w1"]).join(lasts.withColumnRenamed("last", "w3"), ["lang", "w3"])
     cuts = F.array(F.struct(F.lit(1).alias("k"), F.col("n_first").alias("l"), F.col("n_end").alias("r")), F.struct(F.lit(2).alias("k"), F.col("n_start").alias("l"), F.col("n_last").alias("r")))
     scored = pairs.unionByName(three.select("lang", "w1", "w2", "w3", F.col("n").alias("a"), cuts.alias("cuts")))
 
