@@ -18,15 +18,18 @@ from barlens.llm.common import mix64
 
 LANES = 4
 BLOCK_BYTES = 8 * LANES
-#: Keys of a block; at 16 bits a key about one wrong probe in a hundred thousand passes.
-KEYS = 16
+#: Keys of a block; at 32 bits a key about one wrong probe in a hundred thousand passes.
+KEYS = 8
+#: Keys probed at once: what they need stays in a core's own cache.
+AT_ONCE = 1 << 14
 
 
-def _lane(h: np.ndarray, lane: int) -> np.ndarray:
-    """The two bits that keys set in a lane; the first lane takes them from the key itself, the rest from its second hash."""
-    bits = h if not lane else mix64(h ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12 * lane)
-    one, low = np.uint64(1), np.uint64(63)
-    return (one << (bits & low)) | (one << ((bits >> np.uint64(6)) & low))
+def _masks(h: np.ndarray) -> Iterator[np.ndarray]:
+    """The two bits that keys set in each lane; the first lane takes them from the key itself, the rest from its second hash."""
+    one, low, bits = np.uint64(1), np.uint64(63), h
+    for lane in range(LANES):
+        yield (one << (bits & low)) | (one << ((bits >> np.uint64(6)) & low))
+        bits = mix64(h ^ np.uint64(0x9E3779B97F4A7C15)) if not lane else bits >> np.uint64(12)
 
 
 def place(h: np.ndarray, blocks: np.ndarray | int) -> np.ndarray:
@@ -52,7 +55,7 @@ def build(rows: DataFrame, blocks: int, keys: Callable[[pd.DataFrame], tuple[np.
             order = np.argsort(at, kind="stable")
             h, at = h[order], at[order]
             start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            yield pd.DataFrame({"at": at[start], **{f"l{k}": np.bitwise_or.reduceat(_lane(h, k), start).view(np.int64) for k in range(LANES)}})
+            yield pd.DataFrame({"at": at[start], **{f"l{k}": np.bitwise_or.reduceat(m, start).view(np.int64) for k, m in enumerate(_masks(h))}})
 
     schema = ", ".join(["at bigint", *(f"l{k} bigint" for k in range(LANES))])
     made = rows.mapInPandas(run, schema).groupBy("at").agg(*(F.bit_or(f"l{k}").alias(f"l{k}") for k in range(LANES))).toArrow()
@@ -65,8 +68,14 @@ def build(rows: DataFrame, blocks: int, keys: Callable[[pd.DataFrame], tuple[np.
 
 def passing(bits: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions of the keys that the filter may hold, given the block of each."""
-    alive = np.arange(len(h))
-    for k in range(LANES):
-        mask = _lane(h[alive], k)
-        alive = alive[(bits[at[alive], k] & mask) == mask]
-    return alive
+    out = [np.empty(0, np.int64)]
+    for i in range(0, len(h), AT_ONCE):
+        some, where = h[i : i + AT_ONCE], at[i : i + AT_ONCE]
+        mask = next(_masks(some))
+        alive = np.flatnonzero((bits[where, 0] & mask) == mask)
+        lanes, good = bits[where[alive]], np.ones(len(alive), bool)
+        for k, mask in enumerate(_masks(some[alive])):
+            if k:
+                good &= (lanes[:, k] & mask) == mask
+        out.append(i + alive[good])
+    return np.concatenate(out)

@@ -44,7 +44,7 @@ NODE_BYTES = 40
 #: Arcs of a node that shares its slots with others.
 NARROW = 8
 #: Hashes that a task gathers before it sends their sums on, and words hashed at once.
-HELD, AT_ONCE = 1 << 21, 1 << 17
+HELD, AT_ONCE = 1 << 21, 1 << 13
 BASE = 0x9E3779B97F4A7C15
 
 _KIND = np.zeros(256, np.uint8)
@@ -57,13 +57,13 @@ def split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray,
     data = np.frombuffer(b"\n".join(t or b"" for t in texts).lower(), np.uint8)
     kind = _KIND[data]
     word = kind == 0
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
     letters, offsets = data[word], np.r_[0, np.cumsum(end - start)].astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-    breaks = np.flatnonzero(kind == 2)
+    breaks = np.cumsum(kind == 2, dtype=np.int64 if len(kind) >> 31 else np.int32)
     joined = np.zeros(len(start), bool)
-    joined[:-1] = np.searchsorted(breaks, start[1:]) == np.searchsorted(breaks, end[:-1])
+    joined[:-1] = breaks[start[1:]] == breaks[end[:-1] - 1]
     return words, letters, offsets, joined
 
 
@@ -94,7 +94,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, rows=4000)
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
@@ -162,12 +162,17 @@ def _summed(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Ite
 def _spelled(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Pairs and triples that may be frequent, each once a batch; told apart by their words."""
     for lang, words, h, joined in _batches(batches):
-        coded = words.dictionary_encode()
-        at, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
-        for k, first, found in list(_phrases(h, joined, filters[:2]))[1:]:
-            first = first[_inside(filters[k - 1], found)]
+        kept = [(k, first[_inside(filters[k - 1], found)]) for k, first, found in _phrases(h, joined, filters[:2]) if k > 1]
+        used = np.zeros(len(words), bool)
+        for k, first in kept:
+            for i in range(k):
+                used[first + i] = True
+        coded = words.filter(pa.array(used)).dictionary_encode()
+        at, known = np.full(len(words), -1, np.int64), coded.dictionary.cast(pa.binary())
+        at[used] = coded.indices.to_numpy()
+        for k, first in kept:
             some = np.stack([at[first + i] for i in range(k)])
-            if len(known) ** k < 1 << 63:
+            if len(known) ** k < 1 << 63:  # their numbers fit one integer
                 packed = some[0]
                 for more in some[1:]:
                     packed = packed * len(known) + more
