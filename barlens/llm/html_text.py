@@ -63,47 +63,55 @@ def names(value: str) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: ``(chunks, tags, path)``; ``path`` lists the numbers of the open elements around the line.
+    """Turns events into lines: ``(chunks, tags, block)``; ``block`` numbers the innermost block element around the line.
 
-    A chunk is ``(text, wraps)``; ``wraps`` lists the elements around it that are skipped unless ``unwrapped`` says otherwise.
+    A chunk is ``(text, wrap, linked)``; ``wrap`` numbers the innermost element around it that is skipped unless ``unwrapped`` says
+    otherwise. Elements are numbered as they open and know their parents, so memory follows the page and not its depth.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []
         self.count: dict[str, int] = {}
-        self.skipped = self.number = self.tags = 0
-        self.text: list[tuple[str, tuple[int, ...]]] = []
-        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
-        #: Numbers of article and main elements: whether main, and the wraps around it.
-        self.regions: dict[int, tuple[bool, tuple[int, ...]]] = {}
-        self.path: list[int] = []
-        self.wraps: tuple[int, ...] = ()
+        self.skipped = self.number = self.tags = self.block = self.wrap = 0
+        self.text: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []
+        #: Numbers of article and main elements: whether main, and the wrap around it.
+        self.regions: dict[int, tuple[bool, int]] = {}
+        #: The block around each block, and the wrap around each wrap, in the order of their numbers.
+        self.up: dict[int, int] = {}
+        self.wrapped: dict[int, int] = {}
         self.named: dict[int, set[str]] = {}
+        #: Blocks that hold the page rather than a part of it.
+        self.roots: set[int] = {0}
 
     def end_line(self) -> None:
-        if any(t and not t.isspace() for t, _ in self.text):
-            self.lines.append((self.text, self.tags, tuple(self.path)))
+        if any(t and not t.isspace() for t, *_ in self.text):
+            self.lines.append((self.text, self.tags, self.block))
         self.text = []
         self.tags = 0
 
     def pop_to(self, tag: str) -> None:
         """Close elements up to and with the innermost ``tag``, which must be open."""
         while True:
-            name, _, skip, wrap = self.open.pop()
+            name, number, skip, wrap = self.open.pop()
             self.count[name] -= 1
             self.skipped -= skip
             if wrap:
-                self.wraps = self.wraps[:-1]
+                self.wrap = self.wrapped[number]
             if name in BLOCK:
-                self.path.pop()
+                self.block = self.up[number]
             if name == tag:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections are comments in a page, whatever they are called."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append((" ", ()))
+            self.text.append((" ", 0, False))
             return
         if tag not in HEAD and self.count.get("head") and not self.count.get("template") and not self.count.get("noscript"):
             self.pop_to("head")
@@ -117,18 +125,28 @@ class Lines(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         named = set() if tag in ("html", "body", "article", "main") else names(f"{a.get('class', '')} {a.get('id', '')}")
         wrap = tag == "form" or bool(named)
-        skip = tag in SKIP and tag != "form" or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        skip = self._skips(tag) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
         self.number += 1
         self.open.append((tag, self.number, skip, wrap))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.skipped += skip
         if wrap:
-            self.wraps += (self.number,)
+            self.wrapped[self.number] = self.wrap
+            self.wrap = self.number
             self.named[self.number] = named
         if tag in BLOCK:
-            self.path.append(self.number)
+            self.up[self.number] = self.block
+            self.block = self.number
+            if tag == "body":
+                self.roots.add(self.number)
         if tag in ("article", "main") or a.get("role", "").lower() in ("main", "article"):
-            self.regions[self.number] = (tag == "main" or a.get("role", "").lower() == "main", self.wraps)
+            self.regions[self.number] = (tag == "main" or a.get("role", "").lower() == "main", self.wrap)
+
+    def _skips(self, tag: str) -> bool:
+        """Elements that never hold content; the header of an article or of the main part is its own."""
+        if tag == "header" and (self.count.get("article") or self.count.get("main")):
+            return False
+        return tag in SKIP and tag != "form"
 
     def _imply(self, tag: str) -> None:
         """List items, table cells and terms end where the next one starts."""
@@ -156,41 +174,72 @@ class Lines(HTMLParser):
         if self.open and self.open[-1][0] == "head" and not data.isspace():
             self.pop_to("head")
         if not self.skipped:
-            self.text.append((data, self.wraps))
+            self.text.append((data, self.wrap, bool(self.count.get("a"))))
+
+    def region_of(self) -> dict[int, int]:
+        """The innermost article or main element that each block is or lies in; 0 for none."""
+        out = {0: 0}
+        for block, outer in self.up.items():
+            out[block] = block if block in self.regions else out[outer]
+        return out
 
     def unwrapped(self) -> set[int]:
         """Forms and named elements that are read, since they wrap the page's content."""
-        own, by = dict.fromkeys(self.regions, 0), {}
-        for chunks, _, path in self.lines:
-            around = [r for r in self.regions.keys() & set(path)] if self.regions else []
-            for text, wraps in chunks:
+        region, own, by = self.region_of(), dict.fromkeys(self.regions, 0), dict.fromkeys((0, *self.wrapped), 0)
+        for chunks, _, block in self.lines:
+            inner = region[block]
+            for text, wrap, _ in chunks:
                 n = len("".join(text.split()))
-                by[wraps] = by.get(wraps, 0) + n
-                for r in around:
-                    own[r] += n if self.regions[r][1] == wraps else 0
-        read = {w for r, (is_main, wraps) in self.regions.items() if is_main and own[r] for w in wraps}
-        if any(n and read.issuperset(self.regions[r][1]) for r, n in own.items()):
+                by[wrap] += n
+                if inner and self.regions[inner][1] == wrap:
+                    own[inner] += n
+        for r in sorted(own, reverse=True):  # inner ones first; a wrap between two keeps them apart
+            outer = region[self.up[r]] if r in self.up else 0
+            if outer and self.regions[outer][1] == self.regions[r][1]:
+                own[outer] += own[r]
+        read: set[int] = set()
+        for r, (is_main, wrap) in self.regions.items():
+            if is_main and own[r]:
+                while wrap and wrap not in read:
+                    read.add(wrap)
+                    wrap = self.wrapped[wrap]
+        clear = self._clear(read)
+        if any(n and clear[self.regions[r][1]] for r, n in own.items()):
             return read
-        inside = [r for r, n in own.items() if n and not any(self.named[w] & CARDS for w in self.regions[r][1])]
+        cards, firm = ({0: False} for _ in range(2))
+        for w, outer in self.wrapped.items():
+            cards[w], firm[w] = cards[outer] or bool(self.named[w] & CARDS), firm[outer] or bool(self.named[w] & FIRM)
+        inside = [r for r, n in own.items() if n and not cards[self.regions[r][1]]]
         if inside:
-            return read.union(self.regions[max(inside, key=own.get)][1])
-        half = sum(by.values()) / 2
-        by = {wraps: n for wraps, n in by.items() if not any(self.named[w] & FIRM for w in wraps)}
-        while True:
-            held: dict[int, int] = {}
-            for wraps, n in by.items():
-                if outer := [w for w in wraps if w not in read]:
-                    held[outer[0]] = held.get(outer[0], 0) + n
-            most = max(held, key=held.get, default=None)
-            if most is None or held[most] <= half:
-                return read
-            read.add(most)
-
-    def kept(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """Lines with the text that is not skipped."""
-        read = self.unwrapped() if self.named else set()
-        made = ((" ".join("".join(t for t, wraps in chunks if read.issuperset(wraps)).split()), tags, path) for chunks, tags, path in self.lines)
-        return [line for line in made if line[0]]
+            wrap = self.regions[max(inside, key=own.get)][1]
+            while wrap:
+                read.add(wrap)
+                wrap = self.wrapped[wrap]
+            return read
+        # else those that hold more than half of the text, but for what is no content however long
+        half, held = sum(by.values()) / 2, {w: 0 if firm[w] else n for w, n in by.items()}
+        for w in reversed(self.wrapped):
+            held[self.wrapped[w]] += held[w]
+            if held[w] > half:
+                read.add(w)
+        return read
+
+    def _clear(self, read: set[int]) -> dict[int, bool]:
+        """Whether all wraps from one outwards are read."""
+        out = {0: True}
+        for w, outer in self.wrapped.items():
+            out[w] = out[outer] and w in read
+        return out
+
+    def kept(self) -> list[tuple[str, int, int, int]]:
+        """Lines with the text that is not skipped, their tags, the letters of it that are links, and their block."""
+        clear, made = self._clear(self.unwrapped() if self.named else set()), []
+        for chunks, tags, block in self.lines:
+            some = [(t, linked) for t, wrap, linked in chunks if clear[wrap]]
+            text = " ".join("".join(t for t, _ in some).split())
+            if text:
+                made.append((text, tags, sum(len(t.strip()) for t, linked in some if linked), block))
+        return made
 
 
 def content(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -221,20 +270,39 @@ def main_text(html: str | None) -> str:
     lines = p.kept()
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines])
-    good = content(size / np.maximum(1, [n for _, n, _ in lines]))
-    inside = np.array([bool(p.regions.keys() & path) for _, _, path in lines])
-    if 2 * size[good & inside].sum() > size[good].sum():
-        held = set().union(*(p.regions.keys() & path for (_, _, path), g in zip(lines, good & inside) if g))
-        chosen = [not held.isdisjoint(path) for _, _, path in lines]
-    else:
-        paths = [path for (_, _, path), g in zip(lines, good) if g]
-        around = set(paths[0]).intersection(*paths[1:])
-        inner = max(around, default=0)
-        if len(paths) == 1 and len(paths[0]) > 1:  # a single line names its parent, or its own siblings would be lost
-            inner = paths[0][-2]
-        chosen = [not inner or inner in path for _, _, path in lines]
-    return "\n\n".join(t for (t, _, _), c in zip(lines, chosen) if c)
+    size = np.array([len(t) for t, *_ in lines])
+    good = content(size / np.maximum(1, [n for _, n, _, _ in lines]))
+    region = p.region_of()
+    inside = np.array([region[block] > 0 for *_, block in lines])
+    chosen = inside if 2 * size[good & inside].sum() > size[good].sum() else _around(p, lines, good)
+    return "\n\n".join(line[0] for line, c in zip(lines, chosen) if c)
+
+
+def _around(p: Lines, lines: list[tuple[str, int, int, int]], good: np.ndarray) -> np.ndarray:
+    """Lines of the element that holds all good ones, and of those around it while what they add is text rather than links."""
+    blocks = np.array([block for *_, block in lines])
+    size, linked = np.array([len(t) for t, *_ in lines]), np.array([n for _, _, n, _ in lines])
+    held = dict.fromkeys((0, *p.up), 0)
+    for block, g in zip(blocks.tolist(), good.tolist()):
+        held[block] += g
+    for block in reversed(p.up):
+        held[p.up[block]] += held[block]
+    inner = max((block for block, n in held.items() if n == good.sum()), default=0)
+    if good.sum() == 1 and inner in p.up and p.up[inner]:  # a single line names its parent, or its own siblings would be lost
+        inner = p.up[inner]
+
+    # how far out each line comes in: 0 within the inner element, k within the k-th element around it
+    level, out = {inner: 0}, inner
+    while out not in p.roots and p.up[out] not in p.roots:
+        out = p.up[out]
+        level[out] = len(level)
+    joins = {0: level.get(0, -1)}
+    for block, above in p.up.items():
+        joins[block] = level.get(block, joins[above])
+    at = np.array([joins[block] for block in blocks.tolist()])
+    size_at, linked_at = (np.bincount(at[at >= 0], n[at >= 0], len(level)) for n in (size, linked))
+    stop = np.flatnonzero(3 * linked_at[1:] > size_at[1:])
+    return (at >= 0) & (at < (stop[0] + 1 if len(stop) else len(level)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -118,3 +118,47 @@ def test_directories_with_zip64_and_comments():
         z.comment = b"note" * 100
     held = zip_warc.members(plain, len(plain.getvalue()))
     assert set(held) == {"a"} and plain.getvalue()[held["a"][0] :][:4] == b"text"
+
+
+@pytest.mark.parametrize("html, want", [("<p>a</p><![foo[x]]>", "a"), ("<p>a</p><![foo[x]]><p>b", "a\n\nb"), ("<![if IE]>a<![endif]>", "a"), ("<p>a<![CDATA[x]]>b</p>", "ab"), ("<p>a</p><![ x", "a\n\n<![ x"), ("<!DOCTYPE [<!ENTITY x 'y'>]><p>a", None)])
+def test_marked_sections_are_comments(html, want):
+    got = html_text.main_text(html)
+    assert got == want if want is not None else got.endswith("a")
+
+
+def test_a_region_keeps_its_title_and_its_end():
+    text = " ".join(LONG.split())
+    body = f"<div id=c><h1>Title</h1><div><p>{LONG}<p>{LONG}</div><div><p>Short closing part.</p></div></div>"
+    want = f"Title\n\n{text}\n\n{text}\n\nShort closing part."
+    assert html_text.main_text(f"<body>{body}</body>") == want
+    assert html_text.main_text(f"<body><div>{body}<div><a>one</a> <a>two</a> <a>three</a></div></div></body>") == want
+    assert html_text.main_text(f"<body><article>{LONG}</article><article>short</article></body>") == f"{text}\n\nshort"
+    assert html_text.main_text(f"<body><header>Site</header><article><header><h1>Head</h1></header><p>{LONG}</p></article></body>") == f"Head\n\n{text}"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=widget>", "<article class=ad>", "<form>"])
+def test_depth_costs_no_more_than_length(part):
+    import time
+    import tracemalloc
+
+    page = "".join(f"{part}t{i}" for i in range(40000))
+    tracemalloc.start()
+    began = time.process_time()
+    text = html_text.main_text(page)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.process_time() - began < 60
+    tracemalloc.stop()
+    assert text.startswith("t0")
+
+
+def test_packages_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(zip_warc, "PACKAGE", 2000)
+    html = "<p>error</p>" * 20
+    rows = [(i if i % 50 else None, f"u{i}", html if i % 3 else f"{html}{i}") for i in range(1, 300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    read = zip_warc.archived(pages, scratch_path(spark, "many"))
+    assert read.rdd.getNumPartitions() > 4
+    got = read.collect()
+    size = {u: len(h) for _, u, h in rows}
+    assert len(got) == 299 and all(r.payload_bytes == size[r.url] for r in got)
+    assert [r.page_id for r in got if r.record_type == "response" and size[r.url] == len(html)] == [1]
+    assert all(r.refers_to == 1 for r in got if r.record_type == "revisit") and sum(r.record_type == "revisit" for r in got) == 199
