@@ -40,6 +40,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Store:
+    """Tables of one computation below the shared folder: written as Parquet, which cuts lineage, and dropped once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder, self.paths = spark, scratch_path(spark, label), {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None:
+                drop_path(self.spark, self.paths[id(t)][1])
+
+
+#: Ids that no document has are counted from here.
+BEYOND = 1 << 62
+
+
+def told_apart(classes: DataFrame, key: list[str]) -> DataFrame:
+    """Column ``id`` of classes, each known by ``key``: their ``least`` member, which the class of the smallest key has where several share it.
+
+    The others get numbers BEYOND; the caller links them with the class that has the id. ``classes`` is written right after.
+    """
+    first = classes.groupBy("least").agg(F.min(F.struct(*key)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("least", "_first")
+    own = F.col("_first").isNull() | (F.col("_first") == F.struct(*key))
+    return classes.join(first, "least", "left").withColumn("id", F.when(own, F.col("least")).otherwise(F.lit(BEYOND) + F.monotonically_increasing_id())).drop("_first")
+
+
 def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
     """A few collected rows as literals of the plan: their size is known to be small, so a join sends them to the tasks."""
     made = [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in schema)) for r in rows]
@@ -74,9 +107,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``(node, component)`` of every node with an edge; the component is the smallest node that can be reached.
 
     Alternates large-star and small-star steps: each moves edges towards the smallest neighbour, with map-side minima, so
-    a node with very many edges only ever sends one minimum per task. A step is checkpointed reliably; nothing but two
-    numbers per step (how many edges, and their hash) reaches the driver. An empty input gives an empty result.
+    a node with very many edges only ever sends one minimum per task. A step is written and the one before dropped; nothing but
+    two numbers per step (how many edges, and their hash) reaches the driver. An empty input gives an empty result.
     """
+    store, last = Store(edges.sparkSession, "components"), None
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
     seen = None
     while True:
@@ -86,7 +120,9 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = settle(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        pairs = store.put(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        store.drop(last)
+        last = pairs
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break

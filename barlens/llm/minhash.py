@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import Forest, blank, bound_batches, components, mix64, seeds, settle
+from barlens.llm.common import Forest, Store, blank, bound_batches, components, mix64, seeds, told_apart
 
 WORDS = 5
 BANDS, ROWS = 32, 6
@@ -143,7 +143,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(both) - same))
             yield b.loc[np.array(good, bool), ["u", "v"]]
 
-    left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y"))
+    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("x")), texts.select(F.col("id").alias("v"), F.col("text").alias("y"))
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInPandas(run, "u bigint, v bigint")
 
 
@@ -218,35 +218,44 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int | None = N
     """
     if bands is None or rows is None:
         bands, rows = layout(percent)
-    sig = settle(signatures(docs, bands=bands, rows=rows))
+    store = Store(docs.sparkSession, "minhash")
+    sig = store.put(signatures(docs, bands=bands, rows=rows))
     known = sig.where("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys"), F.first("brief").alias("brief")
-    )
-    placed = classes.select("id", "n", F.explode("band_keys").alias("band"))
+    made = known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys"), F.first("brief").alias("brief"))
+    several = known.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = store.put(several)
+    repeated = not several.isEmpty()
+    classes = store.put(told_apart(made, ["set_key"]) if repeated else made.withColumn("id", F.col("least")))
+
+    placed = classes.select("id", F.explode("band_keys").alias("band"))
     sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = settle(placed.join(sizes, "band").select("band", "id", "n", "size"))
-    company = met.groupBy("id").agg(F.sum("size").alias("company"))
-    ranked = met.join(company, "id").withColumn("rank", F.struct("company", (-F.col("id")).alias("minus")))
+    shared = store.put(placed.join(sizes, "band").select("band", "id", "size"))
+    company = store.put(shared.groupBy("id").agg(F.sum("size").alias("company")))
+    ranked = shared.join(company, "id").withColumn("rank", F.struct("company", (-F.col("id")).alias("minus")))
     centres = ranked.groupBy("band").agg(F.max("rank").alias("centre"))
-    met = settle(met.join(centres, "band"))
-    texts = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(company.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    met = store.put(shared.join(centres, "band"))
+    store.drop(shared)
+    texts = store.put(_class_texts(docs, classes.join(company, "id", "left_semi"), several if repeated else None))
 
     first = met.groupBy("id").agg(F.max("centre").alias("centre")).select(F.col("id").alias("u"), (-F.col("centre.minus")).alias("v")).where("u <> v")
-    links = settle(_verified(first, texts, percent))
+    links = store.put(_verified(first, texts, percent))
     roots = components(links, "u", "v")
 
     more = met.select(F.col("id").alias("u"), (-F.col("centre.minus")).alias("v")).where("u <> v").distinct().join(first, ["u", "v"], "left_anti")
-    more = settle(_apart(more, roots))
-    links = settle(links.unionAll(_verified(more, texts, percent)))
+    more = store.put(_apart(more, roots))
+    before, links = links, store.put(links.unionAll(_verified(more, texts, percent)))
+    store.drop(before, more)
     roots = components(links, "u", "v")
 
     placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    facts = classes.select("id", "n", "brief", "band_keys").join(met.select("id").distinct(), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    facts = classes.select("id", "n", "brief", "band_keys").join(company.select("id"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     facts = facts.withColumn("component", F.coalesce("component", "id"))
     rivals = placed.where("size > 2").join(mixed, "band", "left_semi").select("band", "id", "size").join(facts, "id")
-    links = settle(links.unionAll(_rivals(rivals, facts.join(texts.withColumnRenamed("doc_id", "id"), "id"), percent, bands * rows)))
+    before, links = links, store.put(links.unionAll(_rivals(rivals, facts.join(texts, "id"), percent, bands * rows)))
+    store.drop(before, met, texts, company)
+    if repeated:
+        links = links.unionAll(_same_document(known.join(several, "doc_id", "left_semi"), classes))
     roots = components(links, "u", "v")
 
     of = classes.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
@@ -256,6 +265,30 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int | None = N
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _class_texts(docs: DataFrame, classes: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``(id, text)``: a text of each class, that of its least document; ``several`` holds the ids that stand for several sets."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), "text")
+    of = classes.select("least", "id", "set_key")
+    if several is None:
+        return texts.join(of, "least").select("id", "text")
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(set_key=[xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b["text"]])
+
+    several = several.withColumnRenamed("doc_id", "least")
+    one = texts.join(several, "least", "left_anti").join(of, "least").select("id", "text")
+    rest = texts.where("text is not null").join(several, "least", "left_semi").mapInPandas(keyed, "least bigint, text string, set_key binary")
+    return one.unionAll(rest.join(of, ["least", "set_key"]).select("id", "text"))
+
+
+def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between the classes of ids that stand for several sets."""
+    of = rows.select("doc_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key").select("doc_id", "id")
+    least = of.groupBy("doc_id").agg(F.min("id").alias("v"))
+    return of.join(least, "doc_id").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends do not lie in one component yet."""
     of = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))

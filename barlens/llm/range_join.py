@@ -10,7 +10,7 @@ at most ``r``". Vectors of one label (and dimension) are compared:
 3. *Cells join independently.* A cell counts the links of its own vectors only, so nothing is counted twice. A large cell is
    cut into a grid of blocks of bounded size, whatever its share of the rows.
 
-Equal vectors of a label are one class with a number of copies. A block returns a number per vector and a spanning forest
+Equal vectors of a label are one class with a number of copies, known by label and vector and not by an id. A block returns a number per vector and a spanning forest
 of its links, never the pairs. Vectors that are null, zero, or hold null or non-finite components, and rows without a label
 or id, link with nothing.
 
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import Forest, bound_batches, components, settle, unit_hash
+from barlens.llm.common import Forest, bound_batches, components, settle, told_apart, unit_hash
 
 #: Vectors of a label that share one cell on average, most vectors in a block, most pivots over all labels (the rest go without: their grid is larger, not cut).
 CELL, BLOCK, PIVOTS = 4000, 4096, 4096
@@ -129,14 +129,24 @@ def linked(vectors: DataFrame, *, threshold: float = 0.98) -> DataFrame:
     bound_batches(vectors.sparkSession, rows=8192)
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
-    v = v.withColumn("key", F.when(usable & F.coalesce(finite & (norm > 0) & (norm < float("inf")), F.lit(False)), F.col("vector")))
-    classes = v.where("key is not null").groupBy("label", F.col("key").alias("vector")).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    most = F.array_max(F.transform("vector", F.abs))
+    # squares of very large or small components leave the range of doubles: such vectors are brought near one first
+    scaled = F.when((most > 1e100) | (most < 1e-100), F.transform("vector", lambda x: x / most)).otherwise(F.col("vector"))
+    v = v.withColumn("key", F.when(usable & F.coalesce(finite & (most > 0), F.lit(False)), scaled))
+    keyed = v.where("key is not null")
+    classes = keyed.groupBy("label", F.col("key").alias("vector")).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    several = settle(keyed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    repeated = not several.isEmpty()
+    classes = told_apart(classes, ["label", "vector"]) if repeated else classes.withColumn("id", F.col("least"))
     classes = settle(classes.select("label", F.size("vector").alias("dim"), "id", "copies", "vector"))
     placed = settle(_placed(classes, math.sqrt(2 - 2 * threshold) + 1e-9))
     found = settle(_cell_links(placed, threshold))
-    roots = components(found.where("id <> root"), "id", "root")
+    edges = found.where("id <> root").select("id", "root")
+    if repeated:  # the classes of one id are one component
+        mine = keyed.join(several, "vec_id", "left_semi").join(classes.select("label", F.col("vector").alias("key"), "id"), ["label", "key"]).select("vec_id", "id")
+        edges = edges.unionAll(mine.join(mine.groupBy("vec_id").agg(F.min("id").alias("root")), "vec_id").where("id <> root").select("id", "root"))
+    roots = components(edges, "id", "root")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of = classes.select("label", F.col("vector").alias("key"), "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     of = of.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

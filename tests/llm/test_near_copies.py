@@ -123,3 +123,49 @@ def test_stage_removes_pairs_from_four_fifths_up(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = [r.doc_id for r in pipeline.minhash_near_dedup(spark, docs, "").collect()]
     assert sorted(kept) == sorted({r[0] for r in rows} - gone)
+
+
+def test_ids_that_stand_for_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for g in range(2):
+        base = word(100)
+        for k in range(40):  # neighbours are near, ends are not: buckets stay mixed until the last step
+            w = list(base)
+            for i in range(k // 2):
+                w[i] = f"x{g}y{i}"
+            rows.append((1000 * g + k, " ".join(w)))
+    other = word(100)
+    rows += [(1000 * (k % 2) + k, " ".join(other[: 100 - k // 8] + [f"z{k // 8}"] * (k // 8))) for k in range(39)] + [(5000 + k, " ".join(word(50))) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    sets = [word_set(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] == rows[b][0] or 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    least, root = {}, closure(range(len(rows)), links)
+    for i, (d, _) in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], d), d)
+    want = sorted((d, len(sets[i]), least[root[i]]) for i, (d, _) in enumerate(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_vectors_of_one_id_and_of_any_size(spark):
+    rows = [
+        (1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1e200, 0.0], 2), (3, [1e200, 1e199], 2), (4, [1e-200, 0.0], 2), (5, [5e-324, 5e-324], 3), (6, [1e308, 1e308], 3),
+        (7, [0.0, 1.0], 4), (7, [1.0, 0.0], 5), (8, [0.0, 2.0], 4), (9, [3.0, 0.0], 5), (10, [0.0, -1.0], 4),
+    ]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in range_join.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect())
+    assert got == [
+        (1, 1, 1, True), (1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 2, 2, False), (5, 1, 5, True), (6, 1, 5, False),
+        (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (10, 0, 10, True),
+    ]
+
+
+def test_stage_keeps_one_row_of_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 1), (1, "a " + text, "en", "s", 2), (2, text, "de", "s", 1), (3, "b", None, None, None), (None, text, "en", "s", 1), (None, text, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(map(tuple, pipeline.minhash_near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
