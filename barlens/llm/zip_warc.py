@@ -34,6 +34,8 @@ from barlens.llm.common import bound_batches, settle
 LEAST = 100
 #: A package is closed after so many bytes of records; so many bytes of records are read at a time.
 PACKAGE, READ = 64 << 20, 8 << 20
+#: Tasks that read packages back, at most.
+READERS = 20_000
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 
 
@@ -46,14 +48,16 @@ def roles(pages: DataFrame, *, least: int = LEAST) -> DataFrame:
     copies = p.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")
-    p = p.join(copies, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return p.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
+    # pages without their html meet the copies; what moves the html then has the page in its key, however often a payload repeats
+    refs = p.select("page_id", "payload_digest").join(copies, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    refs = refs.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("first_id").alias("refers_to")).distinct()
+    p = p.join(refs, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    return p.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest", "refers_to")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header of what it revisits, and no payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """One WARC record; a revisit keeps the HTTP header of what it revisits, with its ``size``, and no payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if size is None else size)
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", "WARC-Date: 2000-01-01T00:00:00Z"]
     if page_id is not None:
@@ -91,14 +95,14 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
             done.append((at["name"], len(at["index"])))
 
         for b in batches:
-            for page_id, url, html, digest, refers in zip(b["page_id"].astype("Int64"), b["url"], b["html"], b["payload_digest"], b["refers_to"].astype("Int64")):
+            for page_id, url, html, size, digest, refers in zip(b["page_id"].astype("Int64"), b["url"], b["html"], b["payload_bytes"], b["payload_digest"], b["refers_to"].astype("Int64")):
                 if at is None:
                     name = f"{uuid.uuid4().hex}.wacz"
                     file = where.open_output_stream(f"{base}/{name}")
                     pack = zipfile.ZipFile(file, "w", zipfile.ZIP_STORED, allowZip64=True)
                     at = {"name": name, "file": file, "zip": pack, "member": pack.open(MEMBER, "w", force_zip64=True), "index": [], "size": 0}
                 page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
-                raw = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers), 6, mtime=0)
+                raw = gzip.compress(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers, int(size)), 6, mtime=0)
                 at["member"].write(raw)
                 at["index"].append(("" if page_id is None else page_id, at["size"], len(raw)))
                 at["size"] += len(raw)
@@ -203,4 +207,6 @@ def read_packages(packages: DataFrame, *, payload: bool = False) -> DataFrame:
 def archived(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages below ``folder`` and read every record back."""
     manifest = settle(write_packages(roles(pages), folder))
-    return read_packages(manifest.repartition(F.col("package")))
+    # a stated number of tasks: by size alone the few bytes of package names would all become one
+    tasks = min(max(1, manifest.count()), READERS)
+    return read_packages(manifest.repartition(tasks, "package"))
