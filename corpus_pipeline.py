@@ -8,6 +8,7 @@ near copies only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlens.llm import minhash, mixing, ordinal, packing, risk_rules
 from barlens.llm.common import settle, table
@@ -34,9 +35,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
-    kept = minhash.near_duplicates(docs, percent=SIMILAR).where("kept").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
+    kept = minhash.near_duplicates(docs, percent=SIMILAR).where("kept and doc_id is not null")
+    kept = settle(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    # an id that stands for several rows keeps the one whose columns sort first
+    one = docs.select(*COLUMNS).join(kept.where("rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
+    rest = docs.select(*COLUMNS).join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row"))
+    return one.unionByName(rest.select("doc_id", "_row.*")).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ STAGES = [
     ("mix_sources", mix_sources), ("pack_sequences", pack_sequences),
 ]
 
-#: Sketches, a fitted classifier and a tokenizer are beyond SQL; tests/llm holds every stage against brute force.
+#: Sketches, a fitted classifier and a tokenizer are beyond SQL; tests/llm holds stages against verdicts made anew from their input.
 ORACLE_SQL = None
 
 
