@@ -189,7 +189,7 @@ def _license_sql() -> str:
         rows += [f"('{name}', {len(w)}, '{s}')" for s in dict.fromkeys(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))]
     for length, g in licenses.groups(licenses.TEMPLATES, 0.8, 1e-4).items():
         k, width, stride = g["k"], g["window"] - g["k"] + 1, g["stride"]
-        parts.append(f"""SELECT doc_id, license, spot, count(DISTINCT s) / any_value(t) AS containment, least(spot + {width}, any_value(n) - {k - 1}) + {k - 1} AS last_word FROM (
+        parts.append(f"""SELECT doc_id, license, spot, count(DISTINCT s) / any_value(t) AS containment, min(i) AS first_word, max(i) + {k} AS last_word FROM (
   SELECT h.*, unnest(range(CAST(greatest(0, ceil((i - {width - 1}) / {stride}.0)) * {stride} AS BIGINT), i + 1, {stride})) AS spot FROM hit{length} h) GROUP BY doc_id, license, spot""")
     hits = ",\n".join(
         f"""hit{n} AS (SELECT doc_id, n, i, license, s, t FROM (SELECT doc_id, len(w) AS n, i, array_to_string(w[i + 1:i + {g['k']}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - {g['k'] - 1})) AS i FROM w WHERE len(w) >= {g['k']})) JOIN (SELECT * FROM tpl WHERE length = {n}) USING (s))"""
@@ -200,7 +200,7 @@ def _license_sql() -> str:
 tpl AS (SELECT *, count(*) OVER (PARTITION BY license) AS t FROM (VALUES {", ".join(rows)}) v(license, length, s)),
 {hits},
 x AS ({union})
-SELECT doc_id, license, CAST(spot AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, spot) AS r FROM x WHERE containment >= 0.8) WHERE r = 1"""
+SELECT doc_id, license, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, spot) AS r FROM x WHERE containment >= 0.8) WHERE r = 1"""
 
 
 ORACLES["op5_license_scans"] = _license_sql()

@@ -205,3 +205,27 @@ def test_running_sums_of_any_length(spark):
         steps = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 7) if n else F.array().cast("array<int>")
         got = spark.range(1).select(secret_scan.running(steps)).first()[0]
         assert got == np.cumsum([x % 7 for x in range(1, n + 1)]).tolist()
+
+
+def test_license_copies_with_words_put_in(spark):
+    """Recall against brute force over copies whose edits leave 0.8 of the shingles or a little less, at every offset."""
+    from barlens.llm import licenses
+
+    full = licenses.words(licenses.TEMPLATES["mit-full"])
+    want = {tuple(full[i : i + 5]) for i in range(len(full) - 4)}
+    rng = np.random.default_rng(12)
+    rows, held = [], {}
+    for i in range(60):
+        w = list(full)
+        for at in sorted(rng.choice(np.arange(5, len(full) - 5), 3 + i % 6, replace=False), reverse=True):
+            w[at:at] = [f"put{i}"] * int(rng.integers(1, 6))
+        have = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        held[i] = len(want & have) / len(want)
+        rows.append((i, " ".join(["before"] * int(rng.integers(0, 90)) + w + ["after"] * int(rng.integers(0, 90)))))
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (0, rows[0][1]), (99, " ".join(full[:100])), (98, ("word " * 60_000) + licenses.TEMPLATES["mit-full"])]
+    got = [r for r in licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, license string")).collect() if r.license == "mit-full"]
+    found = {r.doc_id: r.containment for r in got if r.doc_id is not None}
+    due = {i for i, c in held.items() if c >= 0.8}
+    assert 20 < len(due) < 60
+    assert set(found) == due | {98} and all(found[i] == pytest.approx(held[i]) for i in due)
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 0 for r in got) == 2
