@@ -341,10 +341,13 @@ def run_methods(
     keys: Sequence[str] = ORDER,
     carry: Sequence[str] = ("side", "quantity", "session_vwap", "arrival_price"),
 ) -> DataFrame:
-    """Summaries of every method on the same order buckets, tagged with ``method``.
+    """Summaries of every method on the same order buckets, tagged with ``method``; every order has a row for every method.
 
     ``oracle-vwap`` trades on realised volume and must be asked for;
-    ``evaluation_only`` marks its rows.
+    ``evaluation_only`` marks its rows. An order that a method cannot run keeps
+    a row with nothing filled, whose ``status`` says why: that of
+    :func:`prepare_window`, or the method's own ``no_forecast`` or
+    ``infeasible``. Keep :func:`complete_cases` of it to compare methods.
 
     The plans are columns of one table: the buckets are shuffled by order once
     and every window below keeps that partitioning. ``buckets`` needs a
@@ -352,8 +355,12 @@ def run_methods(
     """
     if "oracle-vwap" in methods and not allow_evaluation_only:
         raise ValueError("the realised-volume method is evaluation-only; pass allow_evaluation_only=True")
-    b = buckets
+    if "almgren-chriss" in methods and (volatility is None or risk_aversion is None):
+        raise ValueError("almgren-chriss needs a volatility and a risk aversion")
+    b = buckets if "status" in buckets.columns else buckets.withColumn("status", F.lit("ok"))
     for m in methods:
+        before = F.col("status")
+        b = b.withColumn("_window_status", before)
         if m == "twap":
             b = static_fills(twap_schedule(b), hard_rate)
         elif m == "vwap":
@@ -370,29 +377,34 @@ def run_methods(
             b = pov_fills(b, pov_rate, hard_rate)
         else:
             raise ValueError(f"unknown method {m!r}")
-        # a method without a plan for the order yields no rows below
-        done = F.when(F.col("planned").isNotNull(), F.struct(F.lit(m).alias("method"), "planned", "executed"))
-        b = b.withColumn(f"_m_{m}", done).drop("planned", "executed", "capacity")
-    each = F.array_compact(F.array(*(F.col(f"`_m_{m}`") for m in methods)))
-    rows = b.select(*buckets.columns, F.inline(each))
+        done = F.struct(F.lit(m).alias("method"), "planned", F.coalesce("executed", F.lit(0).cast("bigint")).alias("executed"), F.col("status").alias("method_status"))
+        b = b.withColumn(f"_m_{m}", done).withColumn("status", F.col("_window_status")).drop("planned", "executed", "capacity", "_window_status")
+    kept = [c for c in b.columns if c != "status" and not c.startswith("_m_")]
+    rows = b.select(*kept, F.inline(F.array(*(F.col(f"`_m_{m}`") for m in methods)))).withColumnRenamed("method_status", "status")
     log = execution_log(fill_cost(rows, half_spread=half_spread, impact=impact), keys=[*keys, "method"])
     return tca_summary(log, [*keys, "method"], carry).withColumn("evaluation_only", F.col("method") == "oracle-vwap")
 
 
+def complete_cases(runs: DataFrame, keys: Sequence[str] = ORDER) -> DataFrame:
+    """The rows of orders that every method of ``runs`` could run."""
+    good = runs.groupBy(*keys).agg(F.bool_and(F.col("status") == "ok").alias("_good")).where("_good").select(*keys)
+    return runs.join(good, list(keys), "left_semi")
+
+
 def tca_cases(
     bars: DataFrame,
     cases: DataFrame,
     methods: Sequence[str],
     shares: DataFrame | None = None,
     *,
-    fraction: float = 0.03,
+    fractions: Sequence[float] = (0.01, 0.03, 0.05),
     start: int = 60,
     end: int = 360,
     rate: float = 0.1,
     half_spread: float = 5e-5,
     impact: float = 1e-3,
-    volatility: float = 0.01,
-    risk_aversion: float = 0.0,
+    volatility: float | None = None,
+    risk_aversion: float | None = None,
     allow_evaluation_only: bool = False,
 ) -> DataFrame:
     """Matched cases: every method on the same order with costs scaled to the arrival open.
@@ -401,13 +413,15 @@ def tca_cases(
     volume forecast that ``vwap`` follows; no method but the guarded
     ``oracle-vwap`` sees realised volume before it trades.
 
-    ``cases`` has ``instrument_id, session_date, side, quantity`` (sides and
-    sizes already assigned). The arrival is the open of the first window
-    minute.
+    ``cases`` has ``instrument_id, session_date, side, adv20``; each becomes an
+    order of every fraction of its average volume, one share at least. The
+    arrival is the open of the first window minute. Cases that cannot be run
+    stay, with their ``status``.
     """
-    orders = cases.select(
-        F.concat_ws("|", "instrument_id", F.col("session_date").cast("string")).alias("order_id"),
-        "instrument_id", "session_date", "side", "quantity",
+    each = cases.withColumn("order_fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
+    orders = each.select(
+        F.concat_ws("|", "instrument_id", F.col("session_date").cast("string"), F.col("order_fraction").cast("string")).alias("order_id"),
+        "instrument_id", "session_date", "side", F.greatest(F.lit(1), F.bround(F.col("adv20") * F.col("order_fraction"), 0).cast("bigint")).alias("quantity"), "order_fraction",
         F.lit(start).alias("start_minute"), F.lit(end).alias("end_minute"),
     )
     b = prepare_window(orders, bars)
@@ -418,15 +432,14 @@ def tca_cases(
     elif "vwap" in methods:
         raise ValueError("vwap follows a forecast: pass shares")
     eta = F.col("arrival_open") * impact
-    carry = ("side", "quantity", "session_vwap", "arrival_price", "instrument_id", "session_date")
+    carry = ("side", "quantity", "session_vwap", "arrival_price", "instrument_id", "session_date", "order_fraction")
     runs = run_methods(
         b, methods, half_spread=F.col("arrival_open") * half_spread, impact=eta, hard_rate=rate,
-        volatility=F.lit(volatility), risk_aversion=F.lit(risk_aversion), allow_evaluation_only=allow_evaluation_only, carry=carry,
+        volatility=None if volatility is None else F.lit(volatility), risk_aversion=None if risk_aversion is None else F.lit(risk_aversion),
+        allow_evaluation_only=allow_evaluation_only, carry=carry,
     )
     floor = oracle_cost(b, impact=eta, rate=rate)
-    return runs.join(floor, "order_id").withColumns(
-        {"regret": allocation_regret(F.col("impact_cost"), F.col("oracle_cost")), "order_fraction": F.lit(fraction)}
-    )
+    return runs.join(floor, "order_id").withColumn("regret", allocation_regret(F.col("impact_cost"), F.col("oracle_cost")))
 
 
 def experiment_grid(

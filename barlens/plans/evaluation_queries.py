@@ -10,7 +10,7 @@ from barlens.functions.scalar import rnd, rnd_ratio
 from barlens.operators import evaluate as E
 from barlens.operators import identity as I
 from barlens.plans.dataset_queries import regimes, samples, sequence_tokens
-from barlens.plans.execution_queries import tca
+from barlens.plans.execution_queries import tca_primary
 from barlens.plans.forecast_queries import matrix4, profile4
 from barlens.plans.history_queries import full_tokens
 from barlens.plans.identity_queries import ledger
@@ -212,13 +212,13 @@ def seed_claim(spark, d):
     return E.seed_claim(e, ["candidate"]).join(same, "candidate")
 
 
-@query("execution_table", """WITH b AS (SELECT * FROM (VALUES ('twap', 'vwap'), ('pov', 'vwap'), ('vwap', 'vwap')) t(method, baseline)), p AS (SELECT c.method, b.baseline, count(*) AS matched_cases, avg(c.regret - d.regret) AS md FROM c_tcacase c JOIN b USING (method) JOIN c_tcacase d ON d.method = b.baseline AND d.order_id = c.order_id GROUP BY 1, 2),
- n AS (SELECT method, count(*) AS cases, avg(regret) AS regret, avg(impact_cost) AS impact_cost, avg(completion_rate) AS completion_rate FROM c_tcacase GROUP BY 1)
+@query("execution_table", """WITH b AS (SELECT * FROM (VALUES ('twap', 'vwap'), ('pov', 'vwap'), ('vwap', 'vwap')) t(method, baseline)), p AS (SELECT c.method, b.baseline, count(*) AS matched_cases, avg(c.regret - d.regret) AS md FROM c_tcaprimary c JOIN b USING (method) JOIN c_tcaprimary d ON d.method = b.baseline AND d.order_id = c.order_id GROUP BY 1, 2),
+ n AS (SELECT method, count(*) AS cases, avg(regret) AS regret, avg(impact_cost) AS impact_cost, avg(completion_rate) AS completion_rate FROM c_tcaprimary GROUP BY 1)
 SELECT n.method, p.baseline, round(n.regret, 4) AS regret, round(n.impact_cost, 4) AS impact_cost, round(n.completion_rate, 6) AS completion_rate, matched_cases, round(md, 4) AS mean_difference, n.cases - matched_cases AS dropped_candidate, bn.cases - matched_cases AS dropped_baseline
 FROM n JOIN p ON p.method = n.method JOIN n bn ON bn.method = p.baseline""")
 def execution_table(spark, d):
     base = spark.createDataFrame([("twap", "vwap"), ("pov", "vwap"), ("vwap", "vwap")], "method string, baseline string")
-    t = E.execution_table(tca(spark, d), base, "regret", ["order_id"], ["regret", "impact_cost", "completion_rate"])
+    t = E.execution_table(tca_primary(spark, d), base, "regret", ["order_id"], ["regret", "impact_cost", "completion_rate"])
     return t.withColumns({"regret": rnd("regret", 4), "impact_cost": rnd("impact_cost", 4), "completion_rate": rnd("completion_rate"), "mean_difference": rnd("mean_difference", 4)})
 
 

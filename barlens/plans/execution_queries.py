@@ -235,37 +235,76 @@ def allocation_regret(spark, d):
 
 cte("c_dayadv", """SELECT * FROM (SELECT instrument_id, session_date, avg(v) OVER w AS adv20, count(v) OVER w AS n FROM (SELECT instrument_id, session_date, sum(volume) AS v FROM c_hour GROUP BY 1, 2)
  WINDOW w AS (PARTITION BY instrument_id ORDER BY session_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE n = 20""")
-cte("c_tcaorders", """SELECT instrument_id || '|' || session_date AS order_id, instrument_id, session_date, CASE WHEN row_number() OVER (PARTITION BY session_date ORDER BY sha256(CAST(session_date AS VARCHAR) || '|' || instrument_id))
-  <= (count(*) OVER (PARTITION BY session_date) + 1) // 2 THEN 'buy' ELSE 'sell' END AS side, CAST(greatest(1, round_even(0.03 * adv20, 0)) AS BIGINT) AS quantity, 600 AS start_minute, 960 AS end_minute FROM c_dayadv""")
+# beside the real cases one of each date whose session does not exist
+cte("c_tcabase", "SELECT instrument_id, session_date, adv20 FROM c_dayadv UNION ALL SELECT 'gone', session_date, max(adv20) FROM c_dayadv GROUP BY 2")
+cte("c_tcaorders", """SELECT instrument_id || '|' || session_date || '|' || f AS order_id, instrument_id, session_date, f AS order_fraction, side, CAST(greatest(1, round_even(f * adv20, 0)) AS BIGINT) AS quantity, 600 AS start_minute, 960 AS end_minute
+ FROM (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE)) f(f), (SELECT *, CASE WHEN row_number() OVER (PARTITION BY session_date ORDER BY sha256(CAST(session_date AS VARCHAR) || '|' || instrument_id))
+  <= (count(*) OVER (PARTITION BY session_date) + 1) // 2 THEN 'buy' ELSE 'sell' END AS side FROM c_tcabase)""")
 # what vwap follows is the profile of earlier sessions: each hour has the weight of its four hours
-cte("c_tob", "SELECT o.*, first(open) OVER (PARTITION BY order_id ORDER BY minute) AS arrival_open, p.share FROM (" + OB.format(orders="c_tcaorders", bars="c_priced") + ") o LEFT JOIN (SELECT instrument_id, session_date, bucket, round_even(share * 1e6, 0) AS share FROM c_profile4) p ON p.instrument_id = o.instrument_id AND p.session_date = o.session_date AND p.bucket = o.minute // 240")
-cte("c_t_twap", "SELECT *, 'twap' AS method, least(quantity // n + CASE WHEN k < quantity % n THEN 1 ELSE 0 END, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_tob")
-cte("c_t_vwapx", remainder_sql("(SELECT *, quantity * share / sum(share) OVER (PARTITION BY order_id) AS want FROM c_tob WHERE share IS NOT NULL)", "want", "quantity", "1e-7"))
-cte("c_t_vwap", "SELECT * EXCLUDE (planned, want), 'vwap' AS method, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_t_vwapx")
-cte("c_t_pov", """SELECT * EXCLUDE (run), 'pov' AS method, least(quantity, run) - coalesce(lag(least(quantity, run)) OVER (PARTITION BY order_id ORDER BY minute), 0) AS executed FROM
- (SELECT *, CAST(sum(least(floor(0.05 * volume), floor(0.1 * volume))) OVER (PARTITION BY order_id ORDER BY minute) AS BIGINT) AS run FROM c_tob)""")
+SHARES = "(SELECT instrument_id, session_date, bucket, round_even(share * 1e6, 0) AS share FROM c_profile4)"
+cte("c_sessions", "SELECT DISTINCT instrument_id, session_date FROM c_priced")
+
+
+def window_sql(orders: str) -> str:
+    """Order buckets with the arrival's open, forecast shares and their mass, and the window's status."""
+    return f"""SELECT o.*, first(open) OVER (PARTITION BY order_id ORDER BY minute) AS arrival_open, p.share, sum(coalesce(p.share, 0)) OVER (PARTITION BY order_id) AS mass,
+  CASE WHEN minute IS NOT NULL THEN 'ok' WHEN (o.instrument_id, o.session_date) IN (SELECT (instrument_id, session_date) FROM c_sessions) THEN 'empty_window' ELSE 'no_session' END AS status
+  FROM ({OB.format(orders=orders, bars="c_priced")}) o LEFT JOIN {SHARES} p ON p.instrument_id = o.instrument_id AND p.session_date = o.session_date AND p.bucket = o.minute // 240"""
+
+
+def twap_sql(src: str) -> str:
+    return f"SELECT *, 'twap' AS method, CASE WHEN n > 0 THEN least(quantity // n + CASE WHEN k < quantity % n THEN 1 ELSE 0 END, CAST(floor(0.1 * volume) AS BIGINT)) ELSE 0 END AS executed FROM {src}"
+
+
+def vwap_sql(src: str) -> str:
+    planned = remainder_sql(f"(SELECT *, quantity * coalesce(share, 0) / mass AS want FROM {src} WHERE mass > 0)", "want", "quantity", "1e-7")
+    return f"""SELECT * EXCLUDE (planned, want), 'vwap' AS method, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM ({planned})
+ UNION ALL BY NAME SELECT * REPLACE (CASE status WHEN 'ok' THEN 'no_forecast' ELSE status END AS status), 'vwap' AS method, 0 AS executed FROM {src} WHERE NOT mass > 0"""
+
+
+def pov_sql(src: str) -> str:
+    return f"""SELECT * EXCLUDE (run), 'pov' AS method, coalesce(least(quantity, run) - coalesce(lag(least(quantity, run)) OVER (PARTITION BY order_id ORDER BY minute), 0), 0) AS executed FROM
+ (SELECT *, CAST(sum(CASE WHEN minute IS NULL THEN 0 ELSE least(floor(0.05 * volume), floor(0.1 * volume)) END) OVER (PARTITION BY order_id ORDER BY minute) AS BIGINT) AS run FROM {src})"""
+
+
+cte("c_tob", window_sql("c_tcaorders"))
+cte("c_t_twap", twap_sql("c_tob"))
+cte("c_t_vwap", vwap_sql("c_tob"))
+cte("c_t_pov", pov_sql("c_tob"))
 cte("c_t_all", "SELECT * FROM c_t_twap UNION ALL BY NAME SELECT * FROM c_t_vwap UNION ALL BY NAME SELECT * FROM c_t_pov")
-cte("c_t_sum", summary_sql("(SELECT *, order_id || '#' || method AS oid FROM (" + LOG_SQL.replace("PARTITION BY order_id", "PARTITION BY order_id, method").format(src="(" + cost_sql("c_t_all", "arrival_open * 5e-5", "arrival_open * 1e-3") + ")") + "))", "method, any_value(instrument_id) AS instrument_id, any_value(session_date) AS session_date,").replace("GROUP BY order_id)", "GROUP BY order_id, method)"))
-cte("c_t_oracle", """SELECT order_id, CASE WHEN sum(volume) = 0 THEN 0 ELSE any_value(arrival_open) * 1e-3 * power(least(any_value(quantity), 0.1 * sum(volume)) / sum(volume), 2) * sum(volume * volume / greatest(volume, 1.0)) END AS oracle_cost FROM c_tob GROUP BY 1""")
+BY_METHOD = LOG_SQL.replace("PARTITION BY order_id", "PARTITION BY order_id, method")
+CARRIED = "method, any_value(status) AS status, any_value(instrument_id) AS instrument_id, any_value(session_date) AS session_date,"
+cte("c_t_sum", summary_sql("(" + BY_METHOD.format(src="(" + cost_sql("c_t_all", "arrival_open * 5e-5", "arrival_open * 1e-3") + ")") + ")", CARRIED + " any_value(order_fraction) AS order_fraction,").replace("GROUP BY order_id)", "GROUP BY order_id, method)"))
+cte("c_t_oracle", """SELECT order_id, coalesce(CASE WHEN sum(volume) = 0 THEN 0 ELSE any_value(arrival_open) * 1e-3 * power(least(any_value(quantity), 0.1 * sum(volume)) / sum(volume), 2) * sum(volume * volume / greatest(volume, 1.0)) END, 0) AS oracle_cost FROM c_tob GROUP BY 1""")
 cte("c_tcacase", "SELECT s.*, o.oracle_cost, (impact_cost - oracle_cost) / greatest(oracle_cost, 1e-12) AS regret FROM c_t_sum s JOIN c_t_oracle o USING (order_id)")
+cte("c_tcaprimary", "SELECT * FROM c_tcacase WHERE order_fraction = 0.03 AND order_id NOT IN (SELECT order_id FROM c_tcacase WHERE status <> 'ok')")
+
+
+def hour_shares(spark, d):
+    """The causal profile's shares in parts per million, for each hour that of its four hours."""
+    hours = F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(60))).alias("_m")
+    shares = profile4(spark, d).select("instrument_id", "session_date", "bucket", F.bround(F.col("share") * 1e6, 0).alias("share"), hours)
+    return shares.withColumn("minute", (F.col("bucket") * 240 + F.col("_m")).cast("int"))
 
 
 def tca(spark, d):
+    """Cases of three sizes, with one of each date whose session does not exist."""
     h = hour_bars(spark, d)
     day = h.groupBy("instrument_id", "session_date").agg(F.sum("volume").alias("volume"))
-    cases = U.balanced_sides(H.adv(day, 20)).withColumn(
-        "quantity", F.greatest(F.lit(1), F.bround(F.col("adv20") * 0.03, 0).cast("bigint"))
-    )
-    hours = F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(60))).alias("_m")
-    shares = profile4(spark, d).select("instrument_id", "session_date", "bucket", F.bround(F.col("share") * 1e6, 0).alias("share"), hours)
-    shares = shares.withColumn("minute", (F.col("bucket") * 240 + F.col("_m")).cast("int"))
-    return X.tca_cases(h, cases, ("twap", "vwap", "pov"), shares, start=600, end=960)
+    adv = H.adv(day, 20).select("instrument_id", "session_date", "adv20")
+    gone = adv.groupBy("session_date").agg(F.max("adv20").alias("adv20")).select(F.lit("gone").alias("instrument_id"), "session_date", "adv20")
+    return X.tca_cases(h, U.balanced_sides(adv.unionByName(gone)), ("twap", "vwap", "pov"), hour_shares(spark, d), start=600, end=960)
+
+
+def tca_primary(spark, d):
+    """Cases of the primary size that every method could run."""
+    return X.complete_cases(tca(spark, d).where("order_fraction = 0.03"))
 
 
-@query("tca_cases", f"SELECT method, instrument_id, session_date, side, quantity, filled, {money_sql('impact_cost', 'spread_cost', 'oracle_cost', 'completion_rate')}, round(regret + 1e-6, 4) AS regret, round(shortfall_bps + 1e-6, 3) AS shortfall_bps FROM c_tcacase")
+@query("tca_cases", f"SELECT method, instrument_id, session_date, order_fraction, status, side, quantity, filled, {money_sql('impact_cost', 'spread_cost', 'oracle_cost', 'completion_rate')}, round(regret + 1e-6, 4) AS regret, round(shortfall_bps + 1e-6, 3) AS shortfall_bps FROM c_tcacase")
 def tca_cases(spark, d):
     return tca(spark, d).select(
-        "method", "instrument_id", "session_date", "side", "quantity", "filled", *(money(c) for c in ("impact_cost", "spread_cost", "oracle_cost", "completion_rate", "regret")),
+        "method", "instrument_id", "session_date", "order_fraction", "status", "side", "quantity", "filled", *(money(c) for c in ("impact_cost", "spread_cost", "oracle_cost", "completion_rate", "regret")),
         rnd(F.col("shortfall_bps") + 1e-6, 3).alias("shortfall_bps"),
     )
 
@@ -273,65 +312,74 @@ def tca_cases(spark, d):
 # --- experiment grid -------------------------------------------------------------------------
 
 GRID = dict(sides=("buy", "sell"), quantities=(50, 400), impacts=(0.1, 0.5), risks=(0.0, 0.00137), start=480, end=1080)
+# beside the real sessions one of each date that does not exist
+cte("c_gridsessions", "SELECT DISTINCT instrument_id, session_date FROM c_hour UNION ALL SELECT DISTINCT 'gone', session_date FROM c_hour")
 cte("c_gridorders", """SELECT instrument_id || '|' || session_date || '|' || side || '|' || quantity || '|' || impact || '|' || risk_aversion AS order_id, s.*, side, CAST(quantity AS BIGINT) AS quantity, impact, risk_aversion, 480 AS start_minute, 1080 AS end_minute
-FROM (SELECT DISTINCT instrument_id, session_date FROM c_hour) s, (VALUES ('buy'), ('sell')) a(side), (VALUES (50), (400)) b(quantity), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) c(impact), (VALUES (0.0::DOUBLE), (0.00137::DOUBLE)) e(risk_aversion)""")
-cte("c_gob", OB.format(orders="c_gridorders", bars="c_priced"))
-cte("c_g_twap", "SELECT *, 'twap' AS method, least(quantity // n + CASE WHEN k < quantity % n THEN 1 ELSE 0 END, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_gob")
-cte("c_g_acx", remainder_sql("(" + ac_sql("c_gob", "(impact / 100000)", "0.01", "risk_aversion") + ")", "want", "quantity", "1e-5"))
-cte("c_g_ac", "SELECT * EXCLUDE (planned, want, ratio, kappa), 'almgren-chriss' AS method, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_g_acx")
-cte("c_g_pov", """SELECT * EXCLUDE (run), 'pov' AS method, least(quantity, run) - coalesce(lag(least(quantity, run)) OVER (PARTITION BY order_id ORDER BY minute), 0) AS executed FROM
- (SELECT *, CAST(sum(floor(0.05 * volume)) OVER (PARTITION BY order_id ORDER BY minute) AS BIGINT) AS run FROM c_gob)""")
-cte("c_g_all", "SELECT * FROM c_g_twap UNION ALL BY NAME SELECT * FROM c_g_ac UNION ALL BY NAME SELECT * FROM c_g_pov")
-cte("c_grid", "SELECT g.*, v.session_volatility, v.session_volume FROM (" + summary_sql("(" + LOG_SQL.replace("PARTITION BY order_id", "PARTITION BY order_id, method").format(src="(" + cost_sql("c_g_all", "0.01", "impact") + ")") + ")", "method, any_value(instrument_id) AS instrument_id, any_value(session_date) AS session_date, any_value(impact) AS impact, any_value(risk_aversion) AS risk_aversion,").replace("GROUP BY order_id)", "GROUP BY order_id, method)") + """) g JOIN (SELECT instrument_id, session_date, coalesce(stddev_pop(r), 0) AS session_volatility, CAST(sum(volume) AS BIGINT) AS session_volume FROM (
+FROM c_gridsessions s, (VALUES ('buy'), ('sell')) a(side), (VALUES (50), (400)) b(quantity), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) c(impact), (VALUES (0.0::DOUBLE), (0.00137::DOUBLE)) e(risk_aversion)""")
+cte("c_gob", window_sql("c_gridorders"))
+cte("c_g_twap", twap_sql("c_gob"))
+cte("c_g_vwap", vwap_sql("c_gob"))
+cte("c_g_acx", remainder_sql("(" + ac_sql("(SELECT * FROM c_gob WHERE n > 0)", "(impact / 100000)", "0.01", "risk_aversion") + ")", "want", "quantity", "1e-5"))
+cte("c_g_ac", "SELECT * EXCLUDE (planned, want, ratio, kappa), 'almgren-chriss' AS method, least(planned, CAST(floor(0.1 * volume) AS BIGINT)) AS executed FROM c_g_acx UNION ALL BY NAME SELECT *, 'almgren-chriss' AS method, 0 AS executed FROM c_gob WHERE n = 0")
+cte("c_g_pov", pov_sql("c_gob"))
+cte("c_g_all", "SELECT * FROM c_g_twap UNION ALL BY NAME SELECT * FROM c_g_vwap UNION ALL BY NAME SELECT * FROM c_g_ac UNION ALL BY NAME SELECT * FROM c_g_pov")
+cte("c_grid", "SELECT g.*, v.session_volatility, v.session_volume FROM (" + summary_sql("(" + BY_METHOD.format(src="(" + cost_sql("c_g_all", "0.01", "impact") + ")") + ")", CARRIED + " any_value(impact) AS impact, any_value(risk_aversion) AS risk_aversion,").replace("GROUP BY order_id)", "GROUP BY order_id, method)") + """) g LEFT JOIN (SELECT instrument_id, session_date, coalesce(stddev_pop(r), 0) AS session_volatility, CAST(sum(volume) AS BIGINT) AS session_volume FROM (
  SELECT *, ln(vwap / lag(vwap) OVER (PARTITION BY instrument_id, session_date ORDER BY minute)) AS r FROM c_hour) GROUP BY 1, 2) v USING (instrument_id, session_date)""")
+cte("c_gridcomplete", "SELECT * FROM c_grid WHERE order_id NOT IN (SELECT order_id FROM c_grid WHERE status <> 'ok')")
 
 
 def grid(spark, d):
     """One summary per session, side, size, impact, risk aversion and method."""
     h = hour_bars(spark, d)
     sessions = H.session_volatility(h)
-    orders = X.experiment_grid(sessions, **GRID)
-    b = X.prepare_window(orders, h)
+    wanted = sessions.select("instrument_id", "session_date")
+    wanted = wanted.unionByName(wanted.select(F.lit("gone").alias("instrument_id"), "session_date").distinct())
+    b = X.prepare_window(X.experiment_grid(wanted, **GRID), h)
+    b = b.join(hour_shares(spark, d).select("instrument_id", "session_date", "minute", "share"), ["instrument_id", "session_date", "minute"], "left")
     carry = ("side", "quantity", "session_vwap", "arrival_price", "instrument_id", "session_date", "impact", "risk_aversion")
     runs = X.run_methods(
-        b, ("twap", "almgren-chriss", "pov"), half_spread=F.lit(0.01), impact=F.col("impact"), volatility=F.lit(0.01),
+        b, ("twap", "vwap", "almgren-chriss", "pov"), half_spread=F.lit(0.01), impact=F.col("impact"), volatility=F.lit(0.01),
         risk_aversion=F.col("risk_aversion"), carry=carry,
     )
-    return runs.join(sessions, ["instrument_id", "session_date"])
+    return runs.join(sessions, ["instrument_id", "session_date"], "left")
+
+
+def grid_complete(spark, d):
+    return X.complete_cases(grid(spark, d))
 
 
-GRID_OUT = f"SELECT method, order_id, filled, {money_sql('total_cost', 'completion_rate')}, round(shortfall_bps + 1e-6, 3) AS shortfall_bps"
+GRID_OUT = f"SELECT method, order_id, status, filled, {money_sql('total_cost', 'completion_rate')}, round(shortfall_bps + 1e-6, 3) AS shortfall_bps"
 
 
 @query("experiment_grid", f"{GRID_OUT}, session_volume, {money_sql('session_volatility')} FROM c_grid")
 def experiment_grid(spark, d):
     return grid(spark, d).select(
-        "method", "order_id", "filled", money("total_cost"), money("completion_rate"), rnd(F.col("shortfall_bps") + 1e-6, 3).alias("shortfall_bps"),
+        "method", "order_id", "status", "filled", money("total_cost"), money("completion_rate"), rnd(F.col("shortfall_bps") + 1e-6, 3).alias("shortfall_bps"),
         "session_volume", money("session_volatility"),
     )
 
 
-@query("grid_regimes", """SELECT method, order_id, CASE WHEN session_volume >= (SELECT median(session_volume) FROM c_grid) THEN 'high' ELSE 'low' END AS liquidity_regime,
-  CASE WHEN round(session_volatility, 9) >= (SELECT median(round(session_volatility, 9)) FROM c_grid) THEN 'high' ELSE 'low' END AS volatility_regime FROM c_grid""")
+@query("grid_regimes", """SELECT method, order_id, CASE WHEN session_volume >= (SELECT median(session_volume) FROM c_gridcomplete) THEN 'high' ELSE 'low' END AS liquidity_regime,
+  CASE WHEN round(session_volatility, 9) >= (SELECT median(round(session_volatility, 9)) FROM c_gridcomplete) THEN 'high' ELSE 'low' END AS volatility_regime FROM c_gridcomplete""")
 def grid_regimes(spark, d):
-    r = grid(spark, d).select("method", "order_id", "session_volume", F.round("session_volatility", 9).alias("session_volatility"))
+    r = grid_complete(spark, d).select("method", "order_id", "session_volume", F.round("session_volatility", 9).alias("session_volatility"))
     return X.grid_regimes(r).select("method", "order_id", "liquidity_regime", "volatility_regime")
 
 
-@query("cost_curve", """SELECT method, quantity, round(avg(total_cost), 4) AS mean_cost, count(*) AS runs FROM c_grid GROUP BY 1, 2""")
+@query("cost_curve", """SELECT method, quantity, round(avg(total_cost), 4) AS mean_cost, count(*) AS runs FROM c_gridcomplete GROUP BY 1, 2""")
 def cost_curve(spark, d):
-    return grid(spark, d).groupBy("method", "quantity").agg(rnd(F.avg("total_cost"), 4).alias("mean_cost"), F.count(F.lit(1)).alias("runs"))
+    return grid_complete(spark, d).groupBy("method", "quantity").agg(rnd(F.avg("total_cost"), 4).alias("mean_cost"), F.count(F.lit(1)).alias("runs"))
 
 
-@query("method_means", """SELECT method, round(avg(regret), 4) AS mean_regret, round(avg(completion_rate), 6) AS mean_completion, count(DISTINCT (instrument_id, session_date)) AS symbol_dates FROM c_tcacase GROUP BY 1""")
+@query("method_means", """SELECT method, round(avg(regret), 4) AS mean_regret, round(avg(completion_rate), 6) AS mean_completion, count(DISTINCT (instrument_id, session_date)) AS symbol_dates FROM c_tcaprimary GROUP BY 1""")
 def method_means(spark, d):
-    return tca(spark, d).groupBy("method").agg(
+    return tca_primary(spark, d).groupBy("method").agg(
         rnd(F.avg("regret"), 4).alias("mean_regret"), rnd(F.avg("completion_rate")).alias("mean_completion"),
         F.count_distinct(F.struct("instrument_id", "session_date")).alias("symbol_dates"),
     )
 
 
-@query("worst_best", """SELECT arg_min(method, m) AS best, arg_max(method, m) AS worst FROM (SELECT method, avg(impact_cost) AS m FROM c_tcacase GROUP BY 1)""")
+@query("worst_best", """SELECT arg_min(method, m) AS best, arg_max(method, m) AS worst FROM (SELECT method, avg(impact_cost) AS m FROM c_tcaprimary GROUP BY 1)""")
 def worst_best(spark, d):
-    m = tca(spark, d).groupBy("method").agg(F.avg("impact_cost").alias("m"))
+    m = tca_primary(spark, d).groupBy("method").agg(F.avg("impact_cost").alias("m"))
     return m.agg(F.min_by("method", "m").alias("best"), F.max_by("method", "m").alias("worst"))

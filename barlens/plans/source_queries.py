@@ -291,7 +291,7 @@ def stream_tokens(spark, d):
     return t.withColumns({"token_start": F.col("token_start").cast("timestamp_ntz"), "vwap": rnd_ratio("vwap"), "realized_volatility": rnd("realized_volatility")})
 
 
-@query("stream_late_trades", f"""WITH k AS (SELECT *, seq % 20 = 0 AS held FROM c_ticks WHERE price > 0), m AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) AS mark FROM k WHERE NOT held)
+@query("stream_late_trades", f"""WITH k AS (SELECT *, seq % 20 = 0 AS held FROM c_ticks WHERE price > 0), m AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) AS mark FROM k WHERE NOT held AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM c_ticks))
 SELECT instrument_id, count(*) AS trades, count(*) FILTER (held AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark) AS late FROM k, m GROUP BY 1""")
 def stream_late_trades(spark, d):
     """The event table in two files, and every twentieth event in a third that comes last."""

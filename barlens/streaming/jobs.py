@@ -154,7 +154,7 @@ def run_late(ticks: DataFrame, delay: str, label: str) -> tuple[DataFrame, DataF
     """The trades that :func:`minute_bars` drops, and ``(batch, rows, late, max_ts)`` for each batch.
 
     Runs beside the query that makes the bars, on the same batches. A trade is late if its minute ended no later than the
-    watermark of the batches before: their latest time less ``delay``. Counts are observed while the late rows are written; a
+    watermark that the batch before ran with: the latest time of the batches before that one, less ``delay``. Counts are observed while the late rows are written; a
     batch that is replayed overwrites its own files.
     """
     spark = ticks.sparkSession
@@ -164,7 +164,7 @@ def run_late(ticks: DataFrame, delay: str, label: str) -> tuple[DataFrame, DataF
     spark.createDataFrame([], ticks.schema).write.parquet(f"{path}/late/batch=-1")
 
     def save(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(kept).parquet(f"{path}/metrics").where(F.col("batch") < number).agg(F.max("max_ts")).first()[0]
+        before = spark.read.schema(kept).parquet(f"{path}/metrics").where(F.col("batch") < number - 1).agg(F.max("max_ts")).first()[0]
         mark = F.date_trunc("millisecond", F.lit(before) - F.expr(f"INTERVAL {delay}"))
         late = F.coalesce(F.window("ts", "1 minute")["end"] <= mark, F.lit(False)) if before else F.lit(False)
         seen = Observation()
