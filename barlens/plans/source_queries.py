@@ -36,7 +36,7 @@ def scan_bars(spark, d):
 @query("scan_symbol", "SELECT upper(symbol) AS symbol, count(*) AS rows FROM c_raw WHERE symbol IN ('click', 'view') GROUP BY 1")
 def scan_symbol(spark, d):
     path = scratch_path(spark, "symbols")
-    raw_bars(spark, d).write.parquet(path)
+    W.write_bars(raw_bars(spark, d), path)
     hit = R.scan_bars(spark, path, symbols=["CLICK", "View"])
     return hit.groupBy(F.upper("symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("rows")).join(R.symbols_of(hit), "symbol")
 
@@ -139,18 +139,19 @@ def write_results(spark, d):
 
 @query("flatten_provider_json", """SELECT violations, count(*) AS bars, count(DISTINCT symbol) AS symbols, round(sum(close), 2) AS close FROM (SELECT concat_ws(';', CASE WHEN instrument_id = 'Brand#3' THEN 'unknown_symbol' END) AS violations, symbol, close FROM c_daily) GROUP BY 1""")
 def flatten_provider_json(spark, d):
-    """Daily bars packed into one provider page per month and flattened again."""
+    """Daily bars packed into one provider page for each symbol and month, written, read and flattened again."""
     b = daily(spark, d)
     obs = F.struct(
         F.date_format("session_date", "yyyy-MM-dd'T'05:00:00'Z'").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
         F.col("volume").alias("v"), F.col("trade_count").alias("n"), F.col("vwap").alias("vw"),
     )
     per = b.groupBy(F.trunc("session_date", "MM").alias("m"), F.lower("symbol").alias("symbol")).agg(F.collect_list(obs).alias("o"))
-    pages = per.groupBy("m").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "o"))).alias("bars"))
-    text = pages.select(F.to_json(F.struct("bars")).alias("value"))
+    text = per.select(F.to_json(F.struct(F.create_map("symbol", "o").alias("bars"))).alias("value"))
     ids = market.table(spark, d, "part").select(F.col("p_brand").alias("instrument_id")).distinct().where("instrument_id <> 'Brand#3'")
     ids = ids.withColumn("symbol", F.replace(F.col("instrument_id"), F.lit("#"), F.lit(".")))
-    flat = R.flatten_provider_json(text, ids).withColumn("violations", F.array_join("violations", ";"))
+    path = scratch_path(spark, "provider")
+    text.write.option("maxRecordsPerFile", 1).text(path)
+    flat = R.flatten_provider_json(R.provider_pages(spark, path), ids).withColumn("violations", F.array_join("violations", ";"))
     return flat.groupBy("violations").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("symbol").alias("symbols"), rnd(F.sum("close"), 2).alias("close"))
 
 
@@ -230,7 +231,7 @@ def fit_once(family: str, **params):
     def run(spark, d):
         rows = model_rows(spark, d)
         train, test = rows.where("session_date <= date '2024-01-20'"), rows.where("session_date > date '2024-01-20'")
-        model = M.regression_pipeline(family, FEATS, "target_volume_share", rows=train.count(), **params).fit(train)
+        model = M.fitted(train, family, FEATS, "target_volume_share", **params)
         return M.predict(model, test, ["sample_id", "bucket"]).withColumn("prediction", rnd("prediction", 4))
 
     return run
@@ -241,25 +242,48 @@ query("elastic_net")(fit_once("elastic_net", alpha=0.001, l1_ratio=0.5))
 query("gbt")(fit_once("gbt", iterations=5, max_depth=3))
 
 
-@query("walk_forward_train")
-def walk_forward_train(spark, d):
-    p = M.walk_forward_train(
+# normal equations of two standardised, median-filled features: the penalty is the ridge's own weight
+@query("ridge_two_features", """WITH r AS (SELECT instrument_id, session_date, ln(open) AS x, CASE WHEN trade_count % 3 > 0 THEN trade_count END AS z, ln(1 + volume) AS y, session_date < DATE '1998-01-01' AS train FROM c_daily),
+ m AS (SELECT median(x) AS mx, median(z) AS mz FROM r WHERE train), f AS (SELECT instrument_id, session_date, x AS x, coalesce(z, mz) AS z, y, train FROM r, m),
+ s AS (SELECT avg(x) AS ax, avg(z) AS az, stddev_samp(x) AS sx, stddev_samp(z) AS sz, avg(y) AS ay, count(*) AS n FROM f WHERE train),
+ u AS (SELECT f.*, (x - ax) / sx AS a, (z - az) / sz AS b FROM f, s),
+ g AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, 50.0 / count(*) AS k FROM u WHERE train),
+ w AS (SELECT (ya * (bb + k * bb) - yb * ab) / ((aa + k * aa) * (bb + k * bb) - ab * ab) AS wa, (yb * (aa + k * aa) - ya * ab) / ((aa + k * aa) * (bb + k * bb) - ab * ab) AS wb FROM g)
+SELECT instrument_id, session_date, round(ay + wa * a + wb * b, 5) AS prediction FROM u, w, s WHERE NOT train""")
+def ridge_two_features(spark, d):
+    rows = daily(spark, d).select("instrument_id", "session_date", F.ln("open").alias("x"), F.when(F.col("trade_count") % 3 > 0, F.col("trade_count")).alias("z"), F.log1p("volume").alias("y"))
+    train, test = rows.where("session_date < date '1998-01-01'"), rows.where("session_date >= date '1998-01-01'")
+    model = M.fitted(train, "ridge", ("x", "z"), "y", alpha=50.0)
+    return M.predict(model, test, ["instrument_id", "session_date"]).withColumn("prediction", rnd("prediction", 5))
+
+
+def _walked(spark, d):
+    return M.walk_forward_train(
         model_rows(spark, d), _folds(spark, d), family="ridge", features=FEATS, target="target_volume_share", grid=({"alpha": 0.001}, {"alpha": 1.0}), keep=("sample_id", "bucket")
     )
-    return p.withColumns({"prediction": rnd("prediction", 4), "actual": rnd("actual", 4)})
+
+
+@query("walk_forward_train")
+def walk_forward_train(spark, d):
+    return _walked(spark, d)[0].withColumns({"prediction": rnd("prediction", 4), "actual": rnd("actual", 4)})
+
+
+@query("walk_forward_metrics")
+def walk_forward_metrics(spark, d):
+    return _walked(spark, d)[1].withColumns({c: rnd(c, 5) for c in ("validation_rmse", "test_mae", "test_rmse")})
 
 
 @query("scale_shape_gbt")
 def scale_shape_gbt(spark, d):
-    """Totals and shares of held-out samples from two boosted models."""
+    """Totals and shares of held-out samples from two boosted models, each the best of eight on validation rows."""
     from barlens.operators.forecast import share_from_logits
 
     scale = D.scale_rows(samples(spark, d), arrays(spark, d)).withColumn("as_of", F.col("as_of_token").cast("double"))
     scale = scale.withColumn("log_baseline", F.log1p("baseline_remaining_volume"))
     shape = lambda s, o=None: D.shape_rows(s, o).withColumn("horizon", F.col("horizon_offset").cast("double"))
-    train, test = scale.where("partition = 'train'"), scale.where("partition = 'test'")
-    residual, logit = M.scale_shape_gbt(
-        train, shape(train, origins(spark, d)), test, shape(test), ("as_of", "log_baseline"), ("as_of", "horizon", "baseline_share"), grid=({"max_depth": 2, "iterations": 5},)
+    train, valid, test = (scale.where(F.col("partition") == p) for p in ("train", "validation", "test"))
+    residual, logit, _ = M.scale_shape_gbt(
+        train, shape(train, origins(spark, d)), test, shape(test), ("as_of", "log_baseline"), ("as_of", "horizon", "baseline_share"), valid, shape(valid), step=0.1, tolerance=0.01
     )
     s = logit.select("sample_id", "target_bucket", "logit", F.lit(True).alias("valid"))
     r = residual.select("sample_id", F.col("baseline_remaining_volume").alias("baseline"), "residual")

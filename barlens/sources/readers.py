@@ -11,22 +11,33 @@ from barlens.functions.scalar import reasons
 from barlens.schema import BAR_COLUMNS, require_columns
 
 
+#: The upper-cased symbol of a corpus that is scanned by symbol.
+KEY = "symbol_key"
+
+
 def scan_bars(spark: SparkSession, *paths: str, symbols: Sequence[str] | None = None) -> DataFrame:
     """Bars of any number of Parquet files or folders, canonical columns that exist.
 
-    Symbols match in any spelling. A range of first letters, in both cases, is
-    stated on the column as stored and reaches the scan; it is a superset.
+    Symbols match in any spelling. Corpora of :func:`barlens.sources.writers.write_bars`
+    keep the upper-cased symbol: its values reach the scan, which skips files'
+    row groups by their statistics and Bloom filters. Elsewhere two ranges for
+    each first letter, one a case, are stated on the column as stored.
     """
     df = spark.read.parquet(*paths)
-    out = df.select(*(c for c in BAR_COLUMNS if c in df.columns))
+    out = df
     if symbols is not None:
         wanted = sorted({s.upper() for s in symbols})
-        first = [s[:1] for s in wanted if s]
-        if wanted and len(first) == len(wanted) and all(c.isascii() for c in first):
-            low, high = min(c.upper() for c in first), chr(ord(max(c.lower() for c in first)) + 1)
-            out = out.where((F.col("symbol") >= low) & (F.col("symbol") < high))
-        out = out.where(F.upper("symbol").isin(*wanted))
-    return out
+        if KEY in df.columns:
+            out = out.where(F.col(KEY).isin(*wanted))
+        else:
+            first = sorted({c for s in wanted for c in (s[:1], s[:1].lower())})
+            if all(c and c.isascii() for c in first):
+                spans = F.lit(False)
+                for c in first:
+                    spans = spans | ((F.col("symbol") >= c) & (F.col("symbol") < chr(ord(c) + 1)))
+                out = out.where(spans)
+            out = out.where(F.upper("symbol").isin(*wanted))
+    return out.select(*(c for c in BAR_COLUMNS if c in df.columns))
 
 
 def symbols_of(df: DataFrame) -> DataFrame:
@@ -109,10 +120,15 @@ def load_partition(spark: SparkSession, root: str, instrument_id: str) -> DataFr
 PAGE = "bars map<string, array<struct<t:string,o:double,h:double,l:double,c:double,v:bigint,n:bigint,vw:double>>>"
 
 
-def flatten_provider_json(pages: DataFrame, identities: DataFrame, column: str = "value") -> DataFrame:
-    """Bar rows of provider pages, with a status for unknown symbols and repeats.
+def provider_pages(spark: SparkSession, *paths: str) -> DataFrame:
+    """Provider pages, a row each: a file holds one, the answer to one request (a symbol and a month)."""
+    return spark.read.text(list(paths), wholetext=True)
+
+
+def flatten_provider_json(pages: DataFrame, identities: DataFrame, column: str = "value", *, strict: bool = False) -> DataFrame:
+    """Bar rows of provider pages, with a status for unknown symbols and repeats; ``strict`` makes these errors.
 
-    ``identities``: ``symbol, instrument_id``.
+    ``identities``: ``symbol, instrument_id``. A row is never larger than a page.
     """
     page = F.from_json(F.col(column), PAGE)["bars"]
     rows = pages.select(F.explode(page).alias("symbol", "_obs")).select(
@@ -127,7 +143,7 @@ def flatten_provider_json(pages: DataFrame, identities: DataFrame, column: str =
         F.col("v").alias("volume"), F.col("n").alias("trade_count"), F.col("vw").alias("vwap"),
     )
     keys = bars.groupBy("instrument_id", F.to_date("ts").alias("_d")).agg(F.count(F.lit(1)).alias("_copies"))
-    return (
+    flat = (
         bars.withColumn("_d", F.to_date("ts"))
         .join(keys, ["instrument_id", "_d"], "left")
         .withColumn(
@@ -140,6 +156,10 @@ def flatten_provider_json(pages: DataFrame, identities: DataFrame, column: str =
         )
         .drop("_d", "_copies")
     )
+    if not strict:
+        return flat
+    told = F.concat(F.lit("provider page: "), F.array_join("violations", ","), F.lit(" for "), F.col("symbol"), F.lit(" at "), F.coalesce(F.col("ts").cast("string"), F.lit("no time")))
+    return flat.where(F.when(F.size("violations") == 0, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
 
 
 # Volume and price shapes of the synthetic scenarios, in the session position p.

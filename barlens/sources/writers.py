@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.schema import require_columns
+from barlens.sources.readers import KEY
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("mode", "symbol"), *, rows_per_task: int = 1_000_000) -> None:
@@ -18,6 +19,18 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("mode", "sy
     spread.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
+def write_bars(bars: DataFrame, path: str, *, rows: int = 1_000_000) -> None:
+    """Bars for scans by symbol: ordered by the upper-cased symbol, which has Bloom filters, ``rows`` a file at most.
+
+    Rows are dealt by ranges of symbol and time, so a symbol of any size spreads over as many files as it fills.
+    """
+    keyed = bars.withColumn(KEY, F.upper("symbol"))
+    order = [KEY, *(["ts"] if "ts" in bars.columns else [])]
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows).option(
+        f"parquet.bloom.filter.enabled#{KEY}", "true"
+    ).parquet(path)
+
+
 def write_sequences(sequences: DataFrame, path: str) -> None:
     """Session sequences by year and instrument, zstd compressed."""
     dated = sequences.withColumn("year", F.year("session_date"))
