@@ -18,8 +18,8 @@ from barlens.llm.common import mix64
 
 LANES = 4
 BLOCK_BYTES = 8 * LANES
-#: Keys of a block; at 32 bits a key about one wrong probe in a hundred thousand passes.
-KEYS = 8
+#: Keys of a block; at 16 bits a key about one wrong probe in a thousand passes.
+KEYS = 16
 #: Keys probed at once: what they need stays in a core's own cache.
 AT_ONCE = 1 << 14
 
