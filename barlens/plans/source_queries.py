@@ -74,16 +74,18 @@ def read_receipts(spark, d):
     return out.groupBy("verdict").agg(F.count(F.lit(1)).alias("receipts"))
 
 
-@query("read_actions", """SELECT instrument_id, effective_date, factor, available_at FROM c_actions""")
+@query("read_actions", """WITH a AS (SELECT 'c' || o_custkey AS instrument_id, CAST(o_orderdate AS DATE) AS effective_date, o_orderdate AS available_at, round(o_totalprice / 1000 - 100, 3) AS factor, o_orderstatus AS s FROM orders),
+ c AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, effective_date) AS copies FROM a) SELECT instrument_id, effective_date, available_at, factor FROM c WHERE factor > 0 AND s <> 'P' AND copies = 1""")
 def read_actions(spark, d):
-    """Actions kept for instruments that trade, after the checks."""
-    from barlens.plans.identity_queries import actions
-
+    """A file of actions made from the orders, read as text and kept where the checks find nothing."""
     path = scratch_path(spark, "actions")
-    actions(spark).withColumn("source", F.lit("filing")).write.parquet(path)
-    ok = I.check_actions(R.read_any(spark, path, ["instrument_id", "effective_date", "factor", "available_at", "source"])).where(F.size("violations") == 0)
-    traded = market.table(spark, d, "events").select(F.col("event_type").alias("instrument_id"))
-    return ok.join(traded, "instrument_id", "left_semi").select("instrument_id", "effective_date", "factor", "available_at")
+    text = lambda c: c.cast("string")
+    market.table(spark, d, "orders").select(
+        F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("instrument_id"), text(F.to_date("o_orderdate")).alias("effective_date"), text(F.col("o_orderdate")).alias("available_at"),
+        text(F.round(F.col("o_totalprice") / 1000 - 100, 3)).alias("factor"), F.when(F.col("o_orderstatus") == "P", " ").otherwise("filing").alias("source"),
+    ).write.parquet(path)
+    read = R.read_any(spark, path, ["instrument_id", "effective_date", "factor", "available_at", "source"])
+    return I.check_actions(read).where(F.size("violations") == 0).select("instrument_id", "effective_date", "available_at", "factor")
 
 
 @query("load_partition", "SELECT session_date, minute, open, close, volume FROM c_hour WHERE instrument_id = 'purchase'")
