@@ -116,7 +116,14 @@ def largest_remainder(
         }
     )
     room = F.col("_base") < F.col(capacity)
-    a = a.withColumn("_left", F.col(target) - F.sum("_base").over(whole)).withColumn(
+    # all that concerns the whole order is one pass over it
+    a = a.withColumns(
+        {
+            "_left": F.col(target) - F.sum("_base").over(whole),
+            "_fits": F.sum(capacity).over(whole) >= F.col(target),
+            "_whole": F.count_if(F.col(value).isNull()).over(whole) == 0,
+        }
+    ).withColumn(
         "_turn",
         F.row_number().over(whole.orderBy(F.when(room, 0).otherwise(1), F.col("_frac").desc(), index)),
     )
@@ -131,8 +138,6 @@ def largest_remainder(
         ),
     )
     extra = F.greatest(F.lit(0), F.least(F.col(capacity) - F.col("_step"), F.col("_rest") - F.col("_free_before")))
-    fits = F.sum(capacity).over(whole) >= F.col(target)
-    a = a.withColumns({"_fits": fits, "_whole": F.count_if(F.col(value).isNull()).over(whole) == 0})
     a = a.withColumn(name, F.when(F.col("_fits") & F.col("_whole"), (F.col("_step") + extra).cast("bigint")))
     return _status(a, F.col("_whole") & ~F.col("_fits"), "infeasible").drop(
         "_c", "_base", "_frac", "_left", "_turn", "_step", "_rest", "_free_before", "_fits", "_whole"
