@@ -8,8 +8,9 @@ into overlapping windows, long enough and close enough together that any place w
    union at least, so ``bands`` is set for each group to let a match at the threshold slip with probability ``miss`` at most.
 2. *Verify.* A window that shares a band with a template must hold ``similarity`` of the template's distinct shingles.
 
-Only windows of documents that can match are made: a document that holds ``similarity`` of a template's ``t`` shingles holds
-at least one of any ``t - ceil(similarity * t) + 1`` of them, and looking for those as plain text is exact and cheap.
+Only windows that can match are made. A document that holds ``similarity`` of a template's ``t`` shingles holds at least one of
+any ``t - ceil(similarity * t) + 1`` of them, and looking for those as plain text is exact and cheap; of what is left, windows
+without any shingle of a template are passed over.
 
 Shingles have five words (a template of fewer words is one shingle). Defined results: null and empty texts match nothing; a
 null ``doc_id`` is kept; repeated rows, of one id or of none, each have rows of their own; other
@@ -131,6 +132,11 @@ def library(spark: SparkSession, templates: Mapping[str, str], similarity: float
     return out
 
 
+def _places(shingles, wanted: list[int]) -> Column:
+    """Positions of the wanted shingles."""
+    return F.filter(F.transform(shingles, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
+
+
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are worked out once a row: filters on them stay above, where they would else repeat them inside themselves."""
     made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_made")
@@ -154,12 +160,17 @@ def scan(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, similarit
     # rows of a checkpoint are the same at each reading, so their numbers are too
     able = settle(plain.where(may).select("doc_id", F.array_remove("_w", "").alias("_w"))).withColumn("row", F.monotonically_increasing_id())
     per = groups(templates, similarity, miss)
-    able = _barrier(able, **{f"_s{k}": _shingled(F.col("_w"), k) for k in sorted({g["k"] for g in per.values()})})
+    lengths = {k: [n for n, g in per.items() if g["k"] == k] for k in sorted({g["k"] for g in per.values()})}
+    items = {n: sorted({x for r in rows if r["length"] == n for x in r["items"]}) for n in per}
+    able = _barrier(able, **{f"_s{k}": _shingled(F.col("_w"), k) for k in lengths})
+    able = _barrier(able, **{f"_h{k}": _places(F.col(f"_s{k}"), sorted({x for n in own for x in items[n]})) for k, own in lengths.items()})
 
     def windows(length: int, g: dict) -> Column:
-        """The windows of one template length, each with its band keys."""
-        s, width = F.col(f"_s{g['k']}"), g["window"] - g["k"] + 1
-        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(g["stride"]))).otherwise(F.array().cast("array<int>"))
+        """The windows that hold any shingle of the templates of one length, each with its band keys: no other can match."""
+        s, width, stride = F.col(f"_s{g['k']}"), g["window"] - g["k"] + 1, g["stride"]
+        hits = F.filter(f"_h{g['k']}", lambda i: F.get(s, i).isin(items[length]))
+        around = lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - (width - 1)) / stride)).cast("int"), F.floor(i / stride).cast("int"))
+        starts = F.transform(F.array_distinct(F.flatten(F.transform(hits, around))), lambda m: m * stride)
         cut = F.transform(starts, lambda i: F.struct(F.lit(length).alias("length"), i.alias("at"), F.slice(s, i + 1, F.lit(width)).alias("items"), F.lit(g["k"]).alias("k")))
         return F.transform(cut, lambda x: x.withField("keys", F.array_distinct(_keys(x["items"], g["bands"]))))
 
