@@ -39,3 +39,12 @@ def test_risk_and_volatility_are_asked_for(spark):
         X.run_methods(b, ("almgren-chriss",), half_spread=F.lit(0.0), impact=F.lit(0.1))
     runs = X.run_methods(b, ("almgren-chriss",), half_spread=F.lit(0.0), impact=F.lit(0.1), volatility=F.lit(0.02), risk_aversion=F.lit(0.5))
     assert runs.first().status == "ok"
+
+
+def test_methods_of_equal_cost_are_told_apart_by_name(spark):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in their last bit
+    costs = {"vwap": (0.1, 0.2, 0.3), "twap": (0.3, 0.2, 0.1), "pov": (0.05, 0.05, 0.05), "none": (None,)}
+    runs = spark.createDataFrame([(m, c) for m, cs in costs.items() for c in cs], "method string, impact_cost double").coalesce(1)
+    assert tuple(X.best_and_worst(runs, "impact_cost").first()) == ("pov", "twap")
+    assert tuple(X.best_and_worst(runs.where("method <> 'pov'"), "impact_cost").first()) == ("twap", "twap")
+    assert tuple(X.best_and_worst(runs.where("method = 'none'"), "impact_cost").first()) == (None, None)
