@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ class Encoder:
 
     The splitter of byte-level BPE never joins what a single space between two visible characters parts. So a text is cut
     there, parts and the splitter's pieces are remembered, and only unseen pieces go to the tokenizer's model. A text that
-    holds the spelling of an added token, and every text of another kind of tokenizer, is encoded whole.
+    holds the spelling of an added token, and every text of another kind of tokenizer, is encoded whole. :meth:`many` looks
+    the distinct words of many texts up once.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,8 +74,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
-            tokens = self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spelling))
-            ids = self._keep(piece, struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens)))
+            ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spelling))]
+            ids = self._keep(piece, struct.pack(f"<{len(ids)}I", *ids))
         return ids
 
     def _keep(self, part: str, ids: bytes) -> bytes:
@@ -97,24 +100,65 @@ class Encoder:
         get, part = self.known.get, self._part
         return part(parts[0]) + b"".join([get(p) or part(p) for p in map(" ".__add__, parts[1:])])
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that begin with a single space and end visibly, so that the splitter cuts between them in one long text."""
+        out = list(map(self.known.get, parts))
+        unseen = [i for i, ids in enumerate(out) if ids is None]
+        pieces = iter(self.split("".join([parts[i] for i in unseen])))
+        for i in unseen:
+            part, ids, done = parts[i], [], 0
+            while done < len(part):
+                piece = next(pieces)
+                ids.append(self._piece(piece))
+                done += len(piece)
+            out[i] = ids[0] if len(ids) == 1 else self._keep(part, b"".join(ids))
+        return out
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of an array of strings, as a call for each would give them."""
+        texts = texts.fill_null("")
+        if not self.plain or not len(texts):
+            return [self(t) for t in texts.to_pylist()]
+        words = pc.split_pattern(texts, " ")
+        coded = words.flatten().dictionary_encode()
+        spelled = coded.dictionary.to_pylist()
+        # a word that is empty or has white space at an end comes of a space that does not stand alone
+        alone = np.array([bool(w) and not w[0].isspace() and not w[-1].isspace() for w in spelled])
+        ids: list[bytes] = [b""] * len(spelled)
+        for i, part in zip(at := np.flatnonzero(alone).tolist(), self._parts([" " + spelled[i] for i in at])):
+            ids[i] = part
+        codes = coded.indices.to_numpy()
+        bounds = pc.list_value_length(words).to_numpy().cumsum().tolist()
+        starts = [0, *bounds[:-1]]
+        whole = ~np.logical_and.reduceat(alone[codes], starts)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        out = []
+        for i, (a, b) in enumerate(zip(starts, bounds)):
+            if whole[i]:
+                out.append(self(texts[i].as_py()))
+            else:
+                out.append(self._part(spelled[codes[a]]) + b"".join([ids[c] for c in codes[a + 1 : b].tolist()]))
+        return out
+
 
 def pieces(docs: DataFrame, *, window: int = WINDOW, path: str | None = None) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: every document cut at multiples of the window."""
     bound_batches(docs.sparkSession)
     path = path or tokenizer_file()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for b in batches:
             out = []
-            for i, text in zip(b["doc_id"].astype("Int64"), b["text"]):
-                ids = encode(text) + b"\0\0\0\0"
+            for i, ids in zip(b["doc_id"].to_pylist(), encode.many(b["text"])):
+                ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 out += [(i, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             cols = list(zip(*out)) if out else [()] * 5
-            yield pd.DataFrame({"doc_id": pd.array(cols[0], "Int64"), **{c: np.array(v, np.int64) for c, v in zip(("start", "length", "ids_crc32", "doc_tokens"), cols[1:])}})
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     )
 

@@ -1,10 +1,12 @@
 """Packing, mixing, rollups, rules, licenses and the classifier on small tables."""
 
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("barlens.llm")
@@ -23,6 +25,28 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(encode(t), "<u4").tolist() == full.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_ids_of_many_texts_are_those_of_the_tokenizer_and_a_word_is_looked_up_once():
+    draw = random.Random(1)
+    ends = ["a", "ab", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'s", "'", "1", "#", "é", "漢", "\u0301", "<|endoftext|>", "<|endof"]
+    texts = [*TEXTS, "a b" * 30000, *("".join(draw.choices(ends, k=draw.randint(0, 14))) for _ in range(3000))]
+    encode = packing.Encoder(tokenizer_file())
+    for t, ids in zip(texts, encode.many(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.full.encode(t or "", add_special_tokens=False).ids, t
+    assert encode.many(pa.array([], pa.string())) == []
+    asked = []
+
+    class Known(dict):
+        def get(self, part):
+            asked.append(part)
+            return dict.get(self, part)
+
+    encode.known = Known(encode.known)
+    common = pa.array(["same few words " * 50 + "end"] * 40)
+    first = encode.many(common)
+    asked.clear()
+    assert encode.many(common) == first == first[:1] * 40 and asked.count(" few") == 1
+
+
 def test_recipes_use_every_piece_once_with_little_padding():
     rng = np.random.default_rng(2)
     h = np.bincount(np.minimum(rng.geometric(1 / 300, 60000), 1024), minlength=1025)
