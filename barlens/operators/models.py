@@ -14,7 +14,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.operators.evaluate import regression_metrics
@@ -114,6 +114,21 @@ def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataF
     return model.transform(rows).select(*keep, "prediction")
 
 
+def fit_predict(
+    rows: DataFrame, train: Column | str, test: Column | str, family: str, features: Sequence[str], target: str, keep: Sequence[str], **params
+) -> DataFrame:
+    """Predictions for the rows that meet ``test`` of a model fitted to those that meet ``train``.
+
+    A fit passes over its rows many times (medians, moments, solver): one written table of the needed columns serves all
+    passes and the scoring, so that ``rows`` are derived once.
+    """
+    marks = {name: F.expr(c) if isinstance(c, str) else c for name, c in (("_train", train), ("_test", test))}
+    needed = list(dict.fromkeys([*keep, *features, target]))
+    table = settle(rows.withColumns(marks).where("_train or _test").select(*needed, "_train", "_test"))
+    model = fitted(table.where("_train").drop("_train", "_test"), family, features, target, **params)
+    return predict(model, table.where("_test"), keep)
+
+
 def walk_forward_train(
     rows: DataFrame,
     membership: DataFrame,

@@ -231,10 +231,9 @@ def _folds(spark, d):
 
 def fit_once(family: str, **params):
     def run(spark, d):
-        rows = model_rows(spark, d)
-        train, test = rows.where("session_date <= date '2024-01-20'"), rows.where("session_date > date '2024-01-20'")
-        model = M.fitted(train, family, FEATS, "target_volume_share", **params)
-        return M.predict(model, test, ["sample_id", "bucket"]).withColumn("prediction", rnd("prediction", 4))
+        split = "session_date <= date '2024-01-20'", "session_date > date '2024-01-20'"
+        out = M.fit_predict(model_rows(spark, d), *split, family, FEATS, "target_volume_share", ["sample_id", "bucket"], **params)
+        return out.withColumn("prediction", rnd("prediction", 4))
 
     return run
 
@@ -254,9 +253,8 @@ query("gbt")(fit_once("gbt", iterations=5, max_depth=3))
 SELECT instrument_id, session_date, round(ay + wa * a + wb * b, 5) AS prediction FROM u, w, s WHERE NOT train""")
 def ridge_two_features(spark, d):
     rows = daily(spark, d).select("instrument_id", "session_date", F.ln("open").alias("x"), F.when(F.col("trade_count") % 3 > 0, F.col("trade_count")).alias("z"), F.log1p("volume").alias("y"))
-    train, test = rows.where("session_date < date '1998-01-01'"), rows.where("session_date >= date '1998-01-01'")
-    model = M.fitted(train, "ridge", ("x", "z"), "y", alpha=50.0)
-    return M.predict(model, test, ["instrument_id", "session_date"]).withColumn("prediction", rnd("prediction", 5))
+    split = "session_date < date '1998-01-01'", "session_date >= date '1998-01-01'"
+    return M.fit_predict(rows, *split, "ridge", ("x", "z"), "y", ["instrument_id", "session_date"], alpha=50.0).withColumn("prediction", rnd("prediction", 5))
 
 
 def _walked(spark, d):

@@ -38,6 +38,22 @@ def test_ridge_is_the_closed_form_and_survives_saving(spark):
     assert again == got
 
 
+def test_one_fit_and_its_scores_derive_the_rows_once(spark, monkeypatch):
+    from barlens.plans import source_queries
+
+    seen, made = spark.sparkContext.accumulator(0), source_queries.daily(spark, "/root/testdata/sf0.001")
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(source_queries, "daily", lambda spark, d: made.mapInArrow(counted, made.schema))
+    got = source_queries.ridge_two_features(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == made.where("session_date >= date '1998-01-01'").count() > 0
+    assert seen.value == made.count()
+
+
 def test_columns_without_values_are_filled_with_zero(spark):
     df = spark.createDataFrame([(None, 1.0), (None, float("nan")), (None, 3.0)], "a double, b double")
     out = M.MedianImputer(inputCols=["a", "b"], outputCols=["p", "q"]).fit(df).transform(df)
