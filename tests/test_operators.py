@@ -411,6 +411,20 @@ def test_a_missing_measure_leaves_other_pairs_alone(spark):
     assert got["a"].spearman == pytest.approx(1.0) and got["b"].pearson == pytest.approx(-1.0) and 0.95 < got["a"].pearson < 0.97
 
 
+def test_correlations_derive_their_rows_once(spark):
+    from barlens.operators.universe import correlations
+
+    seen, df = spark.sparkContext.accumulator(0), spark.range(500).selectExpr("double(id) t", "double(id % 7) a", "-double(id) b")
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {r.measure: r for r in correlations(df.mapInArrow(counted, df.schema), ["t"], ["a", "b"]).collect()}
+    assert got["b"].spearman == pytest.approx(-1.0) and abs(got["a"].spearman) < 0.1 and seen.value == 500
+
+
 def test_symbols_match_in_any_spelling(spark, tmp_path):
     from barlens.sources.readers import scan_bars
 
