@@ -107,12 +107,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``(node, component)`` of every node with an edge; the component is the smallest node that can be reached.
 
     Alternates large-star and small-star steps: each moves edges towards the smallest neighbour, with map-side minima, so
-    a node with very many edges only ever sends one minimum per task. A step is written and the one before dropped; nothing but
-    two numbers per step (how many edges, and their hash) reaches the driver. An empty input gives an empty result.
+    a node with very many edges only ever sends one minimum per task. A step is written and the one before dropped, until every
+    edge leads straight to a smallest node; nothing but that verdict reaches the driver. An empty input gives an empty result.
     """
     store, last = Store(edges.sparkSession, "components"), None
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
-    seen = None
     while True:
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -123,14 +122,33 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         pairs = store.put(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         store.drop(last)
         last = pairs
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
+        if _stars(pairs):
             break
-        seen = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether distinct pairs ``u > v`` are stars about their smallest node: no ``u`` has two of them or is itself a ``v``."""
+    ends = pairs.selectExpr("stack(2, u, 1L, v, 0L) as (node, up)")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or (up = 1 and least = 0)").isEmpty()
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(u, v, u_in, v_in)``: pairs whose ends lie in two components of ``roots``, and which; a node that ``roots`` lacks is its own."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    joined = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return joined.select("u", "v", F.coalesce("u_in", "u").alias("u_in"), F.coalesce("v_in", "v").alias("v_in")).where("u_in <> v_in")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (of :func:`components`) after further links ``(u, v)``: only the components that these join are followed anew."""
+    among = components(between(links, roots), "u_in", "v_in")
+    now = among.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    known = roots.join(now, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return known.unionAll(among.join(roots, "node", "left_anti").select("node", "component"))
+
+
 class Forest:
     """Union-find over one task's rows, with the smallest member as the root."""
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import Forest, Store, blank, bound_batches, components, mix64, seeds, told_apart
+from barlens.llm.common import Forest, Store, between, blank, bound_batches, components, merged, mix64, seeds, told_apart
 
 WORDS = 5
 BANDS, ROWS = 32, 6
@@ -239,24 +239,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, bands: int | None = N
 
     first = met.groupBy("id").agg(F.max("centre").alias("centre")).select(F.col("id").alias("u"), (-F.col("centre.minus")).alias("v")).where("u <> v")
     links = store.put(_verified(first, texts, percent))
-    roots = components(links, "u", "v")
+    roots = store.put(components(links, "u", "v"))
+    store.drop(links)
 
     more = met.select(F.col("id").alias("u"), (-F.col("centre.minus")).alias("v")).where("u <> v").distinct().join(first, ["u", "v"], "left_anti")
-    more = store.put(_apart(more, roots))
-    before, links = links, store.put(links.unionAll(_verified(more, texts, percent)))
-    store.drop(before, more)
-    roots = components(links, "u", "v")
+    more = store.put(between(more, roots).select("u", "v"))
+    roots = _joined(store, roots, None if more.isEmpty() else _verified(more, texts, percent))
 
-    placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    placed = met.where("size > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = store.put(placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band"))
     facts = classes.select("id", "n", "brief", "band_keys").join(company.select("id"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     facts = facts.withColumn("component", F.coalesce("component", "id"))
-    rivals = placed.where("size > 2").join(mixed, "band", "left_semi").select("band", "id", "size").join(facts, "id")
-    before, links = links, store.put(links.unionAll(_rivals(rivals, facts.join(texts, "id"), percent, bands * rows)))
-    store.drop(before, met, texts, company)
+    rivals = placed.join(mixed, "band", "left_semi").select("band", "id", "size").join(facts, "id")
+    roots = _joined(store, roots, None if mixed.isEmpty() else _rivals(rivals, facts.join(texts, "id"), percent, bands * rows))
+    store.drop(met, texts, company, more, mixed)
     if repeated:
-        links = links.unionAll(_same_document(known.join(several, "doc_id", "left_semi"), classes))
-    roots = components(links, "u", "v")
+        roots = _joined(store, roots, _same_document(known.join(several, "doc_id", "left_semi"), classes))
 
     of = classes.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
     return sig.select("doc_id", "n_shingles", "set_key").join(of, "set_key", "left").select(
@@ -289,8 +287,11 @@ def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return of.join(least, "doc_id").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends do not lie in one component yet."""
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    joined = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    return joined.where(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).select("u", "v")
+def _joined(store: Store, roots: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``roots`` after further links, if there are any."""
+    if links is None:
+        return roots
+    links = store.put(links)
+    out = roots if links.isEmpty() else store.put(merged(roots, links))
+    store.drop(links, None if out is roots else roots)
+    return out

@@ -37,10 +37,12 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies stays: that with the smallest id."""
     kept = minhash.near_duplicates(docs, percent=SIMILAR).where("kept and doc_id is not null")
     kept = settle(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    # an id that stands for several rows keeps the one whose columns sort first
-    one = docs.select(*COLUMNS).join(kept.where("rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
-    rest = docs.select(*COLUMNS).join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row"))
-    return one.unionByName(rest.select("doc_id", "_row.*")).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    out = docs.select(*COLUMNS).join(kept.where("rows = 1"), "doc_id", "left_semi").select(*COLUMNS)
+    several = kept.where("rows > 1")
+    if not several.isEmpty():  # an id that stands for several rows keeps the one whose columns sort first
+        rest = docs.select(*COLUMNS).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row"))
+        out = out.unionByName(rest.select("doc_id", "_row.*"))
+    return out.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
