@@ -7,12 +7,14 @@ with the counts of the whole and of both parts, and dropped where a longer one h
 1. *Apriori-safe candidates.* A phrase is only as frequent as its parts: words are counted, then pairs of words that can be
    frequent, then triples of such pairs. They are counted as 64-bit hashes with map-side sums, and frequent ones lie in blocked
    Bloom filters of at most FILTER_BYTES; neither ever loses a frequent phrase, whatever its size or its collisions. One more
-   reading spells the surviving hashes out as candidates.
-2. *Double-array tries.* Candidates are dealt by their first words into shards of at most SHARD_BYTES. A task makes each shard's
-   trie: a word is two arcs (the digits of its number), a node's arcs lie at ``base + arc``, and ``check`` names a slot's owner.
-3. *Counting.* Tries are sent in rounds of at most ROUND_BYTES, and texts are read once a round. numpy moves the states of all
-   text positions at once, level by level; the states they visit are counted with ``bincount`` and the tasks' counts summed. These
-   counts are exact: words are compared whole. They also give the counts of all parts.
+   reading spells out the longest candidate that starts at each word, with its occurrences, which tasks sum before they move.
+2. *Double-array tries.* Candidates are gathered in rounds of at most ROUND_BYTES, each in order dealt into tries of at most
+   SHARD_BYTES: a word is two arcs (the digits of its number), a node's arcs lie at ``base + arc``, ``check`` names its owner.
+3. *Counting.* All candidates of a trie move level by level, and each leaves its occurrences at every node it visits: those of a
+   candidate and of all it begins with. Counts of equal nodes are summed over the tries. They are exact: words are compared
+   whole, every candidate begins with candidates only, and each occurrence is in the longest one at its place.
+
+Texts are read four times, however many candidates there are, and no trie leaves its task.
 
 The first ``top`` of each language come from a ranking whose tasks keep their own first ones before any row moves.
 
@@ -37,15 +39,17 @@ from barlens.llm.common import bound_batches, mix64, settle
 
 UNKNOWN = "und"
 LEAST, TOP, SCALE = 10, 2000, 1_000_000
-#: Bounds of what is sent to tasks: a filter, one shard's candidates, the shards of a round.
+#: Bounds of a filter sent to tasks, of one trie's candidates, and of the candidates that a task gathers for its tries.
 FILTER_BYTES, SHARD_BYTES, ROUND_BYTES = 32 << 20, 16 << 20, 64 << 20
-#: Bytes that a candidate takes in a shard besides its words.
+#: Bytes that a candidate takes in a trie besides its words.
 NODE_BYTES = 40
 #: Arcs of a node that shares its slots with others.
 NARROW = 8
 #: Hashes that a task gathers before it sends their sums on, and words hashed at once.
 HELD, AT_ONCE = 1 << 21, 1 << 13
 BASE = 0x9E3779B97F4A7C15
+WORDS = ("w1", "w2", "w3")
+COUNTED = "lang string, w1 binary, w2 binary, w3 binary, n bigint"
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -121,23 +125,24 @@ def _inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(h: np.ndarray, joined: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(length, first positions, hashes)`` of the words, of pairs whose words the first filter holds, and of triples whose
-    pairs the second one holds."""
+def _phrases(h: np.ndarray, joined: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """``(length, first positions, hashes, which its filter holds)`` of the words, of pairs whose words the first filter holds, and
+    of triples whose pairs the second one holds; the longest of them have no filter unless there are three."""
     first = np.arange(len(h))
-    yield 1, first, h
+    good = _inside(filters[0], h) if filters else None
+    yield 1, first, h, good
     if filters:
-        good = _inside(filters[0], h)
         first = np.flatnonzero(joined[:-1] & good[:-1] & good[1:])
         pair = _followed(h[first], h[first + 1])
-        yield 2, first, pair
+        kept = _inside(filters[1], pair) if len(filters) > 1 else None
+        yield 2, first, pair, kept
     if len(filters) > 1:
-        kept = _inside(filters[1], pair)
         first, pair = first[kept], pair[kept]
         # triples: this pair is kept, and so is the one that starts at the next position
         two = np.flatnonzero(first[1:] == first[:-1] + 1)
         first, pair = first[two], pair[two]
-        yield 3, first, _followed(pair, h[first + 2])
+        triple = _followed(pair, h[first + 2])
+        yield 3, first, triple, _inside(filters[2], triple) if len(filters) > 2 else None
 
 
 def _summed(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def _summed(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Ite
 
     held, rows = [], 0
     for _, _, h, joined in _batches(batches):
-        *_, (_, _, found) = _phrases(h, joined, filters)
+        *_, (_, _, found, _) = _phrases(h, joined, filters)
         held.append(found)
         rows += len(found)
         if rows >= HELD:
@@ -160,34 +165,35 @@ def _summed(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Ite
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs and triples that may be frequent, each once a batch; told apart by their words."""
+    """The longest phrase at each word that may be frequent, each once a batch with its occurrences; told apart by their words.
+
+    The row without words counts all words of the batch.
+    """
     for lang, words, h, joined in _batches(batches):
-        kept = [(k, first[_inside(filters[k - 1], found)]) for k, first, found in _phrases(h, joined, filters[:2]) if k > 1]
-        used = np.zeros(len(words), bool)
-        for k, first in kept:
-            for i in range(k):
-                used[first + i] = True
-        coded = words.filter(pa.array(used)).dictionary_encode()
-        at, known = np.full(len(words), -1, np.int64), coded.dictionary.cast(pa.binary())
-        at[used] = coded.indices.to_numpy()
-        for k, first in kept:
-            some = np.stack([at[first + i] for i in range(k)])
-            if len(known) ** k < 1 << 63:  # their numbers fit one integer
-                packed = some[0]
-                for more in some[1:]:
-                    packed = packed * len(known) + more
-                some = some[:, np.unique(packed, return_index=True)[1]]
-            else:
-                some = np.unique(some, axis=1)
-            if some.shape[1]:
-                parts = [known.take(pa.array(row)) for row in some] + [pa.nulls(some.shape[1], pa.binary())] * (3 - k)
-                yield pa.record_batch({"lang": pa.array([lang] * some.shape[1]), **dict(zip(("w1", "w2", "w3"), parts))})
+        longest = np.zeros(len(words) + 2, np.int8)
+        for k, first, _, kept in _phrases(h, joined, filters):
+            longest[first[kept]] = k
+        # words of a kept phrase are kept themselves; 0 stands for no word
+        place = np.flatnonzero(longest)
+        coded = words.take(pa.array(place)).dictionary_encode()
+        at, known = np.zeros(len(longest), np.int64), coded.dictionary.cast(pa.binary())
+        at[place] = coded.indices.to_numpy() + 1
+        some = np.stack([np.where(longest[place] > i, at[place + i], 0) for i in range(3)])
+        if (base := len(known) + 1) ** 3 < 1 << 63:  # their numbers fit one integer
+            packed, n = np.unique((some[0] * base + some[1]) * base + some[2], return_counts=True)
+            some = np.stack([packed // base**2, packed // base % base, packed % base])
+        else:
+            some, n = np.unique(some, axis=1, return_counts=True)
+        some, n = np.c_[np.zeros(3, np.int64), some], np.r_[len(words), n]
+        parts = [known.take(pa.array(row - 1, mask=row == 0)) for row in some]
+        yield pa.record_batch({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(n)), **dict(zip(WORDS, parts)), "n": pa.array(n, pa.int64())})
 
 
 def candidates(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """``(lang, w1, w2, w3)``: all pairs and triples that occur ``least`` times or more, few others, and the words of both.
+    """``(lang, w1, w2, w3, n)``: the longest phrase at each word that may occur ``least`` times or more, and how often it is.
 
-    Words that a phrase does not have are null.
+    All frequent words, pairs and triples are among these phrases and what they begin with, and few others. Words that a phrase
+    does not have are null; the row of a language that has no word at all counts its words.
     """
     texts, sent = _texts(docs), []
     for _ in range(3):
@@ -198,11 +204,11 @@ def candidates(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
         keys = settle(texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
         sent.append(_filter(keys, keys.count()))
     every = tuple(sent)
-    spelled = texts.mapInArrow(lambda batches: _spelled(batches, [s.value for s in every]), "lang string, w1 binary, w2 binary, w3 binary")
-    phrases = settle(spelled.distinct())
-    none = F.lit(None).cast("binary")
-    words = phrases.select("lang", F.explode(F.array("w1", "w2", "w3")).alias("w1")).where("w1 is not null").distinct()
-    return phrases.unionAll(words.select("lang", "w1", none.alias("w2"), none.alias("w3")))
+    return _sums(texts.mapInArrow(lambda batches: _spelled(batches, [s.value for s in every]), COUNTED))
+
+
+def _sums(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
 
 
 def trie(arcs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,129 +263,68 @@ def trie(arcs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return base, check, states
 
 
-def _digits(known: pa.Array, values, width: int) -> np.ndarray:
-    """The two arcs of each word: the digits of its number among the known ones; -1 for any other."""
-    number = pc.fill_null(pc.index_in(values, value_set=known, skip_nulls=True), -1).to_numpy().astype(np.int64)
-    return np.where(number < 0, -1, np.stack([number // width, number % width]))
+def _numbers(known: pa.Array, values) -> np.ndarray:
+    """The number of each word among the known ones; -1 for none."""
+    return pc.fill_null(pc.index_in(values, value_set=known, skip_nulls=True), -1).to_numpy().astype(np.int64)
 
 
-def _shard(g: pa.Table) -> pa.Table:
-    """One shard's trie in the first row, and the phrase of each of its nodes in the others."""
-    names = ("w1", "w2", "w3")
-    known = pc.unique(pa.chunked_array([c for name in names for c in g[name].chunks])).drop_null()
+def _visits(g: pa.Table) -> Iterator[pa.RecordBatch]:
+    """How many occurrences visit each node of the tries of a round, with the words that lead there."""
+    g = g.combine_chunks()
+    known = pc.unique(pa.chunked_array([c for name in WORDS for c in g[name].chunks])).drop_null()
     langs = pc.unique(g["lang"])
     width = max(int(np.ceil(np.sqrt(len(known)))), len(langs))
-    arcs = np.stack([pc.index_in(g["lang"], value_set=langs).to_numpy().astype(np.int64), *(d for name in names for d in _digits(known, g[name], width))])
-    order = np.lexsort(arcs[::-1])
-    base, check, states = trie(arcs[:, order], width)
-    rows = g.take(pa.array(order))
-    packed = {"base": base.astype("<i4").tobytes(), "check": check.astype("<i4").tobytes(), "known": _stream(known), "langs": _stream(langs)}
-    tables = [{"node": pa.nulls(1, pa.int64()), "lang": pa.nulls(1, pa.string()), **{n: pa.nulls(1, pa.binary()) for n in names}, "width": pa.array([width], pa.int64()), **{n: pa.array([v], pa.binary()) for n, v in packed.items()}}]
-    for k in (1, 2, 3):
-        node, at = np.unique(states[2 * k], return_index=True)
-        some, node = rows.take(pa.array(at[node >= 0])), node[node >= 0]
-        of = {n: some[n].combine_chunks() if i < k else pa.nulls(len(node), pa.binary()) for i, n in enumerate(names)}
-        tables.append({"node": pa.array(node), "lang": some["lang"].combine_chunks(), **of, "width": pa.nulls(len(node), pa.int64()), **{n: pa.nulls(len(node), pa.binary()) for n in packed}})
-    shard = g["shard"][0].as_py()
-    return pa.concat_tables([pa.table({"shard": pa.array([shard] * len(t["node"]), pa.int64()), **t}) for t in tables])
-
-
-def _stream(values: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch({"v": values})
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _column(data: bytes) -> pa.Array:
-    return pa.ipc.open_stream(data).read_all()["v"].combine_chunks()
-
-
-def _walk(batches: Iterator[pa.RecordBatch], tries: list[dict]) -> Iterator[pa.RecordBatch]:
-    """How often each node of the tries is visited by the texts of a task."""
-    ready = [(t["shard"], t["width"], np.frombuffer(t["base"], "<i4"), np.frombuffer(t["check"], "<i4"), _column(t["known"]), _column(t["langs"]).to_pylist()) for t in tries]
-    visits, totals = [np.zeros(len(check), np.int64) for _, _, _, check, _, _ in ready], {}
-    for lang, words, _, joined in _batches(batches):
-        totals[lang] = totals.get(lang, 0) + len(words)
-        own = [t for t in zip(ready, visits) if lang in t[0][5]]
-        if not own:
+    lang, numbers, n = _numbers(langs, g["lang"]), [_numbers(known, g[name]) for name in WORDS], g["n"].to_numpy()
+    order = np.lexsort((*numbers[::-1], lang))
+    for rows in np.array_split(order, -(-_bytes(g) // SHARD_BYTES)):
+        if not len(rows):
             continue
-        coded = words.cast(pa.binary()).dictionary_encode()
-        at = coded.indices.to_numpy()
-        for (_, width, base, check, known, langs), seen in own:
-            high, low = _digits(known, coded.dictionary, width)
-            place = np.flatnonzero(high[at] >= 0)
-            state = np.full(len(place), base[0] + langs.index(lang), np.int64)
-            while len(place):
-                word = at[place]
-                for arc in (high[word], low[word]):
-                    # a node without arcs has base -1, and a word that the shard lacks has arcs -1: they own no slot
-                    slot = np.maximum(base[state] + arc, 0)
-                    owned = (state > 0) & (base[state] >= 0) & (arc >= 0) & (check[slot] == state)
-                    state = np.where(owned, slot, 0)
-                place, state = place[state > 0], state[state > 0]
-                seen += np.bincount(state, minlength=len(seen))
-                on = joined[place]
-                state, place = state[on], place[on] + 1
-    for (shard, *_), seen in zip(ready, visits):
-        node = np.flatnonzero(seen)
-        if len(node):
-            yield _counted([None] * len(node), [shard] * len(node), node, seen[node])
-    yield _counted(list(totals), [None] * len(totals), [None] * len(totals), list(totals.values()))
-
-
-def _counted(lang, shard, node, n) -> pa.RecordBatch:
-    return pa.record_batch({"lang": pa.array(lang, pa.string()), "shard": pa.array(shard, pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
-
-
-def phrase_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
+        words = [x[rows] for x in numbers]
+        _, check, states = trie(np.stack([lang[rows], *(np.where(x < 0, -1, d) for x in words for d in (x // width, x % width))]), width)
+        seen = np.zeros(len(check), np.int64)
+        for k in (1, 2, 3):
+            inside = states[2 * k] >= 0
+            np.add.at(seen, states[2 * k][inside], n[rows[inside]])
+        for k in (1, 2, 3):
+            node, at = np.unique(states[2 * k], return_index=True)
+            node, at = node[node >= 0], at[node >= 0]
+            parts = [known.take(pa.array(x[at])) if i < k else pa.nulls(len(at), pa.binary()) for i, x in enumerate(words)]
+            yield pa.record_batch({"lang": langs.take(pa.array(lang[rows[at]])), **dict(zip(WORDS, parts)), "n": pa.array(seen[node])})
+
+
+def _bytes(g: pa.Table | pa.RecordBatch) -> int:
+    return g.nbytes + NODE_BYTES * g.num_rows
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of candidates and all they begin with, a round at a time; rows without words pass as they are."""
+    held, room = [], 0
+    for b in batches:
+        bare = pc.is_null(b["w1"])
+        if pc.any(bare).as_py():
+            yield b.filter(bare)
+            b = b.filter(pc.invert(bare))
+        if room and room + _bytes(b) > ROUND_BYTES:
+            yield from _visits(pa.Table.from_batches(held))
+            held, room = [], 0
+        if b.num_rows:
+            held.append(b)
+            room += _bytes(b)
+    if held:
+        yield from _visits(pa.Table.from_batches(held))
+
+
+def phrase_counts(found: DataFrame) -> DataFrame:
     """``(lang, w1, w2, w3, n)``: exact counts of the candidates ``found`` and of all they begin with.
 
     The row of a language that has no word at all counts its words.
     """
-    spark = docs.sparkSession
-    size = sum(F.coalesce(F.length(w), F.lit(0)) for w in ("w1", "w2", "w3")) + NODE_BYTES
-    per = found.groupBy("lang", "w1").agg(F.sum(size).alias("bytes"))
-    total = per.agg(F.sum("bytes")).first()[0]
-    texts = _texts(docs)
-    if not total:
-        return found.select("lang", "w1", "w2", "w3", F.lit(0).cast("bigint").alias("n")).limit(0)
-    # a first word with more phrases than a shard holds is split by the second word as well
-    shards = max(1, -(-2 * total // SHARD_BYTES))
-    wide = per.where(F.col("bytes") > SHARD_BYTES // 4).select("lang", "w1", F.lit(True).alias("wide"))
-    dealt = found.join(wide, ["lang", "w1"], "left").withColumn("shard", F.pmod(F.when(F.col("wide"), F.xxhash64("lang", "w1", "w2")).otherwise(F.xxhash64("lang", "w1")), F.lit(shards)))
-    schema = "shard bigint, node bigint, lang string, w1 binary, w2 binary, w3 binary, width bigint, base binary, check binary, known binary, langs binary"
-    made = settle(dealt.select("shard", "lang", "w1", "w2", "w3").groupBy("shard").applyInArrow(_shard, schema))
-    heads = made.where("node is null").select("shard", "width", "base", "check", "known", "langs")
-    sizes = heads.select("shard", sum(F.length(c) for c in ("base", "check", "known", "langs")).alias("bytes")).orderBy("shard").collect()
-    rounds, room = [], 0
-    for r in sizes:
-        if not rounds or room + r["bytes"] > ROUND_BYTES:
-            rounds.append([])
-            room = 0
-        rounds[-1].append(r["shard"])
-        room += r["bytes"]
-    counted = None
-    for own in rounds:
-        sent = spark.sparkContext.broadcast([r.asDict() for r in heads.where(F.col("shard").between(own[0], own[-1])).toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            return _walk(batches, sent.value)
-
-        part = settle(texts.mapInArrow(run, "lang string, shard bigint, node bigint, n bigint").groupBy("lang", "shard", "node").agg(F.sum("n").alias("n")))
-        counted = part if counted is None else counted.unionAll(part)
-    nodes = made.where("node is not null").select("shard", "node", "lang", "w1", "w2", "w3")
-    # nodes of a split first word stand in several shards, and languages in all rounds, each with the count of all occurrences
-    none = F.lit(None).cast("binary")
-    totals = counted.where("lang is not null").select("lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n")
-    found = nodes.join(counted.drop("lang"), ["shard", "node"]).select("lang", "w1", "w2", "w3", "n")
-    return found.unionAll(totals).groupBy("lang", "w1", "w2", "w3").agg(F.max("n").alias("n"))
+    return _sums(found.mapInArrow(_counted, COUNTED))
 
 
 def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the first ``top`` phrases of each language."""
-    counts = settle(phrase_counts(docs, candidates(docs, least=least)).where((F.col("n") >= least) | F.col("w1").isNull()))
+    counts = settle(phrase_counts(candidates(docs, least=least)).where((F.col("n") >= least) | F.col("w1").isNull()))
     totals = counts.where("w1 is null").select("lang", F.col("n").alias("total"))
     one = counts.where("w1 is not null and w2 is null")
     twos = counts.where("w2 is not null and w3 is null")

@@ -131,6 +131,23 @@ def test_phrases_as_by_brute_force(spark, monkeypatch, small):
     assert got == phrases(rows, 6, 37) and len(got) > 100
 
 
+def test_texts_are_read_four_times_however_many_candidates_there_are(spark, monkeypatch):
+    for name, value in (("SHARD_BYTES", 800), ("ROUND_BYTES", 3000)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = [("en", " ".join(f"a{(i + j) % 90} b{j % 30} c{j % 7}" for j in range(40))) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3).mapInArrow(seen, "lang string, text string")
+    got = sorted(tuple(r) for r in collocations.collocations(docs, least=3, top=5000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+    assert got == phrases(rows, 3, 5000) and len(got) > 100
+    assert read.value == 4 * len(rows)
+
+
 def test_no_phrases(spark):
     docs = spark.createDataFrame([("en", None), (None, "a b c")], "lang string, text string")
     for d in (docs, docs.limit(0)):
